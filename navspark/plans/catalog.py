@@ -25,7 +25,7 @@ from navspark.plans.feeds import Feeds
 from navspark.plans.oracle import day, m, ts, with_
 from navspark.plans.registry import query
 from navspark.plans.request import Exposure, ViewRequest
-from navspark.sources import decode, publish
+from navspark.sources import bridge, decode, publish
 
 BY_ACCOUNT_SECTOR = ViewRequest(None, ("accountName", "sector"))
 BY_SECTOR = ViewRequest(None, ("sector",))
@@ -177,7 +177,7 @@ GROUP BY 1, 2"""
 )
 def lazy_account_view(f: Feeds) -> DataFrame:
     """Accounts chosen by a table: their rows are picked before anything is joined or valued."""
-    customers = f.spark.read.parquet(f"{f.folder}/customer.parquet").filter("c_acctbal > 0")
+    customers = bridge.table(f.spark, f.folder, "customer").filter("c_acctbal > 0")
     chosen = customers.select(F.col("c_custkey").cast("string").alias("accountId"))
     return positions.lazy_account_view(
         f.holdings.join(chosen, "accountId", "left_semi"),
@@ -1159,10 +1159,7 @@ SELECT orderId, instrumentId, accountId, {ts('date')}, {m('orderQuantity')},
 )
 def publish_round_trip(f: Feeds) -> DataFrame:
     """Order events written as topic records under their key, and read back."""
-    records = publish.to_topic(f.orders, "order").select(
-        "key", "value", "topic", F.lit(0).alias("partition"),
-        F.lit(0).cast("bigint").alias("offset"),
-    )
+    records = publish.as_log(f.orders, "order")
     return decode.read_dataset(records, "order").drop("topicPartition", "sequence")
 
 

@@ -9,7 +9,7 @@ narrow projection or a key join; no window, no sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.schemas import PRICE, QUANTITY
@@ -29,26 +29,37 @@ MOVEMENTS = {
 }
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+TABLES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+    "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+}
 
 
-def _pick(values: tuple[str, ...], number: Column) -> Column:
-    return F.element_at(
-        F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int")
-    )
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
+def _pick(values: tuple[str, ...], number: str) -> str:
+    """One of some names by a number, as SQL."""
+    names = ", ".join(f"'{value}'" for value in values)
+    return f"elt(CAST({number} % {len(values)} AS INT) + 1, {names})"
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select(
-        _text("c_custkey").alias("accountId"),
-        F.col("c_name").alias("accountName"),
-        F.lit(MONTH).cast("timestamp_ntz").alias("timestamp"),
-        F.col("c_custkey").alias("sequence"),
+    return table(spark, folder, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS accountId",
+        "c_name AS accountName",
+        f"TIMESTAMP_NTZ '{MONTH}' AS timestamp",
+        "c_custkey AS sequence",
     )
 
 
@@ -57,99 +68,78 @@ def instruments(spark: SparkSession, folder: str) -> DataFrame:
 
     Every tenth instrument becomes known only after the first ticks.
     """
-    key, size = F.col("p_partkey"), F.col("p_size")
-    version = F.explode(F.sequence(F.lit(0), F.when(key % 4 == 0, 1).otherwise(0)))
-    first = F.when(key % 10 == 0, F.lit("2024-01-05 00:00:00")).otherwise(
-        F.lit("2023-12-31 00:00:00")
-    )
-    known = F.when(F.col("version") == 1, F.lit("2024-01-15 12:00:00")).otherwise(first)
-    sector = F.when(key % 50 == 4, F.lit("Cash")).when(key % 50 != 7, F.col("p_type"))
-    return table(spark, folder, "part").withColumn("version", version).select(
-        _text("p_partkey").alias("instrumentId"),
-        F.col("p_name").alias("instrumentName"),
-        _pick(KINDS, key).alias("instrumentType"),
-        _pick(CURRENCIES, size).alias("currency"),
-        F.concat(F.lit("NATION_"), (key % 25).cast("string")).alias("countryOfRisk"),
-        F.concat(F.lit("NATION_"), (size % 25).cast("string")).alias("countryOfDomicile"),
-        F.when(F.col("version") == 1, F.concat(sector, F.lit("-R")))
-        .otherwise(sector)
-        .alias("sector"),
-        F.split("p_name", " ").alias("subSectors"),
-        known.cast("timestamp_ntz").alias("timestamp"),
-        F.col("version").cast("bigint").alias("sequence"),
+    versions = "explode(IF(p_partkey % 4 = 0, array(0, 1), array(0))) AS version"
+    sector = "CASE WHEN p_partkey % 50 = 4 THEN 'Cash' WHEN p_partkey % 50 <> 7 THEN p_type END"
+    return table(spark, folder, "part").selectExpr("*", versions).selectExpr(
+        "CAST(p_partkey AS STRING) AS instrumentId",
+        "p_name AS instrumentName",
+        f"{_pick(KINDS, 'p_partkey')} AS instrumentType",
+        f"{_pick(CURRENCIES, 'p_size')} AS currency",
+        "concat('NATION_', p_partkey % 25) AS countryOfRisk",
+        "concat('NATION_', p_size % 25) AS countryOfDomicile",
+        f"concat({sector}, IF(version = 1, '-R', '')) AS sector",
+        "split(p_name, ' ') AS subSectors",
+        "CASE WHEN version = 1 THEN TIMESTAMP_NTZ '2024-01-15 12:00:00' "
+        "WHEN p_partkey % 10 = 0 THEN TIMESTAMP_NTZ '2024-01-05 00:00:00' "
+        "ELSE TIMESTAMP_NTZ '2023-12-31 00:00:00' END AS timestamp",
+        "CAST(version AS BIGINT) AS sequence",
     )
 
 
 def price_feed(spark: SparkSession, folder: str) -> DataFrame:
     """All price messages; some error events carry price 0, some carry none."""
-    error = F.col("event_type") == "error"
-    tenth = F.col("event_id") % 10
-    value = F.when(error & (tenth == 0), F.lit(0)).when(
-        ~(error & (tenth == 1)), F.col("value").cast(PRICE)
+    price = (
+        "CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 0 "
+        "WHEN event_type = 'error' AND event_id % 10 = 1 THEN NULL "
+        f"ELSE CAST(value AS {PRICE}) END"
     )
-    return table(spark, folder, "events").select(
-        F.col("ts").alias("date"),
-        _text("user_id").alias("instrumentId"),
-        value.cast(PRICE).alias("price"),
-        _pick(CURRENCIES, F.col("user_id")).alias("currency"),
-        F.col("event_type").alias("source"),
-        F.col("ts").alias("timestamp"),
-        F.col("event_id").alias("sequence"),
+    return table(spark, folder, "events").selectExpr(
+        "ts AS date",
+        "CAST(user_id AS STRING) AS instrumentId",
+        f"CAST({price} AS {PRICE}) AS price",
+        f"{_pick(CURRENCIES, 'user_id')} AS currency",
+        "event_type AS source",
+        "ts AS timestamp",
+        "event_id AS sequence",
     )
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     """The ticks a decoder lets through: price present."""
-    return price_feed(spark, folder).filter(F.col("price").isNotNull())
+    return price_feed(spark, folder).filter("price IS NOT NULL")
 
 
-def _lines(spark: SparkSession, folder: str, status: str, orders: tuple[str, ...]) -> DataFrame:
+DAYS = f"datediff(l_shipdate, DATE '{EPOCH}')"
+LINE = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+SIGNED = "IF(l_returnflag = 'R', -1, 1) * CAST(l_quantity AS INT)"
+
+
+def _lines(spark: SparkSession, folder: str, status: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").filter(F.col("l_linestatus") == status)
-    head = table(spark, folder, "orders").select("o_orderkey", "o_custkey", *orders)
-    joined = lines.join(head, lines.l_orderkey == head.o_orderkey)
-    days = F.datediff("l_shipdate", F.lit(EPOCH))
-    signed = F.col("l_quantity").cast(QUANTITY) * F.when(
-        F.col("l_returnflag") == "R", -1
-    ).otherwise(1)
-    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return joined.select(
-        line.alias("line"),
-        days.alias("days"),
-        F.col("l_shipdate").alias("shipped"),
-        _text("l_partkey").alias("instrumentId"),
-        _text("o_custkey").alias("accountId"),
-        F.col("l_quantity").cast(QUANTITY).alias("amount"),
-        signed.cast(QUANTITY).alias("signed"),
-        "l_orderkey",
-        "l_linenumber",
-        "l_suppkey",
-        "l_partkey",
-        *orders,
-    )
+    head = table(spark, folder, "orders")
+    return lines.join(head, lines.l_orderkey == head.o_orderkey)
 
 
-def _moment(minutes: Column) -> Column:
+def _moment(minutes: str) -> str:
     """A time in the month of the ticks: day by ship date, time of day by ``minutes``."""
-    total = (F.col("days") % 30) * 1440 + minutes
-    start = F.lit(MONTH).cast("timestamp_ntz")
-    return start + F.make_dt_interval(F.lit(0), F.lit(0), total.cast("int"))
+    start = f"TIMESTAMP_NTZ '{MONTH}'"
+    return f"{start} + make_dt_interval({DAYS} % 30, 0, CAST({minutes} AS INT))"
 
 
-def _sequence(step: Column) -> Column:
-    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return (line * 10000 + F.col("days")) * 10 + step
+def _sequence(step: str) -> str:
+    return f"((l_orderkey * 10 + l_linenumber) * 10000 + {DAYS}) * 10 + {step}"
 
 
 def holdings(spark: SparkSession, folder: str) -> DataFrame:
     """Finished lines; several days of one (instrument, account) replace each other."""
-    return _lines(spark, folder, "F", ()).select(
-        F.concat(F.lit("H-"), "line").alias("holdingId"),
-        F.col("shipped").cast("date").alias("date"),
-        "instrumentId",
-        "accountId",
-        F.col("signed").alias("position"),
-        _moment(F.col("l_orderkey") % 1440).alias("timestamp"),
-        _sequence(F.lit(0)).alias("sequence"),
+    return _lines(spark, folder, "F").selectExpr(
+        f"concat('H-', {LINE}) AS holdingId",
+        "CAST(l_shipdate AS DATE) AS date",
+        "CAST(l_partkey AS STRING) AS instrumentId",
+        "CAST(o_custkey AS STRING) AS accountId",
+        f"CAST({SIGNED} AS {QUANTITY}) AS position",
+        f"{_moment('l_orderkey % 1440')} AS timestamp",
+        f"{_sequence('0')} AS sequence",
     )
 
 
@@ -159,67 +149,56 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
     Some lives break the rules on purpose: a fill above the quantity, and a step after the
     final status that lowers the fill.
     """
-    lines = _lines(spark, folder, "O", ("o_orderstatus", "o_orderpriority"))
-    state, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-
-    def life(*steps: str) -> Column:
-        return F.array(*[F.lit(step) for step in steps])
-
-    steps = (
-        F.when((state == "F") & (F.col("l_linenumber") == 7),
-               life("CREATED", "PARTIALLY_FILLED", "FILLED", "PARTIALLY_FILLED"))
-        .when(state == "F", life("CREATED", "PARTIALLY_FILLED", "FILLED"))
-        .when((state == "P") & (priority == "5-LOW"),
-              life("CREATED", "PARTIALLY_FILLED", "CANCELLED"))
-        .when(state == "P", life("CREATED", "PARTIALLY_FILLED"))
-        .when(priority == "5-LOW", life("CREATED", "CANCELLED"))
-        .when(priority == "4-NOT SPECIFIED", life("CREATED", "REJECTED"))
-        .otherwise(life("CREATED"))
-    )
-    stepped = lines.select("*", F.posexplode(steps).alias("step", "orderStatus"))
-    amount = F.col("amount")
-    half = F.floor(amount / 2).cast(QUANTITY)
-    full = F.when(amount == 50, amount + 1).otherwise(amount)
-    filled = (
-        F.when(F.col("orderStatus") == "FILLED", full)
-        .when(F.col("orderStatus") == "PARTIALLY_FILLED", half)
-        .when((F.col("orderStatus") == "CANCELLED") & (state == "P"), half)
-        .when((F.col("orderStatus") == "CREATED") & (F.col("l_suppkey") % 10 == 0), F.lit(None))
-        .otherwise(F.lit(0))
-    )
-    moment = _moment(F.col("l_orderkey") % 1440 + F.col("step") * 360)
-    return stepped.select(
-        F.concat(F.lit("O-"), "line").alias("orderId"),
-        "instrumentId",
-        "accountId",
-        F.col("shipped").alias("date"),
-        F.col("signed").alias("orderQuantity"),
-        filled.cast(QUANTITY).alias("filledQuantity"),
+    life = """CASE
+        WHEN o_orderstatus = 'F' AND l_linenumber = 7
+          THEN array('CREATED', 'PARTIALLY_FILLED', 'FILLED', 'PARTIALLY_FILLED')
+        WHEN o_orderstatus = 'F' THEN array('CREATED', 'PARTIALLY_FILLED', 'FILLED')
+        WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW'
+          THEN array('CREATED', 'PARTIALLY_FILLED', 'CANCELLED')
+        WHEN o_orderstatus = 'P' THEN array('CREATED', 'PARTIALLY_FILLED')
+        WHEN o_orderpriority = '5-LOW' THEN array('CREATED', 'CANCELLED')
+        WHEN o_orderpriority = '4-NOT SPECIFIED' THEN array('CREATED', 'REJECTED')
+        ELSE array('CREATED') END"""
+    amount = "CAST(l_quantity AS INT)"
+    filled = f"""CASE
+        WHEN orderStatus = 'FILLED' THEN {amount} + IF({amount} = 50, 1, 0)
+        WHEN orderStatus = 'PARTIALLY_FILLED' OR orderStatus = 'CANCELLED' AND o_orderstatus = 'P'
+          THEN {amount} DIV 2
+        WHEN orderStatus = 'CREATED' AND l_suppkey % 10 = 0 THEN NULL
+        ELSE 0 END"""
+    stepped = _lines(spark, folder, "O").selectExpr(
+        "*", f"posexplode({life}) AS (step, orderStatus)"
+    )
+    return stepped.selectExpr(
+        f"concat('O-', {LINE}) AS orderId",
+        "CAST(l_partkey AS STRING) AS instrumentId",
+        "CAST(o_custkey AS STRING) AS accountId",
+        "l_shipdate AS date",
+        f"CAST({SIGNED} AS {QUANTITY}) AS orderQuantity",
+        f"CAST({filled} AS {QUANTITY}) AS filledQuantity",
         "orderStatus",
-        (F.col("l_partkey") % 1000 + 900).cast(PRICE).alias("orderPrice"),
-        _pick(ORDER_TYPES, F.col("l_linenumber")).alias("orderType"),
-        _pick(VENUES, F.col("l_suppkey")).alias("venue"),
-        moment.alias("timestamp"),
-        _sequence(F.col("step")).alias("sequence"),
+        f"CAST(l_partkey % 1000 + 900 AS {PRICE}) AS orderPrice",
+        f"{_pick(ORDER_TYPES, 'l_linenumber')} AS orderType",
+        f"{_pick(VENUES, 'l_suppkey')} AS venue",
+        f"{_moment('l_orderkey % 1440 + step * 360')} AS timestamp",
+        f"{_sequence('step')} AS sequence",
     )
 
 
 def cash(spark: SparkSession, folder: str) -> DataFrame:
     """Events as cash movements; times cut to the day, so that two can share an instant."""
-    kind = F.col("event_type")
-    out = kind.isin("error", "purchase")
-    movement = F.create_map(*[F.lit(x) for pair in MOVEMENTS.items() for x in pair])
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    return table(spark, folder, "events").select(
-        day.alias("date"),
-        _pick(CURRENCIES[:7], F.col("event_id")).alias("instrumentId"),
-        _text("user_id").alias("accountId"),
-        (F.col("value").cast(QUANTITY) * F.when(out, -1).otherwise(1)).cast(QUANTITY)
-        .alias("quantity"),
-        movement[kind].alias("movementType"),
-        F.concat(F.lit("REF-"), _text("event_id")).alias("referenceId"),
-        day.alias("timestamp"),
-        F.col("event_id").alias("sequence"),
+    cases = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in MOVEMENTS.items())
+    sign = "IF(event_type IN ('error', 'purchase'), -1, 1)"
+    day = "CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ)"
+    return table(spark, folder, "events").selectExpr(
+        f"{day} AS date",
+        f"{_pick(CURRENCIES[:7], 'event_id')} AS instrumentId",
+        "CAST(user_id AS STRING) AS accountId",
+        f"CAST(CAST(value AS {QUANTITY}) * {sign} AS {QUANTITY}) AS quantity",
+        f"CASE event_type {cases} END AS movementType",
+        "concat('REF-', event_id) AS referenceId",
+        f"{day} AS timestamp",
+        "event_id AS sequence",
     )
 
 
@@ -228,7 +207,8 @@ def price_topic(spark: SparkSession, folder: str) -> DataFrame:
 
     Good messages come as plain JSON, with dates as arrays, or with fields nobody knows.
     """
-    text = _text("event_id")
+    text = F.col("event_id").cast("string")
+    instrument = F.col("user_id").cast("string")
     day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     array = F.concat(
         F.lit("["),
@@ -241,7 +221,7 @@ def price_topic(spark: SparkSession, folder: str) -> DataFrame:
     quoted = F.concat(F.lit('"'), day, F.lit('"'))
     kind = F.col("event_id") % 20
     when = F.when(kind.isin(8, 9), array).otherwise(quoted)
-    name = F.concat(F.lit('"instrumentId":"'), _text("user_id"), F.lit('",'))
+    name = F.concat(F.lit('"instrumentId":"'), instrument, F.lit('",'))
     price = F.concat(F.lit('"price":'), F.col("value").cast(PRICE).cast("string"), F.lit(","))
     source = F.when(kind.isin(14, 15), F.lit("café")).otherwise(F.col("event_type"))
     body = F.concat(
@@ -262,7 +242,7 @@ def price_topic(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.encode(body, "UTF-8"))
     )
     return table(spark, folder, "events").select(
-        F.concat(_text("user_id"), F.lit("#"), F.date_format("ts", "yyyy-MM-dd"))
+        F.concat(instrument, F.lit("#"), F.date_format("ts", "yyyy-MM-dd"))
         .cast("binary").alias("key"),
         value.alias("value"),
         F.lit("base.price").alias("topic"),
