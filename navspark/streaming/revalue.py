@@ -13,10 +13,12 @@ Arithmetic is left to column expressions behind the stateful step.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,6 +34,9 @@ from navspark.operators.positions import (
 from navspark.schemas import LIVE_HOURS, PRICE, QUANTITY
 from navspark.sources.decode import read_dataset
 
+# The processor travels to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HELD = {"timestamp": "TIMESTAMP_NTZ", "holdingId": "STRING", "date": "DATE",
         "position": QUANTITY}
 ORDERED = {
@@ -53,6 +58,9 @@ EMITTED = {
     "orderId": "STRING", **ORDERED, **STATIC, **TICK,
 }
 
+# Valued rows gathered into one frame on their way out.
+ROWS_PER_FRAME = 10_000
+
 
 def _ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in fields.items())
@@ -103,8 +111,9 @@ class Revaluation(StatefulProcessor):
         held = dict(self.held.iterator()) if emits else {}
         ordered = dict(self.ordered.iterator()) if emits else {}
         static = self.static.get() if self.static.exists() else None
-        book: pd.DataFrame | None = None
+        book: list[tuple] | None = None
         changed: dict[tuple[str, tuple], tuple] = {}
+        ready: list[tuple] = []
 
         for event in events.to_dict("records"):
             kind = event["feed"]
@@ -122,7 +131,14 @@ class Revaluation(StatefulProcessor):
             elif static is not None and (held or ordered):
                 if book is None:
                     book = _book(key[0], held, ordered)
-                yield _valued(book, static, _values(event, TICK))
+                priced = (*static, *_values(event, TICK))
+                for position in book:
+                    ready.append(position + priced)
+                    if len(ready) == ROWS_PER_FRAME:
+                        yield _frame(ready)
+                        ready = []
+        if ready:
+            yield _frame(ready)
 
         for (kind, owner), value in changed.items():
             if kind == "static":
@@ -148,27 +164,20 @@ def _plain(value: Any) -> Any:
     return None if isinstance(value, float) and value != value or value is pd.NaT else value
 
 
-def _book(instrument: str, held: dict, ordered: dict) -> pd.DataFrame:
-    """All positions of the key as a table in the order of EMITTED's position columns."""
+def _book(instrument: str, held: dict, ordered: dict) -> list[tuple]:
+    """All positions of the key, laid out as the position columns of EMITTED."""
     rows = [
-        {"recordType": "HOLDING", "accountId": owner[0], **dict(zip(HELD, value, strict=True))}
+        ("HOLDING", instrument, owner[0], *value, None, *[None] * (len(ORDERED) - 2))
         for owner, value in held.items()
     ]
-    rows += [
-        {"recordType": "ORDER", "orderId": owner[0], **dict(zip(ORDERED, value, strict=True))}
-        for owner, value in ordered.items()
-    ]
-    names = [name for name in EMITTED if name not in STATIC and name not in TICK]
-    table = pd.DataFrame(rows, columns=names, dtype=object)
-    table["instrumentId"] = instrument
-    return table.where(table.notna(), None)
+    for owner, value in ordered.items():
+        account, moment, *terms = value
+        rows.append(("ORDER", instrument, account, moment, None, None, None, owner[0], *terms))
+    return rows
 
 
-def _valued(book: pd.DataFrame, static: tuple, tick: tuple) -> pd.DataFrame:
-    result = book.copy()
-    for name, value in zip([*STATIC, *TICK], [*static, *tick], strict=True):
-        result[name] = pd.Series([value] * len(result), index=result.index, dtype=object)
-    return result[list(EMITTED)]
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=list(EMITTED), dtype=object)
 
 
 def revalue(events: DataFrame, mode: str = "raw", expire: bool = False) -> DataFrame:
