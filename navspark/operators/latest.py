@@ -72,11 +72,12 @@ def versions(
     tie_breakers: Sequence[str] = ("sequence",),
     time: str = "timestamp",
     rows_per_task: int = skew.ROWS_PER_TASK,
+    heavy: skew.HeavyKeys | None = None,
 ) -> DataFrame:
     """Add the interval [validFrom, validTo) in which a row was the current one of its key."""
     following = skew.neighbour(
         df, STATE_KEYS[dataset], [time, *tie_breakers], [time], "_next", True,
-        rows_per_task=rows_per_task,
+        rows_per_task=rows_per_task, heavy=heavy,
     )
     return (
         following.withColumn("validFrom", F.col(time))

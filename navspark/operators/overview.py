@@ -18,7 +18,7 @@ from navspark.functions.predicates import (
 from navspark.functions.valuation import raw_value
 from navspark.operators import skew
 from navspark.operators.positions import INSTRUMENT_COLUMNS
-from navspark.operators.replay import known_ticks, position_versions
+from navspark.operators.replay import known_ticks, position_versions, position_weights
 from navspark.plans.request import ViewRequest, field_column
 from navspark.schemas import QUANTITY, RAW_MONEY
 
@@ -169,11 +169,10 @@ def cumulative_from_versions(
     plus ticks instead of their product. Raw valuation only: the typed one rounds every product.
     """
     request.validate()
-    live = position_versions(
-        holdings.filter(in_accounts(request.accounts)),
-        orders.filter(in_accounts(request.accounts)),
-        tie_breakers,
-    )
+    holdings = holdings.filter(in_accounts(request.accounts))
+    orders = orders.filter(in_accounts(request.accounts))
+    weights = position_weights(holdings, orders, instrument_rows=rows_per_task)
+    live = position_versions(holdings, orders, weights, tie_breakers)
     ticks = known_ticks(prices, instruments).filter(has_valid_price())
 
     # Instrument data is constant within an era: the ticks between two of its versions.
@@ -190,7 +189,9 @@ def cumulative_from_versions(
     last_entry = F.when(F.col("validTo") <= F.col("lastTick"), F.col("validTo"))
     entries = F.filter(
         F.array(
-            F.struct(F.col("validFrom").alias("tickTime"), F.lit(1).alias("sign")),
+            F.struct(
+                F.greatest("validFrom", "firstTick").alias("tickTime"), F.lit(1).alias("sign")
+            ),
             F.struct(last_entry.alias("tickTime"), F.lit(-1).alias("sign")),
         ),
         lambda entry: entry.tickTime.isNotNull(),
@@ -211,7 +212,7 @@ def cumulative_from_versions(
     )
     points = ticks.select(*era, "tickTime", "price", F.lit(1).cast("bigint").alias("ticks"))
     found = skew.later_sums(
-        points, probes, era, "tickTime", ["price", "ticks"], rows_per_task=rows_per_task
+        points, probes, era, "tickTime", ["price", "ticks"], heavy=weights["instrument"]
     )
     price_sum = F.col("price").cast("DECIMAL(19,6)")
     sums = found.groupBy(*names).agg(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from navspark.functions.valuation import value_positions
 from navspark.operators import skew
-from navspark.operators.latest import versions
+from navspark.operators.latest import STATE_KEYS, versions
 from navspark.operators.positions import (
     INSTRUMENT_COLUMNS,
     UNIFIED_COLUMNS,
@@ -44,16 +44,40 @@ def known_ticks(prices: DataFrame, instruments: DataFrame) -> DataFrame:
     return matched.drop("_to")
 
 
+def position_weights(
+    holdings: DataFrame,
+    orders: DataFrame,
+    state_rows: int = skew.ROWS_PER_TASK,
+    instrument_rows: int = skew.ROWS_PER_TASK,
+) -> dict[str, skew.HeavyKeys]:
+    """Heavy holdings, heavy orders and heavy instruments, from one pass over the key columns."""
+    ids = ["instrumentId", "accountId"]
+    both = holdings.select(*ids, F.lit(None).cast("string").alias("orderId")).unionByName(
+        orders.select(*ids, "orderId")
+    )
+    is_order = F.col("orderId").isNotNull()
+    holding = F.when(~is_order, skew.key_hash(STATE_KEYS["holding"]))
+    order = F.when(is_order, skew.key_hash(STATE_KEYS["order"]))
+    return skew.heavy_by(
+        both,
+        {
+            "holding": (holding, state_rows),
+            "orders": (order, state_rows),
+            "instrument": (skew.key_hash(["instrumentId"]), instrument_rows),
+        },
+    )
+
+
 def position_versions(
     holdings: DataFrame,
     orders: DataFrame,
+    weights: dict[str, skew.HeavyKeys],
     tie_breakers: Sequence[str] = ("sequence",),
-    rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """Every version of every holding and order with its interval of validity."""
     return positions(
-        versions(holdings, "holding", tie_breakers, rows_per_task=rows_per_task),
-        versions(orders, "order", tie_breakers, rows_per_task=rows_per_task),
+        versions(holdings, "holding", tie_breakers, heavy=weights["holding"]),
+        versions(orders, "order", tie_breakers, heavy=weights["orders"]),
         ["validFrom", "validTo"],
     )
 
@@ -73,10 +97,13 @@ def replay(
     The result is as large as the sum over ticks of the live positions. The work of a busy
     instrument is laid out as a grid of position shares and tick shares.
     """
-    live = position_versions(holdings, orders, tie_breakers)
+    weights = position_weights(holdings, orders, instrument_rows=position_rows)
+    live = position_versions(holdings, orders, weights, tie_breakers)
     ticks = known_ticks(prices, instruments)
     joined = skew.spread_join(
         live, ticks, ["instrumentId"], ["accountId", "orderId", "validFrom"], ["tickSequence"],
-        _within("r.tickTime", "l.validFrom", "l.validTo"), position_rows, tick_rows,
+        _within("r.tickTime", "l.validFrom", "l.validTo"),
+        heavy_left=weights["instrument"],
+        heavy_right=skew.heavy_keys(prices, ["instrumentId"], tick_rows),
     )
     return value_positions(joined, mode).select(*UNIFIED_COLUMNS, "tickTime", "tickSequence")

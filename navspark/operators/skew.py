@@ -11,7 +11,7 @@ side if its measured size allows, and otherwise splits the heavy partitions itse
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,24 +25,40 @@ ROWS_PER_TASK = 1_000_000
 HeavyKeys = list[tuple[int, int]]
 
 
-def _hash(keys: Sequence[str]) -> Column:
+def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(key) for key in keys])
 
 
+def heavy_by(
+    df: DataFrame, wanted: Mapping[str, tuple[Column, int]]
+) -> dict[str, HeavyKeys]:
+    """Heavy keys of several groupings in one pass.
+
+    Each grouping is a hash column and the rows one task may hold of one key; rows with a null
+    hash do not take part. What comes back is (hash of the key, tasks to spread it over).
+    """
+    sketches = [
+        F.expr(f"approx_top_k({name}, {MAX_HEAVY_KEYS}, {SKETCH_COUNTERS})").alias(name)
+        for name in wanted
+    ]
+    hashes = [column.alias(name) for name, (column, _) in wanted.items()]
+    tops = df.select(*hashes).agg(*sketches)
+
+    def above(name: str, rows: int) -> Column:
+        return F.filter(name, lambda top: (top["count"] > rows) & top["item"].isNotNull())
+
+    heavy = [above(name, rows).alias(name) for name, (_, rows) in wanted.items()]
+    row = tops.select(*heavy).first()
+    return {
+        name: [(top.item, min(-(-top["count"] // rows), MAX_SPLITS)) for top in row[name] or []]
+        for name, (_, rows) in wanted.items()
+    }
+
+
 def heavy_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> HeavyKeys:
-    """(hash of the key, tasks to spread it over) for keys with more rows than a task holds."""
-    sketch = df.select(_hash(keys).alias("keyHash")).agg(
-        F.expr(f"approx_top_k(keyHash, {MAX_HEAVY_KEYS}, {SKETCH_COUNTERS})").alias("top")
-    )
-    splits = F.least(F.ceil(F.col("rows") / rows_per_task), F.lit(MAX_SPLITS)).cast("int")
-    found = (
-        sketch.select(F.inline("top").alias("keyHash", "rows"))
-        .filter(F.col("rows") > rows_per_task)
-        .select("keyHash", splits.alias("splits"))
-    )
-    return [(row.keyHash, row.splits) for row in found.collect()]
+    return heavy_by(df, {"key": (key_hash(keys), rows_per_task)})["key"]
 
 
 def with_splits(df: DataFrame, keys: Sequence[str], heavy: HeavyKeys, name: str) -> DataFrame:
@@ -51,7 +67,7 @@ def with_splits(df: DataFrame, keys: Sequence[str], heavy: HeavyKeys, name: str)
         return df.withColumn(name, F.lit(1))
     lookup = df.sparkSession.createDataFrame(heavy, f"_kh BIGINT, {name} INT")
     return (
-        df.withColumn("_kh", _hash(keys))
+        df.withColumn("_kh", key_hash(keys))
         .join(F.broadcast(lookup), "_kh", "left")
         .drop("_kh")
         .withColumn(name, F.coalesce(F.col(name), F.lit(1)))
@@ -75,15 +91,20 @@ def spread_join(
     condition: Column | None = None,
     left_rows: int = ROWS_PER_TASK,
     right_rows: int = ROWS_PER_TASK,
+    heavy_left: HeavyKeys | None = None,
+    heavy_right: HeavyKeys | None = None,
 ) -> DataFrame:
     """Inner join on ``on`` (plus ``condition`` on ``l.`` and ``r.``) of two many-row sides.
 
     A heavy key with L shares on the left and R on the right becomes a grid of L x R join
     keys. Each left row goes to its share and is copied along R, each right row the other way,
-    so every pair meets exactly once.
+    so every pair meets exactly once. The heavy keys can be given, for instance from the tables
+    the sides were built from.
     """
-    heavy_left = heavy_keys(left, on, left_rows)
-    heavy_right = heavy_keys(right, on, right_rows)
+    if heavy_left is None:
+        heavy_left = heavy_keys(left, on, left_rows)
+    if heavy_right is None:
+        heavy_right = heavy_keys(right, on, right_rows)
     cells: list[str] = []
     if heavy_left:
         cells.append("_lx")
@@ -119,6 +140,7 @@ def neighbour(
     forward: bool,
     chunk_seconds: int = 3600,
     rows_per_task: int = ROWS_PER_TASK,
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """Add ``name``: a struct of ``columns`` from the next (or previous) row of the key.
 
@@ -128,7 +150,8 @@ def neighbour(
     """
     shift = F.lead if forward else F.lag
     value = F.struct(*columns)
-    heavy = heavy_keys(df, keys, rows_per_task)
+    if heavy is None:
+        heavy = heavy_keys(df, keys, rows_per_task)
     if not heavy:
         step = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, shift(value, 1).over(step))
@@ -158,14 +181,17 @@ def later_sums(
     keys: Sequence[str],
     time: str,
     columns: Sequence[str],
-    chunk_seconds: int = 3600,
+    chunk_seconds: int = 86_400,
+    spread_key: str | None = None,
+    heavy: HeavyKeys | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add to each probe the sums of ``columns`` over the key's points at or after its time.
 
-    Two levels: running sums inside a time chunk, plus the totals of all later chunks. Heavy
-    (key, chunk) groups of probes are spread over tasks, each with a copy of the chunk's points,
-    which are first added up per instant. No probe ever meets a point in a join.
+    Two levels: running sums inside a time chunk, plus the totals of all later chunks. Probes of
+    a heavy ``spread_key`` (by default the first key) are spread over tasks, each with a copy of
+    the chunk's points, which are first added up per instant. No probe ever meets a point in a
+    join. A probe must not lie before the first point of its key.
     """
     cell = [*keys, "_chunk"]
     points = (
@@ -173,22 +199,30 @@ def later_sums(
         .groupBy(*cell, time)
         .agg(*[F.sum(name).alias(name) for name in columns])
     )
-    probes = probes.withColumn("_chunk", _time_chunk(time, chunk_seconds))
-    zero = [F.lit(0).alias(name) for name in columns]
-    chunks = points.select(*cell, *columns).unionByName(
-        probes.select(*cell).distinct().select(*cell, *zero)
+    # One row per key and chunk from its first to its last point, so that chunks without points
+    # are found too.
+    per_chunk = points.groupBy(*cell).agg(*[F.sum(name).alias(name) for name in columns])
+    chunks = (
+        points.groupBy(*keys)
+        .agg(F.min("_chunk").alias("_first"), F.max("_chunk").alias("_last"))
+        .select(*keys, F.explode(F.sequence("_first", "_last")).alias("_chunk"))
+        .join(per_chunk, cell, "left")
     )
     later = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    totals = chunks.groupBy(*cell).agg(*[F.sum(name).alias(name) for name in columns]).select(
-        *cell, *[F.sum(name).over(later).alias(f"_later_{name}") for name in columns]
-    )
+    totals = chunks.select(*cell, *[F.sum(name).over(later).alias(f"_later_{name}")
+                                    for name in columns])
 
-    heavy = heavy_keys(probes, cell, rows_per_task)
-    spread = [name for name in probes.columns if name not in cell]
-    probes = with_splits(probes, cell, heavy, "_n").withColumn("_share", _share(spread, "_n"))
-    copies = with_splits(points, cell, heavy, "_n").withColumn("_share", _copies("_n"))
+    spread_key = spread_key or keys[0]
+    if heavy is None:
+        heavy = heavy_keys(probes, [spread_key], rows_per_task)
+    spread = probes.columns
+    probes = probes.withColumn("_chunk", _time_chunk(time, chunk_seconds))
+    probes = with_splits(probes, [spread_key], heavy, "_n").withColumn(
+        "_share", _share(spread, "_n")
+    )
+    copies = with_splits(points, [spread_key], heavy, "_n").withColumn("_share", _copies("_n"))
     both = probes.withColumn("_probe", F.lit(True)).unionByName(
         copies.withColumn("_probe", F.lit(False)), allowMissingColumns=True
     )

@@ -68,7 +68,9 @@ def test_chunked_neighbour_equals_window(lopsided, forward):
 def test_later_sums_equal_brute_force(lopsided, rows_per_task):
     points = lopsided.select("key", "time", F.col("n").cast("bigint").alias("v"))
     probes = lopsided.select("key", "time", F.col("n").alias("probe"))
-    found = skew.later_sums(points, probes, ["key"], "time", ["v"], rows_per_task=rows_per_task)
+    found = skew.later_sums(
+        points, probes, ["key"], "time", ["v"], chunk_seconds=7200, rows_per_task=rows_per_task
+    )
     rows = lopsided.select("key", "time", "n").collect()
     expected = sorted(
         (r.key, r.n, sum(o.n for o in rows if o.key == r.key and o.time >= r.time)) for r in rows
