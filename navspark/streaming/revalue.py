@@ -183,7 +183,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def revalue(events: DataFrame, mode: str = "raw", expire: bool = False) -> DataFrame:
     """Valued rows of a tagged event stream, one per tick and live position.
 
-    ``expire`` drops state whose time-to-live has passed on the clock.
+    ``expire`` drops state whose time-to-live has passed on the clock; such a stream needs a
+    processing-time trigger, as it never runs out of batches.
     """
     emitted = events.groupBy("instrumentId", "bucket").transformWithStateInPandas(
         statefulProcessor=Revaluation(expire),
