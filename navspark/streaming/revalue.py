@@ -104,13 +104,14 @@ class Revaluation(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True)
+        frames = list(rows)
+        events = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         events["_late"] = events["feed"] == "price"
         events = events.sort_values(["timestamp", "_late", "sequence"], kind="stable")
         emits = bool(events["_late"].any())
         held = dict(self.held.iterator()) if emits else {}
         ordered = dict(self.ordered.iterator()) if emits else {}
-        static = self.static.get() if self.static.exists() else None
+        static = self.static.get() if emits else None
         book: list[tuple] | None = None
         changed: dict[tuple[str, tuple], tuple] = {}
         ready: list[tuple] = []
