@@ -11,7 +11,7 @@ from navspark.functions.predicates import in_accounts
 from navspark.functions.valuation import value_positions
 from navspark.operators import skew
 from navspark.operators.latest import ARRIVAL, latest
-from navspark.schemas import columns_of
+from navspark.schemas import QUANTITY, columns_of
 
 UNIFIED_COLUMNS = [name for name in columns_of("unified") if name != "calculationTimestamp"]
 INSTRUMENT_COLUMNS = [
@@ -42,10 +42,13 @@ def positions(holdings: DataFrame, orders: DataFrame, extra: Sequence[str] = ())
     held = holdings.filter(F.col("position").isNotNull()).select(
         F.lit("HOLDING").alias("recordType"), *HOLDING_COLUMNS, *extra
     )
-    ordered = orders.filter(
+    return held.unionByName(order_positions(orders, extra), allowMissingColumns=True)
+
+
+def order_positions(orders: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    return orders.filter(
         F.col("orderQuantity").isNotNull() & F.col("orderStatus").isNotNull()
     ).select(F.lit("ORDER").alias("recordType"), *ORDER_COLUMNS, *extra)
-    return held.unionByName(ordered, allowMissingColumns=True)
 
 
 def price_columns(prices: DataFrame, *extra: str) -> DataFrame:
@@ -116,13 +119,13 @@ def order_market_values(
     orders: DataFrame, instruments: DataFrame, prices: DataFrame, mode: str = "raw"
 ) -> DataFrame:
     """Current orders with their order and filled market values."""
-    none = orders.limit(0).select(
-        "instrumentId", "accountId", "timestamp",
-        F.lit(None).cast("string").alias("holdingId"),
-        F.lit(None).cast("date").alias("date"),
-        F.lit(None).cast("decimal(18,4)").alias("position"),
+    current = order_positions(latest(orders, "order")).withColumns(
+        {
+            "holdingId": F.lit(None).cast("string"),
+            "date": F.lit(None).cast("date"),
+            "position": F.lit(None).cast(QUANTITY),
+        }
     )
-    current = positions(none, latest(orders, "order"))
     valued = value_positions(current.join(quotes(instruments, prices), "instrumentId"), mode)
     return valued.select(*UNIFIED_COLUMNS)
 
@@ -145,8 +148,8 @@ def holdings_priced_in_window(
     )
     return value_positions(
         joined.withColumn("recordType", F.lit("HOLDING"))
-        .withColumn("orderQuantity", F.lit(None).cast("decimal(18,4)"))
-        .withColumn("filledQuantity", F.lit(None).cast("decimal(18,4)"))
+        .withColumn("orderQuantity", F.lit(None).cast(QUANTITY))
+        .withColumn("filledQuantity", F.lit(None).cast(QUANTITY))
     ).drop("orderQuantity", "filledQuantity", "filledMarketValueLocal", "filledMarketValueUSD")
 
 
