@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import sentencepiece_codec
+from navspark.llm import pii, sentencepiece_codec
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,8 @@ def tokenizer_path() -> str:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     model = sentencepiece_codec.read_model(tokenizer_path())
     return sentencepiece_codec.encoding_digests(documents(spark, folder), model)
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(documents(spark, folder))
