@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import pii, sentencepiece_codec
+from navspark.llm import pii, quality_fm, sentencepiece_codec, toxicity_knn
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(documents(spark, folder))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_knn.judged(documents(spark, folder), toxicity_knn.fit(spark, folder))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_fm.judged(documents(spark, folder), quality_fm.fit(spark, folder))

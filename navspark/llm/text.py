@@ -134,9 +134,7 @@ def append(
     limit: int = STEP_BYTES,
 ) -> DataFrame:
     """`frame` with the columns that `compute` makes of each slice; a column of such a name is replaced."""
-    new = T.StructType()
-    for name, kind in fields.items():
-        new = new.add(name, kind)
+    new = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
     taken = {name.lower() for name in fields}
     kept = [c for c in frame.columns if c.lower() not in taken]
     schema = T.StructType([frame.schema[c] for c in kept] + new.fields)
