@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import pii, quality_fm, sentencepiece_codec, toxicity_knn
+from navspark.llm import decontaminate, pii, quality_fm, sentencepiece_codec, toxicity_knn
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_fm.judged(documents(spark, folder), quality_fm.fit(spark, folder))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find(spark, folder)
