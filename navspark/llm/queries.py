@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, pii, quality_fm, sentencepiece_codec, toxicity_knn
+from navspark.llm import decontaminate, html_text, pii, quality_fm, rare_digest, sentencepiece_codec, toxicity_knn
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find(spark, folder)
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.pages_text(spark, folder)
+
+
+@query("op6_fingerprint")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return rare_digest.compared(spark, folder)
