@@ -4,8 +4,8 @@ Every window of 64 bytes has a quantised entropy; its rank is the rarity of that
 windows of the whole corpus. In each run of 64 neighbouring windows the leftmost of the lowest rank
 gets a point, and windows with enough points are the features of the text. Their hashes set five bits
 each in a filter of 2,048 bits; a filter takes 160 features, then the next one starts. A text with
-features but none popular enough has its single rarest one; a text shorter than a window has one
-feature, its whole content; the empty text has the empty fingerprint.
+windows but none popular enough has its single rarest one; a short text has all its small windows
+instead; the empty text has the empty fingerprint.
 
 The likeness of two fingerprints takes each filter of the one with fewer filters to its best match in
 the other: common bits beyond those expected by chance, as a share of the largest possible number
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.llm.neighbours import BUCKET, PLACE, in_order
-from navspark.llm.text import BYTE_VALUES, STEP_BYTES, documents, identified, mixed, powers, steps, texts_of
+from navspark.llm.text import BYTE_VALUES, STEP_BYTES, documents, identified, mixed, powers, rolling, steps, texts_of
 
 WINDOW = 64
 LEVELS = 1001
 #: Windows that compete for a point, and the points that make a feature.
 RIVALS, POINTS = 64, 16
+#: A text below this many bytes has too few windows to choose from: all its small windows are features.
+SHORT, SHORT_WINDOW = 320, 12
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 
 _GAP = np.full(WINDOW - 1, 255, np.uint8)  # no byte of UTF-8
@@ -55,13 +57,18 @@ def levels(data: np.ndarray) -> np.ndarray:
     ahead, behind = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     padded = np.concatenate([_GAP, data, _GAP])
     w = WINDOW - 1
+    same = np.empty(_CHUNK, bool)
     for at in range(0, n, _CHUNK):
         to = min(at + _CHUNK, n)
         own = padded[at + w : to + w]
         a, b = ahead[at:to], behind[at:to]
+        hit = same[: to - at]
+        one = hit.view(np.uint8)
         for d in range(1, WINDOW):
-            a += own == padded[at + w + d : to + w + d]
-            b += own == padded[at + w - d : to + w - d]
+            np.equal(own, padded[at + w + d : to + w + d], out=hit)
+            np.add(a, one, out=a)
+            np.equal(own, padded[at + w - d : to + w - d], out=hit)
+            np.add(b, one, out=b)
     gap = data == _GAP[0]  # gaps are no symbols; the first of a kind gains nothing
     ahead[gap] = behind[gap] = 0
     gained = np.append(0, np.cumsum(_GAIN[np.minimum(behind, w)]))
@@ -149,13 +156,20 @@ def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     out = []
     for k, text in enumerate(texts):
         own = hashes[bounds[k] : bounds[k + 1]]
-        if len(text) < WINDOW:
-            own = np.frombuffer(hashlib.sha256(text).digest()[:8], np.uint64) if text else own
+        if len(text) < SHORT:
+            own = _short(text)
         _, place = np.unique(own, return_index=True)
         out.append(_filters(own[np.sort(place)]))
     return out
 
 
+def _short(text: bytes) -> np.ndarray:
+    """Hashes of all small windows, or of the whole text if it has none."""
+    if not text:
+        return np.empty(0, np.uint64)
+    return rolling(BYTE_VALUES[np.frombuffer(text, np.uint8)], min(SHORT_WINDOW, len(text)))
+
+
 def _filters(hashes: np.ndarray) -> np.ndarray:
     """Each distinct feature sets its bits in the filter of its turn."""
     turn = np.arange(len(hashes)) // FILTER_FEATURES
