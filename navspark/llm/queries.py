@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, html_text, pii, quality_fm, rare_digest, sentencepiece_codec, toxicity_knn
+from navspark.llm import decontaminate, html_text, pii, quality_fm, rare_digest, sentencepiece_codec, toxicity_knn, window_dedup
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_fingerprint")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return rare_digest.compared(spark, folder)
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.deduplicate(documents(spark, folder))
