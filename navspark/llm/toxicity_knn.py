@@ -36,6 +36,8 @@ BEGINNINGS = (4, 5, 6)
 BLOCK = 64
 NEIGHBOURS = 15
 SEED_BLOCKS = 2
+#: Texts that are scored at once, and postings that they have together (or one text alone).
+LOT_TEXTS, LOT_POSTINGS = 128, 400_000
 SOFT, PULL = 0.1, 1.0
 
 _WORD = LOWER.copy()
@@ -105,35 +107,51 @@ class Index:
     def nearest(self, column: pa.Array, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, example and similarity of the k nearest examples with a similarity above zero."""
         row, term, weight = self.vectors(column)
-        rows, blocks = len(column), (len(self.doc_id) + BLOCK - 1) // BLOCK
-        if not len(row) or not blocks:
+        postings = np.diff(self.pair_first[self.term_first])[term] if len(term) else np.empty(0, np.int64)
+        opens = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+        ends = np.append(opens[1:], len(row))
+        work = np.append(0, np.cumsum(postings))
+        found, at = [], 0
+        while at < len(opens):
+            # Texts whose postings, all together, stay bounded.
+            to = int(np.searchsorted(work[ends], work[opens[at]] + LOT_POSTINGS, "right"))
+            to = min(max(to, at + 1), at + LOT_TEXTS)
+            part = slice(opens[at], ends[to - 1])
+            rows, local = np.unique(row[part], return_inverse=True)
+            r, example, sims = self._nearest(local, term[part], weight[part], len(rows), k)
+            found.append((rows[r], example, sims))
+            at = to
+        if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _nearest(self, row, term, weight, rows, k):
+        blocks = (len(self.doc_id) + BLOCK - 1) // BLOCK
         pair, of = _spread(self.term_first[term], np.diff(self.term_first)[term])
         cell = row[of] * blocks + self.pair_block[pair]
         bound = np.bincount(cell, weight[of] * self.pair_max[pair], rows * blocks).reshape(rows, blocks)
         seeds = min(SEED_BLOCKS, blocks)
         chosen = np.zeros((rows, blocks), bool)
         np.put_along_axis(chosen, np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds], True, axis=1)
-        first = self._scored(row, weight, pair, of, cell, chosen)
+        first = self._scored(row, weight, pair, of, cell, chosen, rows)
         kth = np.zeros(rows)
         r, _, s = self._best(*first, k)
-        enough = np.bincount(r, minlength=rows) == k
-        last = np.append(r[1:] != r[:-1], True) if len(r) else np.empty(0, bool)
-        kth[r[last]] = s[last]
-        kth[~enough] = 0
+        last = np.flatnonzero(np.append(r[1:] != r[:-1], True)) if len(r) else np.empty(0, np.int64)
+        kth[r[last]] = np.where(np.bincount(r, minlength=rows)[r[last]] == k, s[last], 0)
         rest = ~chosen & (bound > 0) & (bound >= kth[:, None] - 1e-9)
-        more = self._scored(row, weight, pair, of, cell, rest)
+        more = self._scored(row, weight, pair, of, cell, rest, rows)
         return self._best(*(np.concatenate(x) for x in zip(first, more)), k)
 
-    def _scored(self, row, weight, pair, of, cell, chosen):
-        """Row, example and similarity of the examples in the chosen blocks."""
+    def _scored(self, row, weight, pair, of, cell, chosen, rows):
+        """Row, example and similarity of the examples in the chosen blocks that share a term."""
         use = chosen.ravel()[cell]
         pair, of = pair[use], of[use]
         at, owner = _spread(self.pair_first[pair], np.diff(self.pair_first)[pair])
-        key = row[of][owner] * len(self.doc_id) + self.example[at]
-        keys, back = np.unique(key, return_inverse=True)
-        sims = np.bincount(back, weight[of][owner] * self.weight[at], len(keys))
-        return keys // len(self.doc_id), keys % len(self.doc_id), sims
+        size = len(self.doc_id)
+        key = row[of][owner] * size + self.example[at]
+        sims = np.bincount(key, weight[of][owner] * self.weight[at], rows * size)
+        hit = np.flatnonzero(sims > 0)
+        return hit // size, hit % size, sims[hit]
 
     @staticmethod
     def _best(row, example, sims, k):
