@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, html_text, pii, quality_fm, rare_digest, sentencepiece_codec, toxicity_knn, window_dedup
+from navspark.llm import decontaminate, html_text, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.deduplicate(documents(spark, folder))
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, folder))
