@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, html_text, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
+from navspark.llm import decontaminate, html_text, ngram_join, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, folder))
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_components(documents(spark, folder))
