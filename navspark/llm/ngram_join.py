@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navspark.llm.components import Scratch, components
 from navspark.llm.text import LOWER, identified, mixed, rolling, steps, texts_of, word_hashes, words_of
@@ -277,6 +278,31 @@ def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def without(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of `frame` whose `column` isn't among `ids`; only rows that a bit filter lets pass are shuffled."""
+    bits = frame.sparkSession.sparkContext.broadcast(_filter_of(ids, column))
+    names = frame.columns
+
+    def tested(batches):
+        for batch in batches:
+            bit = batch.column(batch.num_columns - 1).to_numpy()
+            hit = bits.value[bit // 64] >> (bit % 64) & 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit == 1)], names=[*names, "__maybe"])
+
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("__bit")
+    ddl = T.StructType([*frame.schema.fields, T.StructField("__maybe", T.BooleanType())])
+    rows = frame.select(*[F.col(f"`{c}`") for c in names], bit).mapInArrow(tested, ddl)
+    sure = rows.where(~F.col("__maybe")).drop("__maybe")
+    maybe = rows.where(F.col("__maybe")).drop("__maybe")
+    return sure.unionAll(maybe.join(ids.select(column), column, "left_anti").select(*names))
+
+
+def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose key is the smallest of its component, with their own columns; null keys stay."""
+    found = linked_components(frame, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return without(frame, Scratch(frame.sparkSession).keep(found.distinct(), "copies"), key)
+
+
 def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sets that link, after comparing all members.
 

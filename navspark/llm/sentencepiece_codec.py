@@ -276,8 +276,10 @@ def encode_ids(frame: DataFrame, model: bytes, text: str = "text", ids: str = "i
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         codec.prepare(texts)
         words = [codec.encoded(t) for t in texts]
+        ends = np.cumsum([0, *(sum([n for n, _, _ in w]) for w in words)])
+        flat = np.fromstring(",".join([s for w in words for _, s, _ in w]), np.int32, sep=",") if ends[-1] else []
         return {
-            ids: pa.array([[int(i) for _, s, _ in w for i in s.split(",")] for w in words], pa.list_(pa.int32())),
+            ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
             decoded: pa.array(["".join([d for _, _, d in w])[1:] for w in words], pa.string()),
         }
 
