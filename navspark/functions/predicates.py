@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navspark.schemas import TERMINAL_STATUSES, WORKING_STATUSES
@@ -23,11 +23,19 @@ def is_order() -> Column:
 
 
 def in_accounts(accounts: Sequence[str] | None) -> Column:
-    """Account selection; an empty selection means every account."""
-    return F.col("accountId").isin(list(accounts)) if accounts else F.lit(True)
+    """Account selection; None means every account, an empty selection none."""
+    return F.lit(True) if accounts is None else F.col("accountId").isin(list(accounts))
+
+
+def of_accounts(df: DataFrame, accounts: Sequence[str] | DataFrame | None) -> DataFrame:
+    """The rows of chosen accounts, given as a list, or as a table with ``accountId``."""
+    if isinstance(accounts, DataFrame):
+        return df.join(accounts.select("accountId").distinct(), "accountId", "left_semi")
+    return df.filter(in_accounts(accounts))
 
 
 def in_instruments(instruments: Sequence[str] | None) -> Column:
+    """Instrument selection of an audit; here no selection means every instrument."""
     return F.col("instrumentId").isin(list(instruments)) if instruments else F.lit(True)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from navspark.schemas import PRICE, QUANTITY, RAW_MONEY, TYPED_MONEY, USD_RATES
 
 BOND_FACE_VALUE = 100
+RATE = "DECIMAL(16,10)"
 
 
 def _typed(value: Column) -> Column:
@@ -23,6 +24,13 @@ def raw_value(price: Column, quantity: Column) -> Column:
     return (price.cast(PRICE) * quantity.cast(QUANTITY)).cast(RAW_MONEY)
 
 
+def summed_value(price_sum: Column, quantity_sum: Column) -> Column:
+    """Product of two sums: exact while both have the digits of single values, else to 6 places."""
+    exact = price_sum.try_cast("DECIMAL(19,6)") * quantity_sum.try_cast(QUANTITY)
+    wide = price_sum.cast("DECIMAL(28,6)") * quantity_sum.cast("DECIMAL(28,4)")
+    return F.coalesce(exact.cast(RAW_MONEY), wide.cast(RAW_MONEY))
+
+
 def raw_filled_value(price: Column, filled: Column) -> Column:
     return raw_value(price, F.coalesce(filled, F.lit(0)))
 
@@ -31,7 +39,8 @@ def bond_value(price: Column, quantity: Column, face: Column | None = None) -> C
     """Price per hundred, rounded to six places before it meets face and quantity."""
     face = F.lit(BOND_FACE_VALUE) if face is None else face
     fraction = F.round(price.cast(PRICE) * F.lit("0.01").cast("DECIMAL(3,2)"), 6)
-    amount = fraction.cast("DECIMAL(14,6)") * face.cast("DECIMAL(6,2)") * quantity.cast(QUANTITY)
+    unit = (fraction.cast("DECIMAL(16,6)") * face.cast("DECIMAL(14,2)")).cast("DECIMAL(22,8)")
+    amount = unit * quantity.cast(QUANTITY)
     return _typed(F.coalesce(F.round(amount, 2), F.lit(0)))
 
 
@@ -62,12 +71,12 @@ def fixed_rate(currency: Column) -> Column:
     """Rate of a code in the fixed table; null if the code is not in it."""
     entries = []
     for code, rate in USD_RATES.items():
-        entries += [F.lit(code), F.lit(rate).cast("DECIMAL(10,4)")]
+        entries += [F.lit(code), F.lit(rate).cast(RATE)]
     return F.try_element_at(F.create_map(*entries), currency_code(currency))
 
 
 def rate_to_usd(currency: Column) -> Column:
-    return F.coalesce(fixed_rate(currency), F.lit(1).cast("DECIMAL(10,4)"))
+    return F.coalesce(fixed_rate(currency), F.lit(1).cast(RATE))
 
 
 def is_supported_currency(currency: Column) -> Column:
@@ -77,7 +86,7 @@ def is_supported_currency(currency: Column) -> Column:
 def convert_to_usd(amount: Column, currency: Column, rate: Column | None = None) -> Column:
     """Amount in dollars to the cent. A blank code leaves it as it is; an unknown one is 1:1."""
     rate = rate_to_usd(currency) if rate is None else F.coalesce(rate, F.lit(1))
-    converted = F.round(amount.cast("DECIMAL(28,6)") * rate.cast("DECIMAL(10,4)"), 2)
+    converted = F.round(amount.cast("DECIMAL(28,6)") * rate.cast(RATE), 2)
     kept = amount.cast("DECIMAL(38,6)")
     return (
         F.when(amount.isNull() | (amount == 0), F.lit(0).cast("DECIMAL(38,6)"))
@@ -99,19 +108,23 @@ def with_rates(df: DataFrame, rates: DataFrame, currency: str = "currency") -> D
     """Add ``rateToUSD`` from a table (currency, rate) in place of the fixed rates."""
     lookup = rates.select(
         currency_code(F.col("currency")).alias("_code"),
-        F.col("rate").cast("DECIMAL(10,4)").alias("rateToUSD"),
+        F.col("rate").cast(RATE).alias("rateToUSD"),
     )
     keyed = df.withColumn("_code", currency_code(F.col(currency)))
     return keyed.join(lookup, "_code", "left").drop("_code")
 
 
 def value_positions(
-    df: DataFrame, mode: str = "raw", signed_fills: bool = False, rate: Column | None = None
+    df: DataFrame,
+    mode: str = "raw",
+    signed_fills: bool = False,
+    rate: Column | None = None,
+    face: Column | None = None,
 ) -> DataFrame:
     """Add the four market values to position rows that carry price and instrument.
 
     ``signed_fills`` gives the filled amount the sign of the order; by default a filled
-    sell counts as a positive amount.
+    sell counts as a positive amount. ``face`` is the face value of a bond, 100 by default.
     """
     price = F.col("price")
     order = F.col("recordType") == "ORDER"
@@ -124,7 +137,8 @@ def value_positions(
         usd, fill_usd = F.col("marketValueLocal"), F.col("filledMarketValueLocal")
     elif mode == "typed":
         kind, currency = F.col("instrumentType"), F.col("currency")
-        local, fill = typed_value(kind, price, quantity), typed_value(kind, price, filled)
+        local = typed_value(kind, price, quantity, face)
+        fill = typed_value(kind, price, filled, face)
         usd = typed_usd_value(F.col("marketValueLocal"), currency, rate)
         fill_usd = typed_usd_value(F.col("filledMarketValueLocal"), currency, rate)
     else:

@@ -15,10 +15,10 @@ from navspark.functions.predicates import (
     is_holding,
     is_order,
 )
-from navspark.functions.valuation import raw_value
+from navspark.functions.valuation import raw_value, summed_value
 from navspark.operators import skew
 from navspark.operators.positions import INSTRUMENT_COLUMNS
-from navspark.operators.replay import known_ticks, position_versions, position_weights
+from navspark.operators.replay import heavy_instruments, known_ticks, position_versions
 from navspark.plans.request import ViewRequest, field_column
 from navspark.schemas import QUANTITY, RAW_MONEY
 
@@ -115,6 +115,7 @@ def account_overview(
     accounts: DataFrame | None = None,
     exclude_statuses: Sequence[str] = (),
     last_instrument_by: Sequence[str] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Overview of latest-state valued rows.
 
@@ -141,14 +142,21 @@ def account_overview(
         measures.append(newest.getField("instrumentName").alias("lastInstrumentName"))
         carried.append("lastInstrumentName")
     sums = rows.groupBy(*_group_columns(request)).agg(*measures)
-    return _finish(sums, request, accounts, carried)
+    return _finish(sums, request, accounts, carried, keep_empty)
 
 
 def cumulative_overview(
-    event_log: DataFrame, request: ViewRequest, accounts: DataFrame | None = None
+    event_log: DataFrame,
+    request: ViewRequest,
+    accounts: DataFrame | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """Overview that adds every message of a valued event log, re-valuations included."""
-    return account_overview(event_log, request, accounts)
+    """Overview that adds every message of a valued event log, re-valuations included.
+
+    A changelog needs ``keep_empty``: the row of a group that returns to zero replaces the last
+    one, and readers drop empty rows.
+    """
+    return account_overview(event_log, request, accounts, keep_empty=keep_empty)
 
 
 def cumulative_from_versions(
@@ -171,8 +179,7 @@ def cumulative_from_versions(
     request.validate()
     holdings = holdings.filter(in_accounts(request.accounts))
     orders = orders.filter(in_accounts(request.accounts))
-    weights = position_weights(holdings, orders, instrument_rows=rows_per_task)
-    live = position_versions(holdings, orders, weights, tie_breakers)
+    live = position_versions(holdings, orders, tie_breakers)
     ticks = known_ticks(prices, instruments).filter(has_valid_price())
 
     # Instrument data is constant within an era: the ticks between two of its versions.
@@ -207,16 +214,16 @@ def cumulative_from_versions(
     )
     names = [name for name in signed.columns if name not in {*era, "tickTime", "sign", *NAVS}]
     probes = signed.groupBy(*era, *names, "tickTime").agg(
-        *[F.sum(F.col(nav) * F.col("sign")).cast(QUANTITY).alias(nav) for nav in NAVS],
+        *[F.sum(F.col(nav) * F.col("sign")).alias(nav) for nav in NAVS],
         F.sum("sign").alias("recordCount"),
     )
     points = ticks.select(*era, "tickTime", "price", F.lit(1).cast("bigint").alias("ticks"))
     found = skew.later_sums(
-        points, probes, era, "tickTime", ["price", "ticks"], heavy=weights["instrument"]
+        points, probes, era, "tickTime", ["price", "ticks"],
+        heavy=heavy_instruments(holdings, orders, rows_per_task),
     )
-    price_sum = F.col("price").cast("DECIMAL(19,6)")
     sums = found.groupBy(*names).agg(
-        *[F.sum(price_sum * F.col(nav)).cast(RAW_MONEY).alias(nav) for nav in NAVS],
+        *[F.sum(summed_value(F.col("price"), F.col(nav))).cast(RAW_MONEY).alias(nav) for nav in NAVS],
         F.sum(F.col("ticks") * F.col("recordCount")).alias("recordCount"),
     )
     return _finish(sums, request, accounts)
@@ -294,7 +301,7 @@ def preaggregated_overview(
         .groupBy("accountId", "instrumentId", *chosen)
         .agg(
             *[
-                F.coalesce(F.sum(value), F.lit(0)).cast(QUANTITY).alias(name)
+                F.coalesce(F.sum(value), F.lit(0)).alias(name)
                 for name, value in quantity.items()
             ],
             F.count("*").alias("rows"),
@@ -303,9 +310,9 @@ def preaggregated_overview(
     )
     priced = summed.join(quotes.filter(has_valid_price()), "instrumentId")
     navs = {
-        "sodNavUSD": raw_value(F.col("price"), F.col("held")),
-        "currentNavUSD": raw_value(F.col("price"), F.col("held") + F.col("filled")),
-        "expectedNavUSD": raw_value(F.col("price"), F.col("held") + F.col("ordered")),
+        "sodNavUSD": summed_value(F.col("price"), F.col("held")),
+        "currentNavUSD": summed_value(F.col("price"), F.col("held") + F.col("filled")),
+        "expectedNavUSD": summed_value(F.col("price"), F.col("held") + F.col("ordered")),
     }
     sums = priced.groupBy(*_group_columns(request)).agg(
         *[F.sum(value).cast(RAW_MONEY).alias(name) for name, value in navs.items()],

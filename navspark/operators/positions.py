@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navspark.functions.predicates import in_accounts
+from navspark.functions.predicates import of_accounts
 from navspark.functions.valuation import value_positions
 from navspark.operators import skew
 from navspark.operators.latest import ARRIVAL, latest
@@ -79,7 +79,7 @@ def snapshot(
     orders: DataFrame,
     instruments: DataFrame,
     prices: DataFrame,
-    accounts: Sequence[str] | None = None,
+    accounts: Sequence[str] | DataFrame | None = None,
     mode: str = "raw",
     signed_fills: bool = False,
     as_of_last_tick: bool = False,
@@ -91,8 +91,7 @@ def snapshot(
     anything else. With ``as_of_last_tick`` only what had arrived by an instrument's last tick
     counts, as in a stream that re-values on ticks alone.
     """
-    wanted = in_accounts(accounts)
-    holdings, orders = holdings.filter(wanted), orders.filter(wanted)
+    holdings, orders = of_accounts(holdings, accounts), of_accounts(orders, accounts)
     if as_of_last_tick:
         last_tick = prices.groupBy("instrumentId").agg(F.max("timestamp").alias("_lastTick"))
         holdings = _known_at_last_tick(holdings, last_tick)
@@ -158,7 +157,7 @@ def lazy_account_view(
     orders: DataFrame,
     instruments: DataFrame,
     prices: DataFrame,
-    accounts: Sequence[str],
+    accounts: Sequence[str] | DataFrame,
     group_columns: Sequence[str],
 ) -> DataFrame:
     """Filter accounts first, then join, value and group."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from navspark.functions.valuation import value_positions
 from navspark.operators import skew
-from navspark.operators.latest import STATE_KEYS, versions
+from navspark.operators.latest import latest_by_key, latest_unified, versions
 from navspark.operators.positions import (
     INSTRUMENT_COLUMNS,
     UNIFIED_COLUMNS,
@@ -29,55 +29,44 @@ def _within(tick: str, valid_from: str, valid_to: str) -> Column:
     return (F.col(valid_from) <= moment) & (end.isNull() | (moment < end))
 
 
-def known_ticks(prices: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Ticks with the instrument data known at their time, and since when; others are dropped."""
-    static = versions(instruments, "instrument").select(
-        "instrumentId",
-        F.col("validFrom").alias("knownSince"),
-        F.col("validTo").alias("_to"),
-        *INSTRUMENT_COLUMNS,
+def known_ticks(
+    prices: DataFrame, instruments: DataFrame, arrival: str = "timestamp"
+) -> DataFrame:
+    """Ticks with the instrument data known at their time, and since when; others are dropped.
+
+    The interval of each instrument version is a lookup by time: the ticks and the versions of an
+    instrument are put in one order, and each tick takes the last version before it.
+    """
+    static = latest_by_key(instruments, ["instrumentId", arrival], ["sequence"]).select(
+        "instrumentId", F.col(arrival).alias("knownSince"), *INSTRUMENT_COLUMNS
     )
     ticks = price_columns(
-        prices, F.col("timestamp").alias("tickTime"), F.col("sequence").alias("tickSequence")
+        prices, F.col(arrival).alias("tickTime"), F.col("sequence").alias("tickSequence")
+    )
+    return skew.as_of(
+        ticks, static, ["instrumentId"], "tickTime", "knownSince",
+        ["knownSince", *INSTRUMENT_COLUMNS],
     )
-    matched = ticks.join(static, "instrumentId").filter(_within("tickTime", "knownSince", "_to"))
-    return matched.drop("_to")
 
 
-def position_weights(
-    holdings: DataFrame,
-    orders: DataFrame,
-    state_rows: int = skew.ROWS_PER_TASK,
-    instrument_rows: int = skew.ROWS_PER_TASK,
-) -> dict[str, skew.HeavyKeys]:
-    """Heavy holdings, heavy orders and heavy instruments, from one pass over the key columns."""
-    ids = ["instrumentId", "accountId"]
-    both = holdings.select(*ids, F.lit(None).cast("string").alias("orderId")).unionByName(
-        orders.select(*ids, "orderId")
-    )
-    is_order = F.col("orderId").isNotNull()
-    holding = F.when(~is_order, skew.key_hash(STATE_KEYS["holding"]))
-    order = F.when(is_order, skew.key_hash(STATE_KEYS["order"]))
-    return skew.heavy_by(
-        both,
-        {
-            "holding": (holding, state_rows),
-            "orders": (order, state_rows),
-            "instrument": (skew.key_hash(["instrumentId"]), instrument_rows),
-        },
-    )
+def heavy_instruments(
+    holdings: DataFrame, orders: DataFrame, rows: int = skew.ROWS_PER_TASK
+) -> DataFrame:
+    """Instruments with many position versions, with the shares they need."""
+    both = holdings.select("instrumentId").unionByName(orders.select("instrumentId"))
+    return skew.heavy_keys(both, ["instrumentId"], rows)
 
 
 def position_versions(
     holdings: DataFrame,
     orders: DataFrame,
-    weights: dict[str, skew.HeavyKeys],
     tie_breakers: Sequence[str] = ("sequence",),
+    arrival: str = "timestamp",
 ) -> DataFrame:
     """Every version of every holding and order with its interval of validity."""
     return positions(
-        versions(holdings, "holding", tie_breakers, heavy=weights["holding"]),
-        versions(orders, "order", tie_breakers, heavy=weights["orders"]),
+        versions(holdings, "holding", tie_breakers, arrival),
+        versions(orders, "order", tie_breakers, arrival),
         ["validFrom", "validTo"],
     )
 
@@ -91,19 +80,49 @@ def replay(
     tie_breakers: Sequence[str] = ("sequence",),
     position_rows: int = 50_000,
     tick_rows: int = 2_000,
+    arrival: str = "timestamp",
 ) -> DataFrame:
     """The event log of valued rows: one per tick and live position.
 
     The result is as large as the sum over ticks of the live positions. The work of a busy
-    instrument is laid out as a grid of position shares and tick shares.
+    instrument is laid out as a grid of position shares and tick shares. ``arrival`` names the
+    time at which a row became known.
     """
-    weights = position_weights(holdings, orders, instrument_rows=position_rows)
-    live = position_versions(holdings, orders, weights, tie_breakers)
-    ticks = known_ticks(prices, instruments)
+    live = position_versions(holdings, orders, tie_breakers, arrival)
+    ticks = known_ticks(prices, instruments, arrival)
     joined = skew.spread_join(
         live, ticks, ["instrumentId"], ["accountId", "orderId", "validFrom"], ["tickSequence"],
         _within("r.tickTime", "l.validFrom", "l.validTo"),
-        heavy_left=weights["instrument"],
+        heavy_left=heavy_instruments(holdings, orders, position_rows),
         heavy_right=skew.heavy_keys(prices, ["instrumentId"], tick_rows),
     )
     return value_positions(joined, mode).select(*UNIFIED_COLUMNS, "tickTime", "tickSequence")
+
+
+END_OF_TIME = "9999-12-31 00:00:00"
+
+
+def latest_valued(
+    holdings: DataFrame,
+    orders: DataFrame,
+    instruments: DataFrame,
+    prices: DataFrame,
+    mode: str = "raw",
+    tie_breakers: Sequence[str] = ("sequence",),
+) -> DataFrame:
+    """The last valued row per unified key of the replayed log, without building the log.
+
+    A version was valued last by the last tick before it was replaced; one lookup by time finds
+    that tick, so the work is linear in positions and ticks.
+    """
+    live = position_versions(holdings, orders, tie_breakers)
+    ticks = latest_by_key(
+        known_ticks(prices, instruments), ["instrumentId", "tickTime"], ["tickSequence"]
+    )
+    until = F.coalesce("validTo", F.lit(END_OF_TIME).cast("timestamp_ntz"))
+    priced = skew.as_of(
+        live.withColumn("_until", until), ticks, ["instrumentId"], "_until", "tickTime",
+        [name for name in ticks.columns if name != "instrumentId"], inclusive=False,
+    ).filter(F.col("tickTime") >= F.col("validFrom"))
+    valued = value_positions(priced, mode).select(*UNIFIED_COLUMNS, "tickTime", "tickSequence")
+    return latest_unified(valued, ("tickTime", "tickSequence"))

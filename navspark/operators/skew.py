@@ -1,9 +1,10 @@
 """Joins and neighbour lookups that hold when one key owns a large part of the rows.
 
-Heavy keys are found first, by one sketch over the key columns: no exchange by key, and at
-most MAX_HEAVY_KEYS rows come back. The sketch only steers how rows are spread over tasks.
-Every row and every match is kept, and the result is the same whichever keys it names. A
-table without heavy keys gets the plain plan.
+Rows are counted by key as part of the plan, and a key with more rows than one task should hold
+gets as many shares as its count asks for. The counts stay a table that is joined by key without
+a hint: however many keys are heavy, all of them are spread, nothing is collected and calling
+these functions runs no job. Every row and every match is kept, and the result does not depend on
+the shares.
 
 A join with a side that has one row per key needs none of this: there Spark broadcasts the
 side if its measured size allows, and otherwise splits the heavy partitions itself.
@@ -11,67 +12,27 @@ side if its measured size allows, and otherwise splits the heavy partitions itse
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-# 10,000 counters find every key that owns more than 0.01 % of the rows.
-MAX_HEAVY_KEYS = 1000
-SKETCH_COUNTERS = 10_000
-MAX_SPLITS = 1024
 ROWS_PER_TASK = 1_000_000
 
-HeavyKeys = list[tuple[int, int]]
-
-
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(key) for key in keys])
-
-
-def heavy_by(
-    df: DataFrame, wanted: Mapping[str, tuple[Column, int]]
-) -> dict[str, HeavyKeys]:
-    """Heavy keys of several groupings in one pass.
-
-    Each grouping is a hash column and the rows one task may hold of one key; rows with a null
-    hash do not take part. What comes back is (hash of the key, tasks to spread it over).
-    """
-    sketches = [
-        F.expr(f"approx_top_k({name}, {MAX_HEAVY_KEYS}, {SKETCH_COUNTERS})").alias(name)
-        for name in wanted
-    ]
-    hashes = [column.alias(name) for name, (column, _) in wanted.items()]
-    tops = df.select(*hashes).agg(*sketches)
-
-    def above(name: str, rows: int) -> Column:
-        return F.filter(name, lambda top: (top["count"] > rows) & top["item"].isNotNull())
-
-    heavy = [above(name, rows).alias(name) for name, (_, rows) in wanted.items()]
-    row = tops.select(*heavy).first()
-    return {
-        name: [(top.item, min(-(-top["count"] // rows), MAX_SPLITS)) for top in row[name] or []]
-        for name, (_, rows) in wanted.items()
-    }
-
 
 def heavy_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
-) -> HeavyKeys:
-    return heavy_by(df, {"key": (key_hash(keys), rows_per_task)})["key"]
+) -> DataFrame:
+    """Keys with more rows than one task should hold, and the shares they need."""
+    shares = F.ceil(F.count("*") / F.lit(rows_per_task)).cast("int").alias("shares")
+    return df.groupBy(*keys).agg(shares).filter("shares > 1")
 
 
-def with_splits(df: DataFrame, keys: Sequence[str], heavy: HeavyKeys, name: str) -> DataFrame:
+def with_splits(df: DataFrame, keys: Sequence[str], heavy: DataFrame, name: str) -> DataFrame:
     """Add the number of tasks a row's key is spread over; 1 for all but heavy keys."""
-    if not heavy:
-        return df.withColumn(name, F.lit(1))
-    lookup = df.sparkSession.createDataFrame(heavy, f"_kh BIGINT, {name} INT")
-    return (
-        df.withColumn("_kh", key_hash(keys))
-        .join(F.broadcast(lookup), "_kh", "left")
-        .drop("_kh")
-        .withColumn(name, F.coalesce(F.col(name), F.lit(1)))
-    )
+    lookup = heavy.select(*keys, F.col("shares").alias(name))
+    return df.join(lookup, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
 
 def _share(columns: Sequence[str], splits: str) -> Column:
@@ -91,8 +52,8 @@ def spread_join(
     condition: Column | None = None,
     left_rows: int = ROWS_PER_TASK,
     right_rows: int = ROWS_PER_TASK,
-    heavy_left: HeavyKeys | None = None,
-    heavy_right: HeavyKeys | None = None,
+    heavy_left: DataFrame | None = None,
+    heavy_right: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join on ``on`` (plus ``condition`` on ``l.`` and ``r.``) of two many-row sides.
 
@@ -105,19 +66,14 @@ def spread_join(
         heavy_left = heavy_keys(left, on, left_rows)
     if heavy_right is None:
         heavy_right = heavy_keys(right, on, right_rows)
-    cells: list[str] = []
-    if heavy_left:
-        cells.append("_lx")
-        left = with_splits(left, on, heavy_left, "_l")
-        left = left.withColumn("_lx", _share(left_spread, "_l")).drop("_l")
-        right = with_splits(right, on, heavy_left, "_l")
-        right = right.withColumn("_lx", _copies("_l")).drop("_l")
-    if heavy_right:
-        cells.append("_rx")
-        right = with_splits(right, on, heavy_right, "_r")
-        right = right.withColumn("_rx", _share(right_spread, "_r")).drop("_r")
-        left = with_splits(left, on, heavy_right, "_r")
-        left = left.withColumn("_rx", _copies("_r")).drop("_r")
+    cells = ["_lx", "_rx"]
+    kept_left, kept_right = left.columns, right.columns
+    left = with_splits(with_splits(left, on, heavy_left, "_l"), on, heavy_right, "_r")
+    left = left.select(*kept_left, _share(left_spread, "_l").alias("_lx"), _copies("_r").alias("_rx"))
+    right = with_splits(with_splits(right, on, heavy_left, "_l"), on, heavy_right, "_r")
+    right = right.select(
+        *kept_right, _share(right_spread, "_r").alias("_rx"), _copies("_l").alias("_lx")
+    )
     keys = [*on, *cells]
     left, right = left.alias("l"), right.alias("r")
     equal = [F.col(f"l.{key}") == F.col(f"r.{key}") for key in keys]
@@ -140,38 +96,57 @@ def neighbour(
     forward: bool,
     chunk_seconds: int = 3600,
     rows_per_task: int = ROWS_PER_TASK,
-    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """Add ``name``: a struct of ``columns`` from the next (or previous) row of the key.
 
-    The first order column is a time. The history of a heavy key is cut into time chunks that
-    are sorted apart; the row at the edge of a chunk takes its neighbour from the nearest chunk
-    that has rows, found on a table of one row per chunk of the heavy keys.
+    The first order column is a time. The history of a heavy key is cut into time chunks, and a
+    chunk with many rows into parts by time, or by the second order column if all its rows have
+    one time. Parts are sorted apart; the row at the edge of one takes its neighbour from the
+    nearest part that has rows, found on a table of one row per part of the heavy keys.
     """
     shift = F.lead if forward else F.lag
     value = F.struct(*columns)
-    if heavy is None:
-        heavy = heavy_keys(df, keys, rows_per_task)
-    if not heavy:
-        step = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, shift(value, 1).over(step))
-
-    df = with_splits(df, keys, heavy, "_splits")
+    cell = [*keys, "_chunk"]
+    df = with_splits(df, keys, heavy_keys(df, keys, rows_per_task), "_splits")
     chunk = F.when(F.col("_splits") > 1, _time_chunk(order[0], chunk_seconds))
     df = df.withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
-    step = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    heavy = df.filter(F.col("_splits") > 1)
+
+    places = {"time": F.unix_micros(F.col(order[0]).cast("timestamp"))}
+    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, NumericType):
+        places["tie"] = F.col(order[1]).cast("double")
+    sizes = heavy.groupBy(*cell).agg(
+        F.ceil(F.count("*") / F.lit(rows_per_task)).alias("_parts"),
+        *[F.min(place).alias(f"_{n}_low") for n, place in places.items()],
+        *[F.max(place).alias(f"_{n}_high") for n, place in places.items()],
+    )
+    def within(n: str) -> Column:
+        width = F.col(f"_{n}_high") - F.col(f"_{n}_low")
+        return F.when(width > 0, (places[n] - F.col(f"_{n}_low")) / width)
+
+    at = F.coalesce(*[within(n) for n in places], F.lit(0.0))
+    part = F.least(F.floor(at * F.col("_parts")), F.col("_parts") - 1)
+    df = df.join(sizes.filter("_parts > 1"), cell, "left").withColumn(
+        "_part", F.coalesce(part, F.lit(0))
+    )
+    cell = [*cell, "_part"]
+    step = Window.partitionBy(*cell).orderBy(*order)
     inside = df.withColumn(name, shift(value, 1).over(step))
     pick = F.min_by if forward else F.max_by
     edges = (
         df.filter(F.col("_splits") > 1)
-        .groupBy(*keys, "_chunk")
+        .groupBy(*cell)
         .agg(pick(value, F.struct(*order)).alias("_edge"))
-        .withColumn("_edge", shift("_edge", 1).over(Window.partitionBy(*keys).orderBy("_chunk")))
+        .withColumn(
+            "_edge",
+            shift("_edge", 1).over(Window.partitionBy(*keys).orderBy("_chunk", "_part")),
+        )
     )
+    helpers = [c for c in inside.columns if c.startswith(("_time_", "_tie_"))]
     return (
-        inside.join(edges, [*keys, "_chunk"], "left")
+        inside.join(edges, cell, "left")
         .withColumn(name, F.coalesce(F.col(name), F.col("_edge")))
-        .drop("_edge", "_chunk", "_splits")
+        .drop("_edge", "_chunk", "_part", "_parts", "_splits", *helpers)
     )
 
 
@@ -183,7 +158,7 @@ def later_sums(
     columns: Sequence[str],
     chunk_seconds: int = 86_400,
     spread_key: str | None = None,
-    heavy: HeavyKeys | None = None,
+    heavy: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add to each probe the sums of ``columns`` over the key's points at or after its time.
@@ -240,3 +215,58 @@ def later_sums(
         )
         found = found.withColumn(name, total).drop(f"_here_{name}", f"_later_{name}")
     return found.drop("_chunk")
+
+
+def as_of(
+    probes: DataFrame,
+    versions: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    since: str,
+    columns: Sequence[str],
+    chunk_seconds: int = 86_400,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Each probe with ``columns`` of the key's last version at or before its time.
+
+    Without ``inclusive`` a version at the probe's own time comes too late. Probes without one are dropped; a key has one version per instant. Probes and versions of a
+    key and time chunk are ordered together, and a chunk starts with what the chunks before it
+    ended with, so no pair of a probe and a version is ever built and a busy key is spread over
+    its chunks. Work is linear in both sides.
+    """
+    value = F.struct(*columns)
+    cell = [*keys, "_chunk"]
+    marked = versions.select(
+        *keys, F.col(since).alias("_at"), value.alias("_value"),
+    ).withColumn("_chunk", _time_chunk("_at", chunk_seconds))
+    asked = probes.withColumn("_at", F.col(at)).withColumn(
+        "_chunk", _time_chunk("_at", chunk_seconds)
+    )
+    ends = marked.groupBy(*cell).agg(F.max_by("_value", "_at").alias("_end"))
+    wanted = asked.select(*cell).distinct()
+    order = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = (
+        wanted.withColumn("_asked", F.lit(True))
+        .join(ends, cell, "full")
+        .withColumn("_start", F.last("_end", ignorenulls=True).over(order))
+        .filter("_asked")
+        .select(*cell, "_start")
+    )
+    both = asked.withColumn("_probe", F.lit(1)).unionByName(
+        marked.withColumn("_probe", F.lit(0)), allowMissingColumns=True
+    )
+    first = F.col("_probe") if inclusive else -F.col("_probe")
+    here = Window.partitionBy(*cell).orderBy(F.col("_at"), first).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    found = (
+        both.withColumn("_value", F.last("_value", ignorenulls=True).over(here))
+        .filter("_probe = 1")
+        .join(starts, cell, "left")
+        .withColumn("_value", F.coalesce("_value", "_start"))
+        .filter(F.col("_value").isNotNull())
+    )
+    kept = [c for c in probes.columns if c not in columns]
+    return found.select(*kept, *[F.col(f"_value.{c}").alias(c) for c in columns])

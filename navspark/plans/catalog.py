@@ -14,7 +14,6 @@ from navspark.operators.latest import (
 )
 from navspark.operators.latest import (
     latest,
-    latest_unified,
     live_rows,
 )
 from navspark.operators.latest import (
@@ -29,7 +28,6 @@ from navspark.sources import bridge, decode, publish
 
 BY_ACCOUNT_SECTOR = ViewRequest(None, ("accountName", "sector"))
 BY_SECTOR = ViewRequest(None, ("sector",))
-TICK_ORDER = ("tickTime", "tickSequence")
 EARLIER, LATER = "2024-01-20 00:00:00", "2024-01-28 00:00:00"
 LATEST = "2024-01-30 18:00:00"
 
@@ -117,7 +115,7 @@ clean AS (SELECT t.* FROM table_now t JOIN newest n ON t.instrumentId = n.instru
 )
 def account_overview_of_table(f: Feeds) -> DataFrame:
     """Overview of the latest-value table kept by the event log, leftovers removed."""
-    table = latest_unified(f.replay(), TICK_ORDER)
+    table = replay.latest_valued(*f.logs)
     return overview.account_overview(only_latest_price(table), BY_SECTOR)
 
 
@@ -263,11 +261,11 @@ def unified_mv_replay(f: Feeds) -> DataFrame:
 QTY = "CASE WHEN recordType = 'HOLDING' THEN position ELSE orderQuantity END"
 
 
-def _typed(quantity: str, face: int = 100) -> str:
+def _typed(quantity: str, face: int | str = 100) -> str:
     return f"""CASE WHEN {quantity} = 0 THEN 0
   WHEN instrumentType = 'CURRENCY' THEN round({quantity}, 2)
   WHEN instrumentType = 'BOND'
-    THEN round(CAST(round(price * 0.01, 6) AS DECIMAL(14,6)) * {face} * {quantity}, 2)
+    THEN round(CAST(round(price * 0.01, 6) AS DECIMAL(14,6)) * ({face}) * {quantity}, 2)
   ELSE round(price * {quantity}, 2) END"""
 
 
@@ -313,6 +311,48 @@ def bond_face_value(f: Feeds) -> DataFrame:
     )
 
 
+FACE = "(CAST(instrumentId AS BIGINT) % 7 + 1) * 142857"
+
+
+@query(
+    with_(O.BASE, O.STATE)
+    + f"""
+SELECT {O.UNIFIED_KEY} AS unifiedKey, instrumentType, {FACE} AS face,
+       {m('CAST(' + _typed('(' + QTY + ')', FACE) + ' AS DECIMAL(38,2))', 'marketValue')}
+FROM snap"""
+)
+def bond_face_column(f: Feeds) -> DataFrame:
+    """Typed values with a face of its own for each instrument, up to a million."""
+    valued = f.snapshot().withColumn("face", F.expr(FACE))
+    return V.value_positions(valued, "typed", face=F.col("face")).select(
+        K.unified_key().alias("unifiedKey"), "instrumentType", "face",
+        F.col("marketValueLocal").alias("marketValue"),
+    )
+
+
+# Units with more than four places, as a table of rates holds them.
+FINE_RATES = {"USD": "1", "EUR": "1.0853172", "JPY": "0.0067254", "AUD": "0.000725"}
+
+
+@query(
+    with_(O.BASE)
+    + f""", fine(code, rate) AS (VALUES {', '.join(
+        f"('{c}', CAST({r} AS DECIMAL(16,10)))" for c, r in FINE_RATES.items())})
+SELECT referenceId, instrumentId AS currency,
+       {m('round(quantity * 1000 * coalesce(rate, 1), 2)', 'amountUSD')}
+FROM cash LEFT JOIN fine ON code = instrumentId"""
+)
+def fine_rates(f: Feeds) -> DataFrame:
+    """Conversion by table rates of ten places."""
+    rates = f.spark.createDataFrame(list(FINE_RATES.items()), "currency STRING, rate STRING")
+    rated = V.with_rates(f.cash, rates, "instrumentId")
+    amount = F.col("quantity") * 1000
+    return rated.select(
+        "referenceId", F.col("instrumentId").alias("currency"),
+        V.convert_to_usd(amount, F.col("instrumentId"), F.col("rateToUSD")).alias("amountUSD"),
+    )
+
+
 @query(
     with_(O.BASE)
     + f"""
@@ -347,7 +387,7 @@ def rates_from_table(f: Feeds) -> DataFrame:
     )
     priced = V.with_rates(f.prices.withColumnRenamed("currency", "priceCurrency"), rates,
                           "priceCurrency")
-    rate = F.coalesce("rateToUSD", F.lit(1)).cast("DECIMAL(10,4)")
+    rate = F.coalesce("rateToUSD", F.lit(1)).cast(V.RATE)
     return priced.groupBy("priceCurrency", F.col("rateToUSD").isNotNull().alias("supported")).agg(
         F.count("*").alias("ticks"), F.sum(F.col("price") * rate).alias("priceUSD")
     )
@@ -434,7 +474,7 @@ SELECT unifiedKey, recordType, instrumentId, accountId, {m('price')}, {ts('price
        {m('mv', 'marketValueUSD')}, {m('fmv', 'filledMarketValueUSD')} FROM table_now"""
 )
 def latest_unified_mv(f: Feeds) -> DataFrame:
-    return latest_unified(f.replay(), TICK_ORDER).select(
+    return replay.latest_valued(*f.logs).select(
         "unifiedKey", "recordType", "instrumentId", "accountId", "price", "priceTimestamp",
         "marketValueUSD", "filledMarketValueUSD",
     )
@@ -448,7 +488,7 @@ FROM (SELECT *, max(priceTimestamp) OVER (PARTITION BY instrumentId) AS top FROM
 WHERE priceTimestamp = top"""
 )
 def latest_price_only(f: Feeds) -> DataFrame:
-    table = latest_unified(f.replay(), TICK_ORDER)
+    table = replay.latest_valued(*f.logs)
     return only_latest_price(table).select("unifiedKey", "priceTimestamp", "marketValueUSD")
 
 
@@ -880,7 +920,7 @@ def price_consistency_audit(f: Feeds) -> DataFrame:
 @query(with_(O.BASE, O.REPLAY, O.TABLE_NOW) + _consistency("table_now"))
 def price_consistency_of_table(f: Feeds) -> DataFrame:
     """On the bare latest-value table leftovers show up as inconsistent instruments."""
-    return audit.price_consistency(latest_unified(f.replay(), TICK_ORDER))
+    return audit.price_consistency(replay.latest_valued(*f.logs))
 
 
 @query(
@@ -1096,18 +1136,16 @@ def view_page(f: Feeds) -> DataFrame:
 @query(
     with_(O.BASE, O.STATE)
     + f"""
-SELECT * FROM (
-  SELECT {O.UNIFIED_KEY} AS unifiedKey, {m('abs(orderQuantity)', 'quantity')}, orderType, venue,
-         {day('date')}, {m('position')}
-  FROM snap WHERE mv > 100 AND (date IS NULL OR date > DATE '1996-01-01'))
-ORDER BY unifiedKey LIMIT 200"""
+SELECT {O.UNIFIED_KEY} AS unifiedKey, {m('abs(orderQuantity)', 'quantity')}, orderType, venue,
+       {day('date')}, {m('position')}
+FROM snap WHERE mv > 100 AND (date IS NULL OR date > DATE '1996-01-01')"""
 )
 def display_rows(f: Feeds) -> DataFrame:
     """Columns of one kind of position are blank on the other; filters by number and date."""
     valued = f.snapshot().withColumn("unifiedKey", K.unified_key())
     big = paging.column_filter("marketValueUSD", "number", "greaterThan", 100)
     young = paging.column_filter("date", "date", "greaterThan", "1996-01-01")
-    rows = valued.filter(big & (F.col("date").isNull() | young)).select(
+    return valued.filter(big & (F.col("date").isNull() | young)).select(
         "unifiedKey",
         F.abs("orderQuantity").alias("quantity"),
         F.when(P.is_order(), F.col("orderType")).alias("orderType"),
@@ -1115,7 +1153,6 @@ def display_rows(f: Feeds) -> DataFrame:
         F.when(P.is_holding(), F.col("date")).alias("date"),
         F.when(P.is_holding(), F.col("position")).alias("position"),
     )
-    return paging.page_after(rows, "unifiedKey", None, size=200)
 
 
 # Decoding.
@@ -1150,6 +1187,25 @@ def quarantine(f: Feeds) -> DataFrame:
     return bad.select("topic", "deadLetterTopic", "sequence", "reason")
 
 
+@query(
+    with_(O.BASE)
+    + """
+SELECT seq AS sequence, CASE WHEN seq % 3 = 0 THEN 'domain:orderStatus'
+                             ELSE 'malformed:timestamp' END AS reason
+FROM order_event WHERE seq % 3 < 2"""
+)
+def quarantine_orders(f: Feeds) -> DataFrame:
+    """Order messages with a status that doesn't exist, or a time that can't be read."""
+    third = F.col("offset") % 3
+    text = F.col("value").cast("string")
+    status = F.regexp_replace(text, '"orderStatus":"[A-Z_]*"', '"orderStatus":"PARTIAL"')
+    time = F.regexp_replace(text, '"timestamp":"[^"]*"', '"timestamp":"rubbish"')
+    damaged = F.when(third == 0, status).when(third == 1, time).otherwise(text)
+    log = publish.as_log(f.orders, "order").withColumn("value", damaged.cast("binary"))
+    bad = decode.quarantine(decode.parse(log, "order"), "order")
+    return bad.select("sequence", "reason")
+
+
 @query(
     with_(O.BASE)
     + f"""

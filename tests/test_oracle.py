@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from navspark.plans.registry import QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = {name: query.sql for name, query in QUERIES.items()}
 
 
 def _sorted(rows):

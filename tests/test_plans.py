@@ -7,11 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from navspark.operators import positions
+from navspark.plans import catalog, streams  # noqa: F401  (registers the queries)
 from navspark.plans.feeds import Feeds
+from navspark.plans.registry import QUERIES
 
-BATCH = [name for name in entry.queries() if not name.startswith(("stream_", "csv_"))]
+BATCH = [name for name in QUERIES if not name.startswith(("stream_", "csv_"))]
 
 
 def plan_of(df):
@@ -20,7 +21,7 @@ def plan_of(df):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_python_and_no_cross_join(name, spark, data):
-    plan = plan_of(entry.queries()[name](spark, data))
+    plan = plan_of(QUERIES[name](spark, data))
     assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoop", plan)
 
 
@@ -40,6 +41,6 @@ def test_account_filter_reaches_both_scans(spark, data, tmp_path):
 
 
 def test_exposure_prunes_columns(spark, data):
-    plan = plan_of(entry.queries()["account_overview_by_sector"](spark, data))
+    plan = plan_of(QUERIES["account_overview_by_sector"](spark, data))
     events = re.search(r"ReadSchema: struct<([^>]*user_id[^>]*)>", plan).group(1)
     assert "props" not in events

@@ -30,10 +30,43 @@ def lopsided(spark):
     )
 
 
-def test_heavy_keys_are_few_and_found(lopsided):
-    heavy = skew.heavy_keys(lopsided, ["key"], 100)
-    assert [splits for _, splits in heavy] == [4]
-    assert skew.heavy_keys(lopsided, ["key"], 1000) == []
+def test_heavy_keys_are_found(lopsided):
+    assert rows_of(skew.heavy_keys(lopsided, ["key"], 100)) == [("hot", 4)]
+    assert rows_of(skew.heavy_keys(lopsided, ["key"], 1000)) == []
+
+
+def test_every_heavy_key_is_spread(spark):
+    """3,000 heavy keys, and one that needs 3,000 shares."""
+    many = spark.range(30_000).select((F.col("id") % 3000).alias("key"))
+    heavy = skew.heavy_keys(many, ["key"], 4)
+    assert heavy.count() == 3000 and heavy.agg(F.min("shares")).first()[0] == 3
+    one = spark.range(30_000).select(F.lit(1).alias("key"))
+    assert rows_of(skew.heavy_keys(one, ["key"], 10)) == [(1, 3000)]
+
+
+def test_neighbour_in_one_instant(spark):
+    """A load with one time is cut by the second order column."""
+    frame = spark.range(500).selectExpr("'hot' AS key", "id AS n", "TIMESTAMP_NTZ '2024-01-01' AS time")
+    found = skew.neighbour(frame, ["key"], ["time", "n"], ["n"], "x", True, rows_per_task=50)
+    assert rows_of(found.selectExpr("n", "x.n")) == rows_of(
+        spark.range(500).selectExpr("id", "IF(id < 499, id + 1, NULL)")
+    )
+
+
+@pytest.mark.parametrize("chunk", [600, 10**9])
+def test_as_of_equals_brute_force(lopsided, chunk):
+    states = lopsided.filter("n % 5 = 0").dropDuplicates(["key", "time"])
+    states = states.select("key", F.col("time").alias("since"), F.col("n").alias("v"))
+    probes = lopsided.select("key", "time", "n")
+    found = skew.as_of(probes, states, ["key"], "time", "since", ["since", "v"], chunk)
+    known = states.collect()
+    want = []
+    for r in probes.collect():
+        past = [s for s in known if s.key == r.key and s.since <= r.time]
+        if past:
+            last = max(past, key=lambda s: s.since)
+            want.append((r.key, r.time, r.n, last.since, last.v))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
 @pytest.mark.parametrize(("left_rows", "right_rows"), [(50, 20), (50, 10**6), (10**6, 20)])
