@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.text import documents, held_out
+from navspark.llm.text import documents, held_out, ship
 
 
 def training_rows(spark: SparkSession, folder: str, label: str, rows: int) -> DataFrame:
@@ -16,6 +16,7 @@ def training_rows(spark: SparkSession, folder: str, label: str, rows: int) -> Da
     document labelled twice counts once, with its larger label.
     """
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col(label).cast("int").alias("label"))
+    ship(spark)
     chosen = (
         labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")

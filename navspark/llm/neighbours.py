@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navspark.llm.text import ship
+
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 24 << 20
 #: Keys from which the borders are chosen, for each bucket.
@@ -23,6 +25,7 @@ def in_order(frame: DataFrame, key: Column, text: str, *more: str, around: bool
     Place 0 marks a row of the bucket, -1 and 1 a copy from before and after it; a key isn't null.
     Rows of equal keys share a bucket. With `around`, the first bucket follows the last.
     """
+    ship(frame.sparkSession)
     keyed = frame.withColumn(KEY, key)
     size = keyed.agg(F.sum(F.octet_length(F.col(text))).alias("n"), F.count("*").alias("rows")).first()
     buckets = max(1, -(-(size.n or 0) // BUCKET_BYTES))

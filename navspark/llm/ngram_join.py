@@ -13,10 +13,14 @@ they share c(n, m) = ceil(t/(1+t) * (n+m)) members. Sets are handled by size:
   otherwise they stay.
 - The border between both is the one with the lowest cost for the corpus's sizes.
 
-Near copies are joined before the lists are scanned: sets with equal triples of small hashes are
-compared with one another's smallest set, and lists then only pair sets of different components.
-A pair that shares enough listed members is checked on the whole sets. Members come from the texts of
-the sets in question, found through a bit filter of fixed size.
+Near copies are settled before the lists are scanned. Sets that share two or more of eight triples
+of small hashes with a central set form clusters. A cluster is cut into slices; all sets of a slice,
+and the cluster's central one, are compared; the sets that are then not in the cluster's largest
+component are compared with all others of the cluster, slice by slice. So a cluster needs no pair
+of sets that are connected already, and its members travel a few times instead of once for each
+pair. Lists then only pair sets of different clusters; a pair that shares enough listed members is
+checked on the whole sets. Members come from the texts of the sets in question, found through a bit
+filter of fixed size.
 
 Null, empty and wordless texts have the empty set, link to nothing and are their own component.
 """
@@ -28,12 +32,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from navspark.llm.components import Scratch, components
-from navspark.llm.text import LOWER, identified, mixed, rolling, steps, texts_of, word_hashes, words_of
+from navspark.llm.text import LOWER, identified, mixed, rolling, ship, steps, texts_of, word_hashes, words_of
 
 SHINGLE = 4
 #: Similarity as a fraction.
@@ -43,6 +48,8 @@ HEAVY, EXTRA = 256, 20
 #: The border lies at most here; the cost of a listed member in terms of an enumerated subset.
 LARGEST_SMALL, LIST_COST = 24, 6
 TRIPLE, TRIPLES = 3, 8
+#: Equal triples that put a set into the cluster of a central one, and sets in a slice of a cluster.
+VOTES, SLICE = 2, 400
 FILTER_BITS = 1 << 26
 
 
@@ -145,36 +152,61 @@ def _map(frame: DataFrame, make, ddl: str) -> DataFrame:
 
 
 def sets_of(frame: DataFrame) -> DataFrame:
-    """doc_id, set and n of every document."""
+    """Of every document: doc_id, set, n, the set's triples, and its members if they are few."""
 
     def make(part):
         values, bounds = shingle_sets(part.column(1))
-        return part.column(0), set_ids(values, bounds), np.diff(bounds)
+        size = np.diff(bounds)
+        row = np.repeat(np.arange(len(size)), size)
+        sig, owner = _triples(values, row)
+        few = size[row] <= LARGEST_SMALL
+        lists = lambda flat, own: pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(own, np.arange(len(size) + 1)), pa.int32()), pa.array(flat.view(np.int64))
+        )
+        return part.column(0), set_ids(values, bounds), size, lists(sig, owner), lists(values[few], row[few])
 
-    return _map(frame, make, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, set long, n long")
-
-
-def _small_rows(frame: DataFrame, t: Threshold, border: int) -> DataFrame:
+    kind = frame.schema["doc_id"].dataType.simpleString()
+    return _map(frame, make, f"doc_id {kind}, set long, n long, triples array<long>, few array<long>")
+
+
+def _triples(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the three smallest members of each of eight classes of members, and their rows."""
+    member = mixed(values ^ np.uint64(0x5851F42D4C957F2D))
+    group = row * TRIPLES + (member % np.uint64(TRIPLES)).astype(np.int64)
+    order = np.lexsort((member, group))
+    member, group = member[order], group[order]
+    opens = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+    ends = np.append(opens[1:], len(group))
+    sig = mixed(group[opens].astype(np.uint64) % np.uint64(TRIPLES) + np.uint64(1))
+    for k in range(TRIPLE):
+        there = opens + k < ends
+        sig[there] = mixed(sig[there] + member[opens[there] + k])
+    return sig, group[opens] // TRIPLES
+
+
+def _small_rows(sets: DataFrame, t: Threshold, border: int) -> DataFrame:
+    """sig, set, n, c: the needed subsets of the sets up to the border, from their members in `few`."""
     picks = {
         n: [(c, np.array(list(combinations(range(n), c)), np.int64)) for c in t.subset_sizes(n, border)]
         for n in range(1, border + 1)
     }
 
-    def make(part):
-        values, ids, size, first = _distinct_sets(part.column(1))
-        sigs, sets, sizes, cs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for n in np.unique(size[size <= border]).tolist():
-            which = np.flatnonzero(size == n)
-            members = mixed(values[first[which][:, None] + np.arange(n)])
-            for c, pick in picks[n]:
-                sig = mixed(members[:, pick].sum(axis=2, dtype=np.uint64) + np.uint64(c))
-                sigs.append(sig.ravel())
-                sets.append(np.repeat(ids[which], len(pick)))
-                sizes.append(np.full(sig.size, n))
-                cs.append(np.full(sig.size, c))
-        return np.concatenate(sigs).view(np.int64), np.concatenate(sets), np.concatenate(sizes), np.concatenate(cs)
-
-    return _map(frame, make, "sig long, set long, n long, c long")
+    def run(batches):
+        for batch in batches:
+            size = batch.column(1).to_numpy()
+            for n in np.unique(size).tolist():
+                own = batch.filter(pa.array(size == n))
+                members = mixed(np.asarray(own.column(2).flatten()).view(np.uint64).reshape(-1, n))
+                for c, pick in picks[n]:
+                    lot = max(1, 200_000 // len(pick))
+                    for at in range(0, len(members), lot):
+                        sig = mixed(members[at : at + lot][:, pick].sum(axis=2, dtype=np.uint64) + np.uint64(c))
+                        ids = np.repeat(own.column(0).to_numpy()[at : at + lot], len(pick))
+                        columns = [sig.ravel().view(np.int64), ids, np.full(sig.size, n), np.full(sig.size, c)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "set", "n", "c"])
+
+    small = sets.where(F.col("n") <= border).select("set", "n", "few")
+    return small.mapInArrow(run, "sig long, set long, n long, c long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -186,33 +218,8 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(least, "sig").where("set <> p")
 
 
-def _triple_rows(frame: DataFrame, border: int) -> DataFrame:
-    """Hashes of the three smallest members of each of eight classes of members."""
-
-    def make(part):
-        values, ids, size, first = _distinct_sets(part.column(1))
-        large = np.flatnonzero(size > border)
-        count = size[large]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[large], count)
-        owner = np.repeat(np.arange(len(large)), count)
-        member = mixed(values[at] ^ np.uint64(0x5851F42D4C957F2D))
-        group = owner * TRIPLES + (member % np.uint64(TRIPLES)).astype(np.int64)
-        order = np.lexsort((member, group))
-        member, group = member[order], group[order]
-        opens = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
-        ends = np.append(opens[1:], len(group))
-        sig = mixed(group[opens].astype(np.uint64) % np.uint64(TRIPLES) + np.uint64(1))
-        for k in range(TRIPLE):
-            there = opens + k < ends
-            sig[there] = mixed(sig[there] + member[opens[there] + k])
-        own = large[group[opens] // TRIPLES]
-        return sig.view(np.int64), ids[own], size[own]
-
-    return _map(frame, make, "sig long, set long, n long")
-
-
 def _listed_rows(frame: DataFrame, t: Threshold, border: int, buckets: int) -> DataFrame:
-    """Rows (sig, set, n) of the prefix lists that hold two sets or more.
+    """Rows (sig, set) of the prefix lists that hold two sets or more.
 
     A list with several sets in one slice needs no proof and sends only one of them to be compared
     with other slices, so a frequent member costs a bucket one entry for each slice.
@@ -232,7 +239,7 @@ def _listed_rows(frame: DataFrame, t: Threshold, border: int, buckets: int) -> D
         sig, owner = sig[order], owner[order]
         opens = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
         several = ~opens | np.append(~opens[1:], False) if len(sig) else opens
-        rows = np.stack([sig, ids[owner].view(np.uint64), size[owner].astype(np.uint64)], 1)
+        rows = np.stack([sig, ids[owner].view(np.uint64)], 1)
         out = []
         for known, which in ((False, opens), (True, several)):
             part_rows = rows[which]
@@ -248,19 +255,19 @@ def _listed_rows(frame: DataFrame, t: Threshold, border: int, buckets: int) -> D
     def compare(table: pa.Table) -> pa.Table:
         known = table["known"].to_numpy()
         data = table["data"].to_pylist()
-        read = lambda keep: np.frombuffer(b"".join(d for d, k in zip(data, known) if k == keep), np.uint64).reshape(-1, 3)
+        read = lambda keep: np.frombuffer(b"".join(d for d, k in zip(data, known) if k == keep), np.uint64).reshape(-1, 2)
         rows = read(False)
         order = np.lexsort((rows[:, 1], rows[:, 0]))
         rows = rows[order]
-        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)]
+        new = np.append(True, (rows[1:] != rows[:-1]).any(1))[: len(rows)]
         rows = rows[new]
         same = rows[1:, 0] == rows[:-1, 0]
         several = np.append(False, same)[: len(rows)] | np.append(same, False)[: len(rows)]
         rows = np.concatenate([rows[several], read(True)]).view(np.int64)
-        return pa.table([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], names=["sig", "set", "n"])
+        return pa.table([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(2)], names=["sig", "set"])
 
     sent = _map(frame, make, entry)
-    return sent.groupBy("bucket").applyInArrow(compare, "sig long, set long, n long")
+    return sent.groupBy("bucket").applyInArrow(compare, "sig long, set long")
 
 
 def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
@@ -280,6 +287,7 @@ def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
 
 def without(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of `frame` whose `column` isn't among `ids`; only rows that a bit filter lets pass are shuffled."""
+    ship(frame.sparkSession)
     bits = frame.sparkSession.sparkContext.broadcast(_filter_of(ids, column))
     names = frame.columns
 
@@ -303,14 +311,9 @@ def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return without(frame, Scratch(frame.sparkSession).keep(found.distinct(), "copies"), key)
 
 
-def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sets that link, after comparing all members.
-
-    homes: set and the document (doc_id) whose text gives its members.
-    """
-    pairs = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
-    chosen = homes.join(asked, "set").select("doc_id", "set")
+def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, scratch: Scratch) -> DataFrame:
+    """set and members of the given sets, read again from the text of each set's home."""
+    chosen = scratch.keep(homes.join(sets.select("set").distinct(), "set").select("doc_id", "set"), "chosen")
     bits = frame.sparkSession.sparkContext.broadcast(_filter_of(chosen, "doc_id"))
     where = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
 
@@ -326,7 +329,30 @@ def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold,
 
     kind = frame.schema["doc_id"].dataType.simpleString()
     found = frame.select("doc_id", "text", where).mapInArrow(members, f"doc_id {kind}, members array<long>")
-    found = scratch.keep(found.join(chosen, "doc_id").select("set", "members"), "members")
+    # Rows that share a key are told apart by their set.
+    own = _map_sets(found).join(chosen, ["doc_id", "set"], "left_semi")
+    return scratch.keep(own.select("set", "members").dropDuplicates(["set"]), "members")
+
+
+def _map_sets(found: DataFrame) -> DataFrame:
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat, bounds = np.asarray(lists.flatten()).view(np.uint64), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, pa.array(set_ids(flat, bounds))], names=["doc_id", "members", "set"]
+            )
+
+    return found.mapInArrow(run, f"doc_id {kind}, members array<long>, set long")
+
+
+def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sets that link, after comparing all members."""
+    pairs = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set")))
+    found = members_of(asked, frame, homes, scratch)
     left = pairs.join(found.select(F.col("set").alias("b"), F.col("members").alias("y")), "b")
     both = left.join(found.select(F.col("set").alias("a"), F.col("members").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -334,32 +360,112 @@ def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold,
     return scratch.keep(both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
-def _star_pairs(rows: DataFrame, t: Threshold) -> DataFrame:
-    """For each set the star centre with which it has most groups in common, if the sizes allow a link."""
-    stars = _stars(rows).where(t.sql_overlap(F.col("n"), F.col("pn")) <= F.least("n", "pn"))
-    votes = stars.groupBy("set", "p").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("set").agg(F.max(F.struct("votes", "p")).alias("best"))
-    return best.select(F.col("best.p").alias("a"), F.col("set").alias("b"))
-
+def clusters_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """set, cluster and hub of the sets that share triples with a central set of their surroundings.
 
-def _list_pairs(listed: DataFrame, known: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of sets in different components that share enough listed members."""
-    rows = listed.distinct()
+    The more sets a set shares triples with, the more central it is.
+    """
+    rows = sets.select("set", F.explode(F.array_distinct("triples")).alias("sig"))
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
+    shared = scratch.keep(rows.join(sizes, "sig"), "triples")
+    degree = shared.groupBy("set").agg(F.sum("k").alias("degree"))
+    ranked = shared.join(degree, "set")
+    centres = ranked.groupBy("sig").agg(F.max(F.struct("degree", "set")).alias("top"))
+    near = ranked.join(centres.select("sig", F.col("top.set").alias("hub")), "sig").where("set <> hub")
+    votes = near.groupBy("set", "hub").agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES)
+    edges = scratch.keep(votes.select(F.col("set").alias("u"), F.col("hub").alias("v")), "near")
+    found = components(edges, scratch).select(F.col("node").alias("set"), F.col("component").alias("cluster"))
+    ranked = found.join(degree, "set")
+    hubs = ranked.groupBy("cluster").agg(F.max(F.struct("degree", "set")).alias("top"), F.count("*").alias("k"))
+    return scratch.keep(found.join(hubs.select("cluster", F.col("top.set").alias("hub"), "k"), "cluster"), "clusters")
+
+
+def compare_cell(table: pa.Table, a: int, b: int) -> pa.Table:
+    """Edges that join the sets of `left` and `right` rows which link; no two edges say the same."""
+    ids, size = table["set"].to_numpy(), np.asarray(pc.list_value_length(table["members"].combine_chunks()), np.int64)
+    left, right = table["left"].to_numpy(), table["right"].to_numpy()
+    flat = np.asarray(table["members"].combine_chunks().flatten())
+    owner = np.repeat(np.arange(len(ids)), size)
+    keep = right[owner]
+    order = np.argsort(flat[keep], kind="stable")
+    tokens, owners = flat[keep][order], owner[keep][order]
+    first = np.append(0, np.cumsum(size))
+    label, edges = np.arange(len(ids)), []
+    for r in np.flatnonzero(left).tolist():
+        own = flat[first[r] : first[r + 1]]
+        at = np.searchsorted(tokens, own, "left")
+        count = np.searchsorted(tokens, own, "right") - at
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at, count)
+        common = np.bincount(owners[place], minlength=len(ids))
+        linked = np.flatnonzero(((a + b) * common >= a * (size + size[r])) & (common > 0))
+        others, where = np.unique(label[linked], return_index=True)
+        for o, w in zip(others.tolist(), linked[where].tolist()):
+            if o != label[r]:
+                edges.append((int(ids[r]), int(ids[w])))
+                label[label == o] = label[r]
+    u, v = zip(*edges) if edges else ([], [])
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _compared(cells: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
+    return cells.groupBy(*keys).applyInArrow(lambda table: compare_cell(table, t.a, t.b), "u long, v long")
+
+
+def cluster_links(clusters: DataFrame, members: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
+    """Edges that connect the linked sets of each cluster."""
+    slices = F.ceil(F.col("k") / SLICE).cast("long")
+    rows = clusters.join(members, "set").withColumn("slices", slices)
+    own = F.when(F.col("set") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    own = F.coalesce(own, F.array(F.pmod(F.xxhash64("set"), F.col("slices"))))
+    both = [F.lit(True).alias("left"), F.lit(True).alias("right")]
+    inside = rows.select("cluster", F.explode(own).alias("slice"), "set", "members", *both)
+    links = scratch.keep(_compared(inside, ["cluster", "slice"], t), "inside")
+    # Clusters of several slices: whatever isn't in the largest component meets all others.
+    wide = clusters.where(F.col("k") > SLICE)
+    parts = wide.join(components(links, scratch).withColumnRenamed("node", "set"), "set", "left")
+    parts = parts.withColumn("component", F.coalesce("component", "set"))
+    counts = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"))
+    parts = parts.join(largest.select("cluster", F.col("top.component").alias("main")), "cluster")
+    parts = scratch.keep(parts.withColumn("apart", F.col("component") != F.col("main")), "parts")
+    apart = parts.where("apart").groupBy("cluster").agg(F.ceil(F.count("*") / SLICE).cast("long").alias("across"))
+    parts = parts.join(apart, "cluster").join(members, "set").withColumn("slices", slices)
+    hashed = F.xxhash64("set")
+    spread = F.lit(0).cast("long")
+    lefts = parts.where("apart").select(
+        "cluster", F.pmod(hashed, F.col("across")).alias("i"),
+        F.explode(F.sequence(spread, F.col("slices") - 1)).alias("j"), "set", "members",
+        F.lit(True).alias("left"), F.lit(False).alias("right"),
+    )
+    rights = parts.select(
+        "cluster", F.explode(F.sequence(spread, F.col("across") - 1)).alias("i"),
+        F.pmod(hashed, F.col("slices")).alias("j"), "set", "members",
+        F.lit(False).alias("left"), F.lit(True).alias("right"),
+    )
+    across = scratch.keep(_compared(lefts.unionAll(rights), ["cluster", "i", "j"], t), "across")
+    return links.unionAll(across)
+
+
+def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
+    """Pairs of sets in different clusters that share enough listed members."""
+    place = homes.select("set", "n").join(clusters.select("set", "cluster"), "set", "left")
+    rows = listed.join(place.withColumn("cluster", F.coalesce("cluster", "set")), "set")
+    several = rows.groupBy("sig").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi")
+    # Sets of different clusters only meet on lists that hold several clusters.
+    rows = scratch.keep(rows.join(several.select("sig"), "sig", "left_semi").distinct(), "across-lists")
     heavy = rows.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY).select("sig", F.lit(1).alias("heavy"))
     rows = rows.join(heavy, "sig", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
     load = rows.groupBy("set").agg(F.sum("heavy").alias("load"))
-    rows = rows.join(load, "set").join(known.select(F.col("node").alias("set"), "component"), "set", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "set"))
+    rows = rows.join(load, "set")
     # Linked sets share 1 + n/EXTRA listed members or more; with fewer heavy ones a light one is among them.
     light = F.col("load") <= F.floor(F.col("n") / EXTRA)
     rows = rows.where((F.col("heavy") == 0) | ~light)
     rows = rows.withColumn("left_out", F.when(light, F.col("load")).otherwise(0)).drop("heavy", "load")
-    mixed_lists = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(mixed_lists.where("lo <> hi").select("sig"), "sig")
-    left = rows.select("sig", *(F.col(c).alias(f"{c}1") for c in ("set", "n", "component", "left_out")))
-    right = rows.select("sig", *(F.col(c).alias(f"{c}2") for c in ("set", "n", "component", "left_out")))
+    names = ("set", "n", "cluster", "left_out")
+    left = rows.select("sig", *(F.col(c).alias(f"{c}1") for c in names))
+    right = rows.select("sig", *(F.col(c).alias(f"{c}2") for c in names))
     need = t.sql_overlap(F.col("n1"), F.col("n2"))
-    pairs = left.join(right, "sig").where((F.col("component1") < F.col("component2")) & (need <= F.least("n1", "n2")))
+    pairs = left.join(right, "sig").where((F.col("cluster1") < F.col("cluster2")) & (need <= F.least("n1", "n2")))
     counts = pairs.groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2").agg(F.count("*").alias("shared"))
     listed_in_both = F.least(
         t.sql_prefix(F.col("n1")) - F.col("n1") + need, t.sql_prefix(F.col("n2")) - F.col("n2") + need
@@ -378,22 +484,24 @@ def linked_components(frame: DataFrame, key: str = "doc_id", text: str = "text")
     t = Threshold()
     scratch = Scratch(frame.sparkSession)
     source = identified(frame, key, text)
-    docs = scratch.keep(sets_of(source), "sets")
-    homes = docs.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    made = scratch.keep(sets_of(source), "sets")
+    docs = made.select("doc_id", "set", "n")
+    homes = made.where("n > 0").groupBy("set").agg(
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "triples", "few"))
+    )
     homes = scratch.keep(homes, "homes")
     counts = homes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").agg(F.count("*").alias("k")).collect()
     border = t.border({r.n: r.k for r in counts})
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    edges = []
-    if border:
-        stars = _stars(_small_rows(source, t, border).distinct())
-        small = stars.where(t.sql_overlap(F.col("n"), F.col("pn")) <= F.col("c"))
-        edges.append(scratch.keep(small.select(F.col("p").alias("u"), F.col("set").alias("v")).distinct(), "small"))
-    near = _star_pairs(_triple_rows(source, border).distinct(), t)
-    edges.append(checked(near, source, homes, t, scratch))
-    known = scratch.keep(components(_union(edges), scratch), "known")
+    stars = _stars(_small_rows(homes, t, border))
+    small = stars.where(t.sql_overlap(F.col("n"), F.col("pn")) <= F.col("c"))
+    small = scratch.keep(small.select(F.col("p").alias("u"), F.col("set").alias("v")).distinct(), "small")
+    clusters = clusters_of(homes.where(F.col("n") > border), scratch)
+    members = members_of(clusters, source, homes, scratch)
+    edges = small.unionAll(cluster_links(clusters, members, t, scratch))
+    known = scratch.keep(components(edges, scratch), "known")
     listed = scratch.keep(_listed_rows(source, t, border, max(1, -(-size // BUCKET_BYTES))), "listed")
-    more = checked(_list_pairs(listed, known, t), source, homes, t, scratch)
+    more = checked(_list_pairs(listed, homes, clusters, t, scratch), source, homes, t, scratch)
     # Components found so far are linked further through their smallest sets.
     roots = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = scratch.keep(components(more.unionAll(roots), scratch), "final")
@@ -405,9 +513,3 @@ def linked_components(frame: DataFrame, key: str = "doc_id", text: str = "text")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out

@@ -6,7 +6,10 @@ found on UTF-8 bytes; no character is ever cut.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +129,23 @@ def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator
         at = to
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def append(
     frame: DataFrame,
     text: str,
@@ -134,6 +154,7 @@ def append(
     limit: int = STEP_BYTES,
 ) -> DataFrame:
     """`frame` with the columns that `compute` makes of each slice; a column of such a name is replaced."""
+    ship(frame.sparkSession)
     new = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
     taken = {name.lower() for name in fields}
     kept = [c for c in frame.columns if c.lower() not in taken]
@@ -158,6 +179,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def identified(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, under the names doc_id and text; a null text is empty."""
+    ship(frame.sparkSession)
     return frame.select(
         F.col(f"`{key}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
