@@ -325,29 +325,16 @@ def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, scratch: Scr
             for part in steps(some, "text"):
                 values, bounds = shingle_sets(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "members"])
+                ids = pa.array(set_ids(values, bounds))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, lists], names=["doc_id", "set", "members"])
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    found = frame.select("doc_id", "text", where).mapInArrow(members, f"doc_id {kind}, members array<long>")
+    found = frame.select("doc_id", "text", where).mapInArrow(members, f"doc_id {kind}, set long, members array<long>")
     # Rows that share a key are told apart by their set.
-    own = _map_sets(found).join(chosen, ["doc_id", "set"], "left_semi")
+    own = found.join(chosen, ["doc_id", "set"], "left_semi")
     return scratch.keep(own.select("set", "members").dropDuplicates(["set"]), "members")
 
 
-def _map_sets(found: DataFrame) -> DataFrame:
-    kind = found.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat, bounds = np.asarray(lists.flatten()).view(np.uint64), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(set_ids(flat, bounds))], names=["doc_id", "members", "set"]
-            )
-
-    return found.mapInArrow(run, f"doc_id {kind}, members array<long>, set long")
-
-
 def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sets that link, after comparing all members."""
     pairs = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
