@@ -1,203 +1,78 @@
-"""Price-triggered valuation of a stream.
-
-Holdings, orders and instruments are state; a price tick emits every position of its
-instrument with that one price. State is kept per instrument and bucket: a position lives in
-one bucket, prices and instrument data go to all of them, so a busy instrument is spread over
-several tasks and all of them see the same price record.
-
-Within a micro-batch the rows of a key are applied in order of their time, state before ticks
-at the same time; across micro-batches in order of arrival. The rows of one key in one
-micro-batch are held together, so bound a micro-batch at the source and choose enough buckets.
-Arithmetic is left to column expressions behind the stateful step.
+"""Price-triggered valuation of a stream: each micro-batch is a piece of the replayed log.
+
+Holdings, orders and instruments are latest-value tables below a shared folder. The ticks of a
+micro-batch meet the rows known at each tick, out of the tables as they were before the batch and
+the batch's own messages, with the plan of the batch replay; then the messages go into the tables.
+There is no row-wise code and no state held in a task: how an instrument is spread over tasks
+follows from its counts.
+
+Known means arrived: rows are ordered by the time of their record and the offset, whatever time
+their text gives, so the result does not depend on where micro-batches are cut. A position without
+a quantity replaces the one before it and is valued as nothing. A micro-batch that is run again
+replaces what it wrote.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from navspark.functions.valuation import value_positions
-from navspark.operators.positions import (
-    INSTRUMENT_COLUMNS,
-    UNIFIED_COLUMNS,
-    positions,
-    price_columns,
-    union_feeds,
-)
-from navspark.schemas import LIVE_HOURS, PRICE, QUANTITY
-from navspark.sources.decode import read_dataset
-
-# The processor travels to the executors by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-HELD = {"timestamp": "TIMESTAMP_NTZ", "holdingId": "STRING", "date": "DATE",
-        "position": QUANTITY}
-ORDERED = {
-    "accountId": "STRING", "timestamp": "TIMESTAMP_NTZ", "orderQuantity": QUANTITY,
-    "filledQuantity": QUANTITY, "orderStatus": "STRING", "orderPrice": PRICE,
-    "orderType": "STRING", "venue": "STRING",
-}
-STATIC = {
-    "instrumentName": "STRING", "instrumentType": "STRING", "currency": "STRING",
-    "countryOfRisk": "STRING", "countryOfDomicile": "STRING", "sector": "STRING",
-    "subSectors": "ARRAY<STRING>",
-}
-TICK = {
-    "price": PRICE, "priceCurrency": "STRING", "priceSource": "STRING",
-    "priceTimestamp": "TIMESTAMP_NTZ", "tickTime": "TIMESTAMP_NTZ", "tickSequence": "BIGINT",
-}
-EMITTED = {
-    "recordType": "STRING", "instrumentId": "STRING", "accountId": "STRING", **HELD,
-    "orderId": "STRING", **ORDERED, **STATIC, **TICK,
-}
-
-# Valued rows gathered into one frame on their way out.
-ROWS_PER_FRAME = 10_000
-
-
-def _ddl(fields: dict[str, str]) -> str:
-    return ", ".join(f"{name} {kind}" for name, kind in fields.items())
-
-
-def tagged_events(
-    holdings: DataFrame, orders: DataFrame, instruments: DataFrame, prices: DataFrame,
-    buckets: int = 1,
-) -> DataFrame:
-    """The four feeds as one stream keyed by instrument and bucket."""
-    current = positions(holdings, orders, ["sequence"])
-    owner = F.coalesce("orderId", "accountId")
-    placed = current.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(buckets)).cast("int"))
-    everywhere = F.explode(F.array(*[F.lit(i) for i in range(buckets)])).alias("bucket")
-    ticks = price_columns(
-        prices, F.col("timestamp").alias("tickTime"), F.col("sequence").alias("tickSequence")
-    ).select(
-        "*", F.col("tickTime").alias("timestamp"), F.col("tickSequence").alias("sequence"),
-        everywhere,
-    )
-    static = instruments.select(
-        "instrumentId", *INSTRUMENT_COLUMNS, "timestamp", "sequence", everywhere
-    )
-    return union_feeds(position=placed, instrument=static, price=ticks)
-
-
-class Revaluation(StatefulProcessor):
-    """State upkeep and emission for one (instrument, bucket)."""
-
-    def __init__(self, expire: bool = False):
-        self.expire = expire
+from pyspark.sql.streaming import StreamingQuery
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        def ttl(dataset: str) -> int | None:
-            return LIVE_HOURS[dataset] * 3_600_000 if self.expire else None
+from navspark.operators.latest import STATE_KEYS, live_rows
+from navspark.operators.replay import replay
+from navspark.sources.decode import ARRIVED_AT, read_dataset
+from navspark.streaming.tables import LatestTable, listen
 
-        self.held = handle.getMapState("held", "accountId STRING", _ddl(HELD), ttl("holding"))
-        self.ordered = handle.getMapState("ordered", "orderId STRING", _ddl(ORDERED), ttl("order"))
-        self.static = handle.getValueState("static", _ddl(STATIC), ttl("instrument"))
+STATE = ("holding", "order", "instrument")
 
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        events = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        events["_late"] = events["feed"] == "price"
-        events = events.sort_values(["timestamp", "_late", "sequence"], kind="stable")
-        emits = bool(events["_late"].any())
-        held = dict(self.held.iterator()) if emits else {}
-        ordered = dict(self.ordered.iterator()) if emits else {}
-        static = self.static.get() if emits else None
-        book: list[tuple] | None = None
-        changed: dict[tuple[str, tuple], tuple] = {}
-        ready: list[tuple] = []
 
-        for event in events.to_dict("records"):
-            kind = event["feed"]
-            if kind == "instrument":
-                static = _values(event, STATIC)
-                changed["static", ()] = static
-            elif kind == "position":
-                book = None
-                if event["recordType"] == "HOLDING":
-                    owner, value, table = (event["accountId"],), _values(event, HELD), held
-                else:
-                    owner, value, table = (event["orderId"],), _values(event, ORDERED), ordered
-                table[owner] = value
-                changed[event["recordType"], owner] = value
-            elif static is not None and (held or ordered):
-                if book is None:
-                    book = _book(key[0], held, ordered)
-                priced = (*static, *_values(event, TICK))
-                for position in book:
-                    ready.append(position + priced)
-                    if len(ready) == ROWS_PER_FRAME:
-                        yield _frame(ready)
-                        ready = []
-        if ready:
-            yield _frame(ready)
+class Revaluation:
+    """Tables, valued rows and progress of one stream, below ``folder``.
 
-        for (kind, owner), value in changed.items():
-            if kind == "static":
-                self.static.update(value)
-            elif kind == "HOLDING":
-                self.held.updateValue(owner, value)
-            else:
-                self.ordered.updateValue(owner, value)
-
-    def close(self) -> None:
-        pass
-
-
-def _values(event: dict[str, Any], fields: dict[str, str]) -> tuple:
-    return tuple(_plain(event[name]) for name in fields)
-
-
-def _plain(value: Any) -> Any:
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    if hasattr(value, "tolist") and not isinstance(value, str):
-        value = value.tolist()
-    return None if isinstance(value, float) and value != value or value is pd.NaT else value
-
-
-def _book(instrument: str, held: dict, ordered: dict) -> list[tuple]:
-    """All positions of the key, laid out as the position columns of EMITTED."""
-    rows = [
-        ("HOLDING", instrument, owner[0], *value, None, *[None] * (len(ORDERED) - 2))
-        for owner, value in held.items()
-    ]
-    for owner, value in ordered.items():
-        account, moment, *terms = value
-        rows.append(("ORDER", instrument, account, moment, None, None, None, owner[0], *terms))
-    return rows
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=list(EMITTED), dtype=object)
-
-
-def revalue(events: DataFrame, mode: str = "raw", expire: bool = False) -> DataFrame:
-    """Valued rows of a tagged event stream, one per tick and live position.
-
-    ``expire`` drops state whose time-to-live has passed on the clock; such a stream needs a
-    processing-time trigger, as it never runs out of batches.
+    With ``expire`` a row of a table counts only until its time-to-live has passed, measured from
+    the newest record of the micro-batch.
     """
-    emitted = events.groupBy("instrumentId", "bucket").transformWithStateInPandas(
-        statefulProcessor=Revaluation(expire),
-        outputStructType=_ddl(EMITTED),
-        outputMode="Append",
-        timeMode="ProcessingTime" if expire else "None",
-    )
-    valued = value_positions(emitted, mode)
-    return valued.select(*UNIFIED_COLUMNS, "tickTime", "tickSequence")
-
 
-def revalue_log(log: DataFrame, buckets: int = 1, mode: str = "raw") -> DataFrame:
-    """Valued rows of a stream of topic records."""
-    feeds = [read_dataset(log, name) for name in ("holding", "order", "instrument", "price")]
-    return revalue(tagged_events(*feeds, buckets=buckets), mode)
+    def __init__(self, folder: str, mode: str = "raw", expire: bool = False, fold_every: int = 20):
+        self.folder = folder
+        self.mode = mode
+        self.expire = expire
+        self.tables = {
+            name: LatestTable(
+                f"{folder}/state/{name}", STATE_KEYS[name], [ARRIVED_AT, "sequence"], fold_every
+            )
+            for name in STATE
+        }
+
+    def _known(self, name: str, news: DataFrame, newest: DataFrame, batch_id: int) -> DataFrame:
+        """What the table held before the batch, and the batch's own messages."""
+        if batch_id == 0:
+            return news
+        before = self.tables[name].before(news, batch_id)
+        if self.expire:
+            before = live_rows(before, name, newest.scalar(), ARRIVED_AT)
+        return before.unionByName(news)
+
+    def advance(self, batch: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``: value the ticks of a micro-batch of topic records."""
+        news = {name: read_dataset(batch, name, arrival=True) for name in (*STATE, "price")}
+        newest = batch.agg(F.max("timestamp").cast("timestamp_ntz").alias("newest"))
+        known = [self._known(name, news[name], newest, batch_id) for name in STATE]
+        valued = replay(*known, news["price"], self.mode, arrival=ARRIVED_AT)
+        (
+            valued.withColumn("batch", F.lit(batch_id).cast("bigint"))
+            .write.partitionBy("batch")
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .parquet(f"{self.folder}/valued")
+        )
+        for name in STATE:
+            self.tables[name].upsert(news[name], batch_id)
+
+    def start(self, log: DataFrame, every: str | None = None) -> StreamingQuery:
+        """Run on a stream of topic records; without ``every`` to the end of what is there."""
+        return listen(log, self.advance, f"{self.folder}/checkpoint", "append", every)
+
+    def valued(self, spark: SparkSession) -> DataFrame:
+        """All valued rows so far, one per tick and live position."""
+        return spark.read.parquet(f"{self.folder}/valued").drop("batch")

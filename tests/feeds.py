@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 from navspark.schemas import schema_of
@@ -11,7 +11,7 @@ NOON = datetime(2024, 1, 15, 12)
 
 
 def at(minute):
-    return datetime(2024, 1, 15, 12 + minute // 60, minute % 60)
+    return datetime(2024, 1, 15, 12) + timedelta(minutes=minute)
 
 
 def frame(spark, dataset, rows):
@@ -25,7 +25,8 @@ def frame(spark, dataset, rows):
 def holding(minute, position, account="ACC001", instrument="AAPL", day=15, sequence=None):
     return {
         "holdingId": f"H{minute}-{account}", "date": date(2024, 1, day), "instrumentId": instrument,
-        "accountId": account, "position": Decimal(position), "timestamp": at(minute),
+        "accountId": account, "timestamp": at(minute),
+        "position": None if position is None else Decimal(position),
         "sequence": minute if sequence is None else sequence,
     }
 

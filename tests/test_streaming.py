@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from navspark.operators.replay import replay
 from navspark.plans import streams
 from navspark.plans.request import ViewRequest
 from navspark.schemas import TOPICS
-from navspark.session import shared_folder, use_incremental_state
+from navspark.session import shared_folder
 from navspark.sources import decode, publish, topics
 from navspark.streaming import revalue, tables
 from tests.conftest import rows_of
@@ -93,18 +91,23 @@ def to_log(logs):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@pytest.mark.parametrize("buckets", [1, 3])
-def test_stream_equals_replay_through_restarts(spark, buckets):
-    use_incremental_state(spark)
-    folder, logs = shared_folder(spark), sample(spark)
+MANY_CUTS = tuple(f"2024-01-15 12:{minute:02d}:00" for minute in (2, 11, 15, 21, 24, 31))
+
+
+def streamed(spark, log, cuts, **options):
+    """Valued rows of a log that a stream reads slice by slice."""
+    folder = shared_folder(spark)
+    stream = revalue.Revaluation(folder, **options)
+    streams.run_in_slices(
+        log, folder, lambda: stream.start(topics.file_topics(spark, f"{folder}/log")), cuts
+    )
+    return stream.valued(spark)
 
-    def start():
-        valued = revalue.revalue_log(topics.file_topics(spark, f"{folder}/log"), buckets)
-        return tables.append_to(valued, f"{folder}/out", f"{folder}/checkpoint")
 
-    cuts = ("2024-01-15 12:15:00", "2024-01-15 12:21:00")
-    streams.run_in_slices(to_log(logs), folder, start, cuts)
-    found = spark.read.parquet(f"{folder}/out").select(*KEPT)
+@pytest.mark.parametrize("cuts", [(), MANY_CUTS])
+def test_stream_equals_replay_through_restarts(spark, cuts):
+    logs = sample(spark)
+    found = streamed(spark, to_log(logs), cuts, fold_every=2).select(*KEPT)
     expected = replay(*logs).withColumn(
         "filledQuantity",
         F.when(F.col("recordType") == "ORDER", F.coalesce("filledQuantity", F.lit(0))),
@@ -113,20 +116,53 @@ def test_stream_equals_replay_through_restarts(spark, buckets):
     assert found.count() == 13
 
 
-def test_expiring_state_runs(spark):
-    use_incremental_state(spark)
-    folder, logs = shared_folder(spark), sample(spark)
-    to_log(logs).write.parquet(f"{folder}/log")
-    log = topics.file_topics(spark, f"{folder}/log")
-    feeds_ = [decode.read_dataset(log, n) for n in ("holding", "order", "instrument", "price")]
-    valued = revalue.revalue(revalue.tagged_events(*feeds_), expire=True)
-    stream = tables.append_to(valued, f"{folder}/out", f"{folder}/checkpoint", every="1 second")
-    for _ in range(240):
-        if any(p["numInputRows"] for p in stream.recentProgress) or not stream.isActive:
-            break
-        time.sleep(0.25)
-    stream.stop()
-    assert spark.read.parquet(f"{folder}/out").count() == 13
+def test_a_position_without_quantity_ends_the_one_before(spark):
+    logs = feeds(
+        spark, [holding(0, 10), holding(20, None)], [], [instrument(0)],
+        [price(10, 10), price(30, 11)],
+    )
+    expected = rows_of(replay(*logs).select(*KEPT))
+    assert [r[KEPT.index("tickSequence")] for r in expected] == [10]
+    for cuts in ((), ("2024-01-15 12:15:00",), ("2024-01-15 12:25:00",)):
+        found = streamed(spark, to_log(logs), cuts)
+        assert rows_of(found.filter("recordType = 'HOLDING'").select(*KEPT)) == expected
+
+
+def test_late_rows_do_not_depend_on_the_cuts(spark):
+    """Two messages that arrive after others with a later time in their text."""
+    logs = feeds(
+        spark, [holding(0, 10), holding(2, 4, "ACC002")], [], [instrument(0)],
+        [price(5, 9), price(10, 10), price(7, 8)],
+    )
+    minute = F.minute(F.col("timestamp"))
+    late = F.when(minute == 2, 11).when(minute == 7, 12).otherwise(minute)
+    log = to_log(logs).withColumn(
+        "timestamp", F.lit("2024-01-15 12:00:00").cast("timestamp") + F.make_interval(mins=late)
+    )
+    kept = ["accountId", "price", "tickSequence", "marketValueUSD"]
+    whole = rows_of(streamed(spark, log, ()).select(*kept))
+    assert [r[0] for r in whole].count("ACC002") == 1
+    for cuts in (("2024-01-15 12:11:00",), MANY_CUTS):
+        assert rows_of(streamed(spark, log, cuts).select(*kept)) == whole
+
+
+def test_expired_state_is_not_valued(spark):
+    """An instrument lives for thirty days, a holding for seven."""
+    logs = feeds(
+        spark, [holding(0, 10)], [], [instrument(0)], [price(1, 9), price(60 * 24 * 8, 10)]
+    )
+    cut = ("2024-01-16 00:00:00",)
+    assert streamed(spark, to_log(logs), cut).count() == 2
+    assert streamed(spark, to_log(logs), cut, expire=True).count() == 1
+
+
+def test_old_generations_go(spark, tmp_path):
+    table = tables.LatestTable(f"{tmp_path}/t", ["k"], ["n"], fold_every=2)
+    for number in range(9):
+        table.upsert(spark.createDataFrame([("a", number)], "k STRING, n INT"), number)
+    left = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("generation")}
+    assert left == {"generation=-1", "generation=3", "generation=4"}
+    assert rows_of(table.current(spark)) == [("a", 8)]
 
 
 def test_table_survives_a_repeated_batch(spark):
