@@ -24,7 +24,7 @@ def page_totals(
     instruments: Sequence[str] | None = None,
 ) -> DataFrame:
     """Totals over the chosen rows; an empty choice means all."""
-    rows = valued.filter(in_accounts(accounts) & in_instruments(instruments))
+    rows = valued.filter(in_accounts(accounts or None) & in_instruments(instruments))
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast(RAW_MONEY)
@@ -38,6 +38,11 @@ def page_totals(
     )
 
 
+def lookup(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose key, the one column of ``ids``, is listed there."""
+    return df.join(ids.distinct(), ids.columns, "left_semi")
+
+
 def dataset_counts(datasets: Mapping[str, DataFrame]) -> DataFrame:
     """(dataset, rows), one row per dataset, empty ones included."""
     parts = [

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navspark.operators import positions
-from navspark.plans import catalog, streams  # noqa: F401  (registers the queries)
+from navspark.plans import catalog, lookups, streams  # noqa: F401  (registers the queries)
 from navspark.plans.feeds import Feeds
 from navspark.plans.registry import QUERIES
 
