@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, html_text, ngram_join, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
+from navspark.llm import decontaminate, html_text, ngram_join, oracles, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,16 +65,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return rare_digest.compared(spark, folder)
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.deduplicate(documents(spark, folder))
 
 
-@query("op9_suffix_dedup")
+@query("op9_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, folder))
 
 
-@query("op2_ngram_join")
+@query("op2_ngram_join", oracles.NGRAM_JOIN)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked_components(documents(spark, folder))
