@@ -409,6 +409,8 @@ def cluster_links(clusters: DataFrame, members: DataFrame, t: Threshold, scratch
     links = scratch.keep(_compared(inside, ["cluster", "slice"], t), "inside")
     # Clusters of several slices: whatever isn't in the largest component meets all others.
     wide = clusters.where(F.col("k") > SLICE)
+    if wide.isEmpty():
+        return links
     parts = wide.join(components(links, scratch).withColumnRenamed("node", "set"), "set", "left")
     parts = parts.withColumn("component", F.coalesce("component", "set"))
     counts = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"))
@@ -486,12 +488,9 @@ def linked_components(frame: DataFrame, key: str = "doc_id", text: str = "text")
     clusters = clusters_of(homes.where(F.col("n") > border), scratch)
     members = members_of(clusters, source, homes, scratch)
     edges = small.unionAll(cluster_links(clusters, members, t, scratch))
-    known = scratch.keep(components(edges, scratch), "known")
     listed = scratch.keep(_listed_rows(source, t, border, max(1, -(-size // BUCKET_BYTES))), "listed")
     more = checked(_list_pairs(listed, homes, clusters, t, scratch), source, homes, t, scratch)
-    # Components found so far are linked further through their smallest sets.
-    roots = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = scratch.keep(components(more.unionAll(roots), scratch), "final")
+    final = components(edges.unionAll(more), scratch)
     place = homes.join(final.withColumnRenamed("node", "set"), "set", "left")
     place = place.select("set", "doc_id", F.coalesce("component", "set").alias("component"))
     least = place.groupBy("component").agg(F.min("doc_id").alias("component_id"))
