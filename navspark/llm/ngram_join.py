@@ -8,9 +8,9 @@ they share c(n, m) = ceil(t/(1+t) * (n+m)) members. Sets are handled by size:
   c(n, m) members link, and in a group with one subset of size c every link goes through its smallest
   set; so groups give stars, which need no check.
 - Large sets are scanned through inverted lists. A set lists a prefix of its members in hash order,
-  so long that two linked sets have enough listed members in common. Lists with more than HEAVY sets
-  are left out for a set if so few of its members are on such lists that a link must show on others;
-  otherwise they stay.
+  so long that two linked sets have many listed members in common. Each set leaves out its longest
+  lists, of those with more than HEAVY sets, as many as it can spare: lists are left out in one order
+  for all, so what a pair loses is at most what one of both leaves out, and a link always shows.
 - The border between both is the one with the lowest cost for the corpus's sizes.
 
 Near copies are settled before the lists are scanned. Sets that share two or more of eight triples
@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,8 @@ SHINGLE = 4
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 85, 100
 #: Sets on one list from which it counts as heavy, and the share of members listed besides the needed.
-HEAVY, EXTRA = 256, 20
+HEAVY = 256
+EXTRA = (3, 20)
 #: The border lies at most here; the cost of a listed member in terms of an enumerated subset.
 LARGEST_SMALL, LIST_COST = 24, 6
 TRIPLE, TRIPLES = 3, 8
@@ -69,7 +70,7 @@ class Threshold:
     def prefix(self, n):
         """Listed members of a set of n (number or array)."""
         low = -(-self.a * n // self.b)
-        return np.minimum(n, n - -(-self.a * (n + low) // (self.a + self.b)) + 1 + n // EXTRA)
+        return np.minimum(n, n - -(-self.a * (n + low) // (self.a + self.b)) + 1 + EXTRA[0] * n // EXTRA[1])
 
     def subset_sizes(self, n: int, border: int) -> list[int]:
         return sorted({self.overlap(n, m) for m in self.sizes(n) if m <= border})
@@ -82,7 +83,11 @@ class Threshold:
 
     def sql_prefix(self, n: Column) -> Column:
         low = F.ceil(n * self.a / self.b - 1e-9)
-        return F.least(n.cast("long"), n - F.ceil((n + low) * self.a / (self.a + self.b) - 1e-9) + 1 + F.floor(n / EXTRA))
+        return F.least(n.cast("long"), n - F.ceil((n + low) * self.a / (self.a + self.b) - 1e-9) + 1 + F.floor(EXTRA[0] * n / EXTRA[1]))
+
+    def sql_spare(self, n: Column) -> Column:
+        """Lists that a set of n can leave out: no more than any partner has besides the needed."""
+        return F.floor(n * (EXTRA[0] * self.a) / (EXTRA[1] * self.b) + 1e-9)
 
     def border(self, counts: dict[int, int]) -> int:
         """The cheapest border; counts: sets by size."""
@@ -442,14 +447,14 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     several = rows.groupBy("sig").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi")
     # Sets of different clusters only meet on lists that hold several clusters.
     rows = scratch.keep(rows.join(several.select("sig"), "sig", "left_semi").distinct(), "across-lists")
-    heavy = rows.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY).select("sig", F.lit(1).alias("heavy"))
-    rows = rows.join(heavy, "sig", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
-    load = rows.groupBy("set").agg(F.sum("heavy").alias("load"))
-    rows = rows.join(load, "set")
-    # Linked sets share 1 + n/EXTRA listed members or more; with fewer heavy ones a light one is among them.
-    light = F.col("load") <= F.floor(F.col("n") / EXTRA)
-    rows = rows.where((F.col("heavy") == 0) | ~light)
-    rows = rows.withColumn("left_out", F.when(light, F.col("load")).otherwise(0)).drop("heavy", "load")
+    heavy = rows.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY)
+    rows = rows.join(heavy, "sig", "left")
+    # The longest lists first, in the same order for every set.
+    own = Window.partitionBy("set")
+    place = F.row_number().over(own.orderBy(F.col("k").desc_nulls_last(), "sig"))
+    rows = rows.withColumn("spared", F.col("k").isNotNull() & (place <= t.sql_spare(F.col("n"))))
+    rows = rows.withColumn("left_out", F.sum(F.col("spared").cast("long")).over(own))
+    rows = rows.where(~F.col("spared")).drop("k", "spared")
     names = ("set", "n", "cluster", "left_out")
     left = rows.select("sig", *(F.col(c).alias(f"{c}1") for c in names))
     right = rows.select("sig", *(F.col(c).alias(f"{c}2") for c in names))
@@ -459,8 +464,8 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     listed_in_both = F.least(
         t.sql_prefix(F.col("n1")) - F.col("n1") + need, t.sql_prefix(F.col("n2")) - F.col("n2") + need
     )
-    # A heavy list may be left out on either side.
-    enough = F.col("shared") + F.col("left_out1") + F.col("left_out2") >= listed_in_both
+    # Of the common lists, those left out by either are the longest ones: as many as one of both left out.
+    enough = F.col("shared") + F.greatest("left_out1", "left_out2") >= listed_in_both
     return counts.where(enough).select(F.col("set1").alias("a"), F.col("set2").alias("b"))
 
 
