@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from navspark.llm.text import ship
 
-#: Bytes of text that a bucket holds on average.
-BUCKET_BYTES = 24 << 20
+#: Bytes of text that a bucket holds on average, as long as there are no more than MOST_BUCKETS; beyond,
+#: buckets grow. A task streams its bucket row by row, so a larger one takes longer but no more memory.
+BUCKET_BYTES = 8 << 20
+MOST_BUCKETS = 2048
 #: Keys from which the borders are chosen, for each bucket.
 KEYS_PER_BUCKET = 64
 BUCKET, PLACE, KEY = "__bucket", "__place", "__key"
@@ -28,13 +30,15 @@ def in_order(frame: DataFrame, key: Column, text: str, *more: str, around: bool
     ship(frame.sparkSession)
     keyed = frame.withColumn(KEY, key)
     size = keyed.agg(F.sum(F.octet_length(F.col(text))).alias("n"), F.count("*").alias("rows")).first()
-    buckets = max(1, -(-(size.n or 0) // BUCKET_BYTES))
+    buckets = min(MOST_BUCKETS, max(1, -(-(size.n or 0) // BUCKET_BYTES)))
     borders: list = []
     if buckets > 1:
-        sample = keyed.select(KEY).orderBy(F.xxhash64(KEY), KEY).limit(buckets * KEYS_PER_BUCKET)
-        keys = sorted({r[0] for r in sample.collect()}, key=lambda k: k.encode() if isinstance(k, str) else k)
+        # About KEYS_PER_BUCKET keys for each bucket, the same in every run.
+        chosen = F.pmod(F.xxhash64(KEY), F.lit(max(1, size.rows))) < buckets * KEYS_PER_BUCKET
+        sample = keyed.select(KEY).where(chosen).distinct().collect()
+        keys = sorted((r[0] for r in sample), key=lambda k: k.encode() if isinstance(k, str) else k)
         step = len(keys) / buckets
-        borders = sorted({keys[int(i * step)] for i in range(1, buckets)})
+        borders = sorted({keys[int(i * step)] for i in range(1, buckets)}) if keys else []
     bucket = F.lit(0)
     if borders:
         listed = F.array(*[F.lit(b) for b in borders])
