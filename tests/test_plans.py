@@ -44,3 +44,11 @@ def test_exposure_prunes_columns(spark, data):
     plan = plan_of(QUERIES["account_overview_by_sector"](spark, data))
     events = re.search(r"ReadSchema: struct<([^>]*user_id[^>]*)>", plan).group(1)
     assert "props" not in events
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_building_a_query_runs_no_job(name, spark, data):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    QUERIES[name](spark, data)
+    assert set(tracker.getJobIdsForGroup()) == before
