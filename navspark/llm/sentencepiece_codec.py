@@ -30,7 +30,7 @@ MARK = "▁"
 #: A vocabulary file above this size isn't sent to the executors.
 MODEL_LIMIT = 64 << 20
 #: Distinct words that a worker keeps encoded; beyond it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _NEVER = np.int64(1 << 40)
 _SHIFT = np.int64(1 << 21)
 
