@@ -2,21 +2,30 @@
 
 The items make an inverted index with impacts per posting; items lie in blocks, and each term keeps
 its largest impact overall and per block. A passage is given up when the sum of its terms' largest
-impacts stays below the lowest threshold (an item's threshold is a share of the score that its own
-text would get), a block when the sum of its block maxima stays below the lowest threshold in it;
+impacts stays below the lowest threshold (an item's threshold is a share of the best score that a run
+of a passage's length in its own text would get), a block when the sum of its block maxima stays below
+the lowest threshold in it;
 all items of the blocks left are scored in full, and all above their threshold go to verification.
 There the words around the passage must hold a given share of the item's word n-grams, for its
 question (all sentences but the last) and its answer (the last sentence; of a single sentence, the
 last third of its words).
 
 Passages overlap by half and cover the whole text. Words are runs of letters and digits in lower
-case. Null or empty texts and items match nothing; equal items are found each. Items are broadcast
-in shards of a bounded size; beyond one shard the documents are scanned once for each.
+case. Any run of a passage's length lies in two neighbouring passages, so one of them gets half its
+score: a copied item is found whatever its length. Null or empty texts and items match nothing; equal
+items are found each.
+
+Items are indexed in shards of a bounded size, in Spark tasks; document frequencies, number and mean
+length are those of all items, so matches don't depend on the shards. A shard at a time comes to the
+driver to be broadcast; beyond one shard the documents are scanned once for each.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.text import LOWER, documents, identified, rolling, steps, texts_of, word_hashes, words_of
+from navspark.llm.components import Scratch
+from navspark.llm.text import LOWER, append, documents, identified, rolling, ship, steps, texts_of, word_hashes, words_of
 
 PASSAGE, STRIDE = 64, 32
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage must reach.
+#: Share of the best score in an item's own text that a passage must reach; at most a half.
 SHARE = 0.3
 BLOCK = 16
 GRAM = 3
@@ -132,13 +142,15 @@ class Index:
     def verified(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
         """Row, item, score, question and answer overlap, first word of the best passage of each match."""
         best: dict[tuple[int, int], tuple] = {}
+        seen: dict[tuple[int, int, int, int], tuple[float, float]] = {}
         for row, start, item, score in zip(*(x.tolist() for x in self.retrieve(words, first))):
             question, answer = self.parts[item]
             reach = len(question) + len(answer) + 2 * GRAM
-            around = words[max(first[row], start - reach) : min(first[row + 1], start + PASSAGE + reach)]
-            there = {n: rolling(around, n) for n in {_size(question), _size(answer)} if n}
-            q = _share(question, there)
-            a = _share(answer, there)
+            low, high = max(first[row], start - reach), min(first[row + 1], start + PASSAGE + reach)
+            if (row, item, low, high) not in seen:
+                there = {n: rolling(words[low:high], n) for n in {_size(question), _size(answer)} if n}
+                seen[row, item, low, high] = _share(question, there), _share(answer, there)
+            q, a = seen[row, item, low, high]
             if q >= QUESTION and a >= ANSWER and (row, item) not in best or (row, item) in best and score > best[row, item][2]:
                 best[row, item] = (row, item, score, q, a, int(start - first[row]))
         return [best[k] for k in sorted(best)]
@@ -154,24 +166,53 @@ def _share(words: np.ndarray, there: dict[int, np.ndarray]) -> float:
     return float(np.isin(np.unique(rolling(words, n)), there[n]).mean()) if n else 1.0
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (item_id, text); items without words are left out."""
+def best_run(terms: np.ndarray, impact: np.ndarray, size: int = PASSAGE) -> float:
+    """The largest sum of impacts of the distinct terms in `size` of these words in a row."""
+    at = np.arange(len(terms))
+    order = np.argsort(terms, kind="stable")
+    same = terms[order][1:] == terms[order][:-1]
+    before = np.full(len(terms), -1)
+    before[order[1:][same]] = order[:-1][same]
+    # A word counts in the runs that begin after its last occurrence and reach it.
+    change = np.bincount(np.maximum(before, np.maximum(at - size, -1)) + 1, impact, len(terms) + 1)
+    change -= np.bincount(at + 1, impact, len(terms) + 1)
+    return float(np.cumsum(change)[: max(len(terms) - size, 0) + 1].max())
+
+
+@dataclass
+class Statistics:
+    """Items with words, their mean number of words, and the number of them that hold each term (ascending)."""
+
+    count: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(items: list[tuple[int, str]], of_all: Statistics | None = None) -> Index:
+    """The index of (item_id, text); items without words are left out. Statistics are its own if none are given."""
     words, first = hashed([t for _, t in items])
     kept = [i for i in range(len(items)) if first[i] < first[i + 1]]
     # Items with like thresholds share a block.
     length = {i: int(first[i + 1] - first[i]) for i in kept}
     kept.sort(key=lambda i: (length[i], items[i][0]))
-    mean = sum(length.values()) / max(len(kept), 1)
+    mean = of_all.mean if of_all else sum(length.values()) / max(len(kept), 1)
     terms, flat = np.unique(words, return_inverse=True)
-    rows = [np.unique(flat[first[i] : first[i + 1]], return_counts=True) for i in kept]
-    term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, np.int64)
-    tf = np.concatenate([c for _, c in rows]).astype(float) if rows else np.empty(0)
-    item = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+    rows = [np.unique(flat[first[i] : first[i + 1]], return_inverse=True, return_counts=True) for i in kept]
+    term = np.concatenate([t for t, _, _ in rows]) if rows else np.empty(0, np.int64)
+    tf = np.concatenate([c for _, _, c in rows]).astype(float) if rows else np.empty(0)
+    distinct = np.array([len(t) for t, _, _ in rows], np.int64)
+    item = np.repeat(np.arange(len(rows)), distinct)
     size = np.array([length[i] for i in kept], float)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(kept) - df + 0.5) / (df + 0.5))
+    df = of_all.df[np.searchsorted(of_all.terms, terms)] if of_all else np.bincount(term, minlength=len(terms))
+    idf = np.log(1 + ((of_all.count if of_all else len(kept)) - df + 0.5) / (df + 0.5))
     impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(mean, 1)))
-    threshold = SHARE * np.bincount(item, impact, len(kept))
+    own = np.bincount(item, impact, len(kept))
+    long = np.flatnonzero(size > PASSAGE)
+    for k, before in zip(long.tolist(), (np.cumsum(distinct) - distinct)[long].tolist()):
+        place = rows[k][1]
+        own[k] = best_run(place, impact[before + place])
+    threshold = SHARE * own
     order = np.lexsort((item, term))
     term, item, impact = term[order], item[order], impact[order]
     block = item // BLOCK
@@ -191,23 +232,69 @@ def _words(text: str) -> np.ndarray:
     return hashed([text])[0]
 
 
-def shards(items: DataFrame) -> list[Index]:
-    """Indexes of the items, each of a bounded size, built one after another."""
-    rows = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
-    out, lot, size = [], [], 0
-    for r in rows.toLocalIterator():
-        lot.append((r.item_id, r.text))
-        size += len(r.text)
-        if size >= SHARD_BYTES:
-            out.append(build(lot))
-            lot, size = [], 0
-    return out + [build(lot)] if lot or not out else out
+class Shards(Sequence):
+    """Indexes in a folder, one read at a time."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.names = [r.shard for r in self._table().select("shard").distinct().orderBy("shard").collect()]
+
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema("data binary, shard long").parquet(self.path)
+
+    def __len__(self) -> int:
+        return max(1, len(self.names))
+
+    def __getitem__(self, k: int) -> Index:
+        if not self.names and k == 0:
+            return build([])
+        return pickle.loads(self._table().where(F.col("shard") == self.names[k]).first().data)
+
+
+def shards(items: DataFrame) -> Shards:
+    """Indexes of the items, each of about a bounded size, with the statistics of all items."""
+    spark = items.sparkSession
+    ship(spark)
+    scratch = Scratch(spark)
+    rows = items.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    counted = append(rows, "text", {"words": "long"}, lambda part: {"words": np.diff(_hashed(part.column(1))[1])})
+    total = counted.agg(F.sum(F.octet_length("text")), F.sum("words"), F.sum((F.col("words") > 0).cast("long"))).first()
+    size, words, count = (x or 0 for x in total)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-size // SHARD_BYTES)))))
+
+    def terms(batches):
+        for batch in batches:
+            for part in steps(batch, "text"):
+                found, first = _hashed(part.column(1))
+                shard = part.column(2).to_numpy()
+                owner = np.repeat(np.arange(len(shard)), np.diff(first))
+                once = np.unique(np.stack([owner, found.view(np.int64)], 1), axis=0)
+                pair, n = np.unique(np.stack([shard[once[:, 0]], once[:, 1]], 1), axis=0, return_counts=True)
+                columns = [np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "term", "n"])
+
+    spread = rows.mapInArrow(terms, "shard long, term long, n long").groupBy("term")
+    df = spread.agg(F.sum("n").alias("df"), F.collect_set("shard").alias("shards"))
+    df = df.select(F.explode("shards").alias("shard"), "term", "df")
+    mean = words / max(count, 1)
+
+    def index(own: pa.Table, known: pa.Table) -> pa.Table:
+        lot = sorted(zip(own["item_id"].to_pylist(), own["text"].to_pylist()))
+        term = known["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        made = build(lot, Statistics(count, mean, term[order], known["df"].to_numpy()[order]))
+        return pa.table({"data": pa.array([pickle.dumps(made)], pa.binary()), "shard": own["shard"][:1]})
+
+    made = rows.groupBy("shard").cogroup(df.groupBy("shard")).applyInArrow(index, "data binary, shard long")
+    path = f"{scratch.folder}/items-{uuid.uuid4().hex[:8]}"
+    made.write.partitionBy("shard").parquet(path)
+    return Shards(spark, path)
 
 
 FIELDS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def matches(frame: DataFrame, indexes: list[Index], key: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(frame: DataFrame, indexes: Sequence[Index], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and item found in it, with the best passage."""
     source = identified(frame, key, text)
     return reduce(DataFrame.unionAll, [_matches(source, index) for index in indexes])
@@ -240,10 +327,8 @@ def find(spark: SparkSession, folder: str) -> DataFrame:
     return matches(documents(spark, folder), shards(spark.read.parquet(f"{folder}/benchmark.parquet")))
 
 
-def clean(frame: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
+def clean(frame: DataFrame, indexes: Sequence[Index], text: str = "text") -> DataFrame:
     """The rows whose text matches no item, with their own columns only."""
-    from navspark.llm.text import append
-
     for index in indexes:
         shared = frame.sparkSession.sparkContext.broadcast(index)
 

@@ -151,6 +151,32 @@ def test_items_in_shards(spark, data):
     assert len(indexes) > 1 and whole <= set(one) and whole <= many
 
 
+def test_long_items_are_found(spark):
+    """Copied word for word at any offset, items of any length are found, in one shard and in many."""
+    rng = random.Random(8)
+    vocabulary = cases.words(4000, 9).split()
+    draw = lambda n: " ".join(vocabulary[int(len(vocabulary) * rng.random() ** 3)] for _ in range(n))
+    sizes = [1, 30, 64, 65, 100, 200, 250, 300, 400, 800, 2000] * 3
+    tests = [(i, f"{draw(n)}. {draw(12)}") for i, n in enumerate(sizes)]
+    texts = [(i, f"{draw(rng.randint(0, 150))} {t} {draw(rng.randint(0, 150))}") for i, t in tests]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([*tests, (500, ""), (None, "no"), (501, None)], "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.matches(frame, decontaminate.shards(table)).collect()))
+    assert {(i, i) for i, _ in tests} <= {(d, i) for d, i, *_ in one}
+    kept, decontaminate.SHARD_BYTES = decontaminate.SHARD_BYTES, 9000
+    try:
+        indexes = decontaminate.shards(table)
+        many = sorted(map(tuple, decontaminate.matches(frame, indexes).collect()))
+    finally:
+        decontaminate.SHARD_BYTES = kept
+    assert len(indexes) > 2 and many == one
+    assert len(decontaminate.shards(table.limit(0))) == 1
+    words = decontaminate.hashed([tests[9][1]])[0].tolist()
+    impact = {w: rng.random() for w in words}
+    runs = [sum(impact[w] for w in set(words[k : k + 64])) for k in range(len(words) - 63)]
+    assert np.isclose(decontaminate.best_run(np.array(words), np.array([impact[w] for w in words])), max(runs))
+
+
 def test_queries_give_one_row_per_document(spark, data):
     count = spark.read.parquet(f"{data}/documents.parquet").count()
     for name in ("op1_toxicity", "op5_substring_dedup", "op8_quality", "op10_pii"):
