@@ -62,16 +62,22 @@ for _zero in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
 _GLYPHS.update({c: "" for c in INVISIBLE})
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]+")
 _DIGIT = {w: str(d) for names in DIGIT_NAMES.values() for d, w in enumerate(names.split())}
-_NAME = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?i)\b{_NAME}(?:[\s,-]+{_NAME}){{{SPELLED_RUN - 1},}}\b")
-_ANY_NAME = re.compile(rf"(?i){_NAME}")
+#: Either case of each letter, and none of the letters that fold to them.
+_NAME = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in sorted(_DIGIT, key=len, reverse=True)) + ")"
+_SPELLED = re.compile(rf"\b{_NAME}(?:[\s,-]+{_NAME}){{{SPELLED_RUN - 1},}}\b")
+_ANY_NAME = re.compile(_NAME)
 _LABEL = "[A-Za-z0-9-]+"
-_SIGN = re.compile(r"(?i)\s*[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]\s*")
-_BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+at\s+(?={_LABEL}(?:\s*\.\s*|\s+dot\s+){_LABEL})")
-_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+dot\s+(?={_LABEL})")
-_SIGN_HINT = re.compile(rb"dot|[\[({<]\s*(?:at|@|\.)")
-_PLAIN = LOWER.copy()
-_PLAIN[[ord(","), ord("-")]] = 32
+_SIGN = re.compile(r"(?i)(?:(?<!\s)\s+)?[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]\s*")
+_BARE = re.compile(rf"(?<=[A-Za-z0-9])\s+(?i:at)\s+(?={_LABEL}(?:\s*\.\s*|\s+(?i:dot)\s+){_LABEL})")
+_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?i:dot)\s+(?={_LABEL})")
+#: White space in lower-case UTF-8; all other white space begins with a byte of _LEADS.
+_GAP = rb"(?:[\s\x1c-\x1f]|\xe1\x9a\x80)"
+#: What _SIGN, _DOT and _BARE need, taking one character only, so that no match hides the next text's.
+_SIGN_HINT = re.compile(
+    rb"[\[({<](?=G*(?:at|dot|@|\.))|G(?=dotG)|G(?=atG+[a-z0-9-]+(?:G*\.|G+dot))".replace(b"G", _GAP)
+)
+#: Letters and digits of ASCII in lower case; all else is space.
+_PLAIN = np.array([c if chr(c).isalnum() and c < 128 else 32 for c in LOWER.tolist()], np.uint8)
 #: Lead bytes of the characters in _GLYPHS.
 _LEADS = np.zeros(256, bool)
 _LEADS[[c.encode()[0] for c in _GLYPHS]] = True
@@ -175,23 +181,25 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offs) - 1, bool)
     row = lambda at: np.searchsorted(offs, at, "right") - 1
     out[row(np.flatnonzero(_LEADS[data]))] = True
+    out[row(np.array([m.start() for m in _SIGN_HINT.finditer(LOWER[data].tobytes())], np.int64))] = True
     plain = _PLAIN[data]
-    out[row(np.array([m.start() for m in _SIGN_HINT.finditer(plain.tobytes())], np.int64))] = True
     starts, ends, first = words_of(plain, offs)
     named = np.isin(word_hashes(plain, starts, ends), _name_hashes())
-    # The first and last name of a run may carry punctuation.
-    counts = np.append(0, np.cumsum(named))
-    need = SPELLED_RUN - 2
-    at = np.flatnonzero(counts[need:] - counts[:-need] == need)
+    # Runs of names in one text.
+    opens = named & ~np.append(False, named[:-1])[: len(named)]
+    opens[first[:-1][first[:-1] < first[1:]]] |= named[first[:-1][first[:-1] < first[1:]]]
+    run = np.cumsum(opens)[named]
+    long = np.bincount(run, minlength=1) >= SPELLED_RUN
+    at = np.flatnonzero(named)[long[run]]
     out[np.searchsorted(first, at, "right") - 1] = True
     return out
 
 
 def _name_hashes() -> np.ndarray:
-    names = "\n".join([*_DIGIT, *(n.upper() for n in _DIGIT)]).encode()
-    data = LOWER[np.frombuffer(names, np.uint8)]
+    """Hashes of the names, and of the parts of those with a letter outside ASCII."""
+    data = _PLAIN[np.frombuffer(" ".join(_DIGIT).encode(), np.uint8)]
     starts, ends, _ = words_of(data, np.array([0, len(data)]))
-    return word_hashes(data, starts, ends)
+    return np.unique(word_hashes(data, starts, ends))
 
 
 def normalised(text: str) -> Rewritten:

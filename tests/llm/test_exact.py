@@ -217,6 +217,34 @@ def test_disguised_personal_data(text, found):
     assert suspect or pii.all_spans(text)[0] == found
 
 
+@pytest.mark.parametrize("text", ["write to jo.hn at example.org please", "Write to jo.hn\tAT\x1fex-ample.org, please"])
+def test_at_before_a_written_dot(spark, text):
+    spans, masked = [("email", 9, text.index("org") + 3)], text[:9] + "[EMAIL]" + text[text.index("org") + 3 :]
+    frame = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    assert pii.all_spans(text)[1] == spans
+    assert rows(pii.find(frame).select("doc_id", "spans"))[0] == (1, f"email:{spans[0][1]}:{spans[0][2]}")
+    assert rows(pii.redact(frame).select("doc_id", "text"))[:2] == [(1, masked), (2, "nothing here")]
+
+
+def test_no_rewritten_text_is_skipped():
+    """Texts of what the transducers look for, in batches: each that one of them changes is suspected."""
+    rng = random.Random(6)
+    parts = [" ", " ", " ", "\n", "\t", "\x1c", "\u1680", "\u00a0", "  ", "at", "AT", "dot", "Dot", "(", ")", "[", "]", "<", ">", "@", "."]
+    parts += [",", "-", "_", "'", "é", "×", "ſ", "ı", "K", "a", "jo", "example", "org", "12", "7", "x1", "а", "１", "漢"]
+    parts += [*pii._DIGIT, *(n.upper() for n in pii._DIGIT), *(n.title() for n in pii._DIGIT)]
+    names = [*pii._DIGIT, *(n.upper() for n in pii._DIGIT)]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20_000)]
+    texts += [" ".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20_000)]
+    for _ in range(10_000):
+        run = "".join(rng.choice(names + ["12"] * 4) + rng.choice([" ", " ", " ", "-", ", ", "\n", " dot ", "\u1680"]) for _ in range(rng.randint(1, 12)))
+        texts.append(rng.choice(["", "(", "×", "'", "a "]) + run + rng.choice(["", ")", "×", " b"]))
+    changed = np.array([pii.normalised(t).text != t for t in texts])
+    suspect = pii.suspects(*pii.texts_of(pa.array(texts)))
+    assert [t for t, c, s in zip(texts, changed, suspect) if c and not s] == []
+    assert changed.sum() > 5000 and not suspect.all()
+    assert not pii.suspects(*pii.texts_of(pa.array(["", None, "plain words", "at home", "one two"]))).any()
+
+
 def test_masking_keeps_other_columns(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns
