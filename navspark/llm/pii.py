@@ -2,8 +2,8 @@
 
 Plain ones (the base) are the leftmost non-overlapping matches of one pattern per kind, on the text
 as it is. For disguised ones a chain of transducers rewrites the text: look-alike letters and digits
-become ASCII, invisible characters go, runs of spelled digits become digits, and at/dot disguises
-become @ and a full stop. Each transducer carries, for every character that it emits, the span of
+become ASCII, invisible characters go, at/dot disguises become @ and a full stop, and spelled digits
+become digits where enough digits, spelled or written, stand together. Each transducer carries, for every character that it emits, the span of
 source characters it came from; the same detectors run on the result, and what they find is mapped
 back. A found span is added if it overlaps no base span of its kind.
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,8 @@ DIGIT_NAMES = {
     "fr": "zéro un deux trois quatre cinq six sept huit neuf",
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
 }
-#: Fewer spelled digits than this in a row stay words.
-SPELLED_RUN = 7
+#: In a run with fewer digits than this, spelled and written ones together, names stay words; an IP address has four.
+RUN_DIGITS = 4
 
 _GLYPHS = dict(LOOK_ALIKES)
 _GLYPHS.update({chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)})  # full-width forms
@@ -64,8 +66,11 @@ _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]+")
 _DIGIT = {w: str(d) for names in DIGIT_NAMES.values() for d, w in enumerate(names.split())}
 #: Either case of each letter, and none of the letters that fold to them.
 _NAME = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in sorted(_DIGIT, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"\b{_NAME}(?:[\s,-]+{_NAME}){{{SPELLED_RUN - 1},}}\b")
-_ANY_NAME = re.compile(_NAME)
+#: Names and written digits with the separators that identifiers have between them.
+_PART = rf"(?:{_NAME}|[0-9]++)\b"
+_RUN = re.compile(rf"\b{_PART}(?:[\s,().-]++{_PART})*+")
+_PARTS = re.compile(rf"\b(?:(?P<name>{_NAME})|[0-9]++)\b")
+_JOINED = re.compile(r"[\s,-]+")
 _LABEL = "[A-Za-z0-9-]+"
 _SIGN = re.compile(r"(?i)(?:(?<!\s)\s+)?[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]\s*")
 _BARE = re.compile(rf"(?<=[A-Za-z0-9])\s+(?i:at)\s+(?={_LABEL}(?:\s*\.\s*|\s+(?i:dot)\s+){_LABEL})")
@@ -151,15 +156,17 @@ class Rewritten:
 
     def rewrite(self, pattern: re.Pattern, replace) -> None:
         """Replaces each match; all characters of a replacement come from the whole match."""
+        self.edit((*m.span(), replace(m[0])) for m in pattern.finditer(self.text))
+
+    def edit(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """Replaces the characters from a to b, for each (a, b, new) in order."""
         out, begin, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            a, b = m.span()
-            new = replace(m[0])
+        for a, b, new in edits:
             out += [self.text[at:a], new]
             begin += [self.begin[at:a], np.full(len(new), self.begin[a])]
             end += [self.end[at:a], np.full(len(new), self.end[b - 1])]
             at = b
-        if at:
+        if out:
             self.text = "".join(out) + self.text[at:]
             self.begin = np.concatenate(begin + [self.begin[at:]])
             self.end = np.concatenate(end + [self.end[at:]])
@@ -176,6 +183,21 @@ def _sign(match: str) -> str:
     return "@" if "at" in match.lower() or "@" in match else "."
 
 
+def spelled(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that make digits of the names in runs of enough digits; names in a row lose what is between them."""
+    for run in _RUN.finditer(text):
+        parts = list(_PARTS.finditer(text, *run.span()))
+        if not any(p["name"] for p in parts) or sum(1 if p["name"] else len(p[0]) for p in parts) < RUN_DIGITS:
+            continue
+        last = None
+        for p in parts:
+            if p["name"]:
+                if last is not None and _JOINED.fullmatch(text, last, p.start()):
+                    yield last, p.start(), ""
+                yield *p.span(), _DIGIT[p[0].lower()]
+            last = p.end() if p["name"] else None
+
+
 def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """For each text whether a transducer may have something to do; never false where one has."""
     out = np.zeros(len(offs) - 1, bool)
@@ -185,13 +207,17 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     plain = _PLAIN[data]
     starts, ends, first = words_of(plain, offs)
     named = np.isin(word_hashes(plain, starts, ends), _name_hashes())
-    # Runs of names in one text.
-    opens = named & ~np.append(False, named[:-1])[: len(named)]
-    opens[first[:-1][first[:-1] < first[1:]]] |= named[first[:-1][first[:-1] < first[1:]]]
-    run = np.cumsum(opens)[named]
-    long = np.bincount(run, minlength=1) >= SPELLED_RUN
-    at = np.flatnonzero(named)[long[run]]
-    out[np.searchsorted(first, at, "right") - 1] = True
+    digits = lambda at: (plain[at] >= 48) & (plain[at] <= 57)
+    part = named | digits(starts) & digits(ends - 1)
+    # Runs of names and numbers in one text.
+    opens = part.copy()
+    opens[1:] &= ~part[:-1]
+    heads = first[:-1][first[:-1] < first[1:]]
+    opens[heads] = part[heads]
+    run = np.cumsum(opens)[part]
+    size = np.bincount(run, np.where(named, 1, ends - starts)[part], minlength=1)
+    enough = (size >= RUN_DIGITS) & (np.bincount(run, named[part], minlength=1) > 0)
+    out[np.searchsorted(first, np.flatnonzero(part)[enough[run]], "right") - 1] = True
     return out
 
 
@@ -202,30 +228,52 @@ def _name_hashes() -> np.ndarray:
     return np.unique(word_hashes(data, starts, ends))
 
 
-def normalised(text: str) -> Rewritten:
-    """The text after all transducers."""
+def _signed(text: str) -> Rewritten:
+    """The text after all transducers but the last."""
     out = Rewritten(text)
     out.translate(_GLYPH, _GLYPHS)
     out.rewrite(_SIGN, _sign)
     out.rewrite(_BARE, lambda _: "@")
-    if "@" in out.text:
-        out.rewrite(_DOT, lambda _: ".")
-    out.rewrite(_SPELLED, lambda m: "".join(_DIGIT[w.lower()] for w in _ANY_NAME.findall(m)))
+    out.rewrite(_DOT, lambda _: ".")
+    return out
+
+
+def normalised(text: str) -> Rewritten:
+    """The text after all transducers."""
+    out = _signed(text)
+    out.edit(spelled(out.text))
+    return out
+
+
+def _traced(out: Rewritten) -> list[tuple[str, int, int]]:
+    return [(kind, int(out.begin[a]), int(out.end[b - 1])) for kind, a, b in base_spans(out.text)]
+
+
+def _apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]], inside: bool = False) -> list[tuple[str, int, int]]:
+    """The spans that overlap none taken of their kind, or with `inside` that lie in none; taken ones by kind in order."""
+    out = []
+    own = {kind: ([a for k, a, _ in taken if k == kind], [b for k, _, b in taken if k == kind]) for kind in KINDS}
+    for kind, a, b in spans:
+        starts, ends = own[kind]
+        at = bisect_left(ends, b if inside else a + 1)
+        if at == len(ends) or (starts[at] > a if inside else starts[at] >= b):
+            out.append((kind, a, b))
     return out
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Disguised identifiers that overlap no base span of their kind."""
-    out = normalised(text)
-    if out.text == text:
-        return []
-    taken = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
-    found = []
-    for kind, a, b in base_spans(out.text):
-        start, stop = int(out.begin[a]), int(out.end[b - 1])
-        if not any(start < y and x < stop for x, y in taken[kind]):
-            found.append((kind, start, stop))
-    return found
+    """Disguised identifiers that overlap no base span of their kind.
+
+    Names beside an identifier may spoil it once they are digits, so it is also looked for before that.
+    """
+    out = _signed(text)
+    found = _traced(out) if out.text != text else []
+    if edits := list(spelled(out.text)):
+        out.edit(edits)
+        more = _traced(out)
+        found = _apart(found, more, inside=True)
+        found += _apart(more, found)
+    return _apart(found, base)
 
 
 def all_spans(text: str, suspect: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -245,6 +245,33 @@ def test_no_rewritten_text_is_skipped():
     assert not pii.suspects(*pii.texts_of(pa.array(["", None, "plain words", "at home", "one two"]))).any()
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("host 192 dot 168 dot 1 dot 20", [("ip", 5, 29)]),
+        ("host 192 dot 168 dot 1 dot 20, jo@a.org", [("email", 31, 39), ("ip", 5, 29)]),
+        ("at one two seven dot zero dot zero dot one now", [("ip", 3, 42)]),
+        ("one two seven.0 dot zero.1", [("ip", 0, 26)]),
+        ("card four one one one 1111 1111 1111 now", [("card", 5, 36)]),
+        ("card 4111 one one one one 1111-one-one-one-one", [("card", 5, 46)]),
+        ("call +1 (two one two) five five five 0100", [("phone", 5, 41)]),
+        ("call +four nine one two three four five six seven 89, 2021 left", [("phone", 5, 52)]),
+        ("in 2019 one of two or three, four, five", []),
+        ("the dot product, chapter 3 dot 4", []),
+        ("uno 10.0.0.1 dos", [("ip", 4, 12)]),
+        ("４111 1111 1111 1111 one of us", [("card", 0, 19)]),
+        ("in two ４111 1111 1111 1111", [("card", 7, 26)]),
+        ("five six seven eight at example dot org", [("email", 0, 39)]),
+        ("one " * 3000 + "x", []),
+        ("1 " * 3000 + "x", []),
+    ],
+)
+def test_spelled_parts(text, found):
+    assert pii.all_spans(text)[1] == found
+    suspect = pii.suspects(*pii.texts_of(pa.array(["one", text, "two"])))
+    assert suspect[1] or pii.normalised(text).text == text
+
+
 def test_masking_keeps_other_columns(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns
