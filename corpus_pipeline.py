@@ -13,6 +13,9 @@ from navspark.llm import decontaminate, ngram_join, pii, quality_fm, sentencepie
 from navspark.llm.components import Scratch
 from navspark.llm.queries import tokenizer_path
 
+#: Words of a shingle, and the similarity as a fraction, from which documents are near duplicates.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, (8, 10)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -20,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return ngram_join.one_of_each(docs)
+    """Of each group of documents linked by a five-word similarity of 0.8 or more the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

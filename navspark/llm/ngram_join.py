@@ -1,7 +1,7 @@
 """Near duplicates by Jaccard similarity of word n-gram sets: a size-aware heavy-light join.
 
-A text's set is its distinct 4-word shingles (A-Z in lower case); a text of fewer words has its whole
-sequence as one. Equal sets are one entity, so copies cost nothing. Sets of n and m members link if
+A text's set is its distinct shingles of four words, or as many as given (A-Z in lower case); a text of
+fewer words has its whole sequence as one. Equal sets are one entity, so copies cost nothing. Sets of n and m members link if
 they share c(n, m) = ceil(t/(1+t) * (n+m)) members. Sets are handled by size:
 
 - Small sets enumerate their subsets of each size c that a link can need. Two that share a subset of
@@ -55,10 +55,10 @@ FILTER_BITS = 1 << 26
 
 
 class Threshold:
-    """Sizes, overlaps and prefixes that a similarity needs."""
+    """Words of a shingle, and sizes, overlaps and prefixes that a similarity needs."""
 
-    def __init__(self, numerator: int = NUMERATOR, denominator: int = DENOMINATOR):
-        self.a, self.b = numerator, denominator
+    def __init__(self, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, shingle: int = SHINGLE):
+        self.a, self.b, self.shingle = numerator, denominator, shingle
 
     def overlap(self, n: int, m: int) -> int:
         return -(-self.a * (n + m) // (self.a + self.b))
@@ -134,9 +134,9 @@ def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _distinct_sets(column: pa.Array):
+def _distinct_sets(column: pa.Array, shingle: int):
     """Sets of a slice, each once: id, size, start and end of its members in `values`."""
-    values, bounds = shingle_sets(column)
+    values, bounds = shingle_sets(column, shingle)
     ids, place = np.unique(set_ids(values, bounds), return_index=True)
     size = np.diff(bounds)[place]
     keep = size > 0
@@ -156,11 +156,11 @@ def _map(frame: DataFrame, make, ddl: str) -> DataFrame:
     return frame.mapInArrow(run, ddl)
 
 
-def sets_of(frame: DataFrame) -> DataFrame:
+def sets_of(frame: DataFrame, shingle: int) -> DataFrame:
     """Of every document: doc_id, set, n, the set's triples, and its members if they are few."""
 
     def make(part):
-        values, bounds = shingle_sets(part.column(1))
+        values, bounds = shingle_sets(part.column(1), shingle)
         size = np.diff(bounds)
         row = np.repeat(np.arange(len(size)), size)
         sig, owner = _triples(values, row)
@@ -233,7 +233,7 @@ def _listed_rows(frame: DataFrame, t: Threshold, border: int, buckets: int) -> D
     reach = t.a * (border + 1)
 
     def make(part):
-        values, ids, size, first = _distinct_sets(part.column(1))
+        values, ids, size, first = _distinct_sets(part.column(1), t.shingle)
         # A small set that can link with a large one is listed too.
         own = np.flatnonzero((size > border) | (t.b * size >= reach))
         count = t.prefix(size[own])
@@ -310,13 +310,15 @@ def without(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return sure.unionAll(maybe.join(ids.select(column), column, "left_anti").select(*names))
 
 
-def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR)
+) -> DataFrame:
     """The rows whose key is the smallest of its component, with their own columns; null keys stay."""
-    found = linked_components(frame, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    found = linked_components(frame, key, text, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
     return without(frame, Scratch(frame.sparkSession).keep(found.distinct(), "copies"), key)
 
 
-def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, scratch: Scratch) -> DataFrame:
+def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
     """set and members of the given sets, read again from the text of each set's home."""
     chosen = scratch.keep(homes.join(sets.select("set").distinct(), "set").select("doc_id", "set"), "chosen")
     bits = frame.sparkSession.sparkContext.broadcast(_filter_of(chosen, "doc_id"))
@@ -328,7 +330,7 @@ def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, scratch: Scr
             hit = bits.value[bit // 64] >> (bit % 64) & 1
             some = batch.filter(pa.array(hit == 1))
             for part in steps(some, "text"):
-                values, bounds = shingle_sets(part.column(1))
+                values, bounds = shingle_sets(part.column(1), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
                 ids = pa.array(set_ids(values, bounds))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, lists], names=["doc_id", "set", "members"])
@@ -344,7 +346,7 @@ def checked(pairs: DataFrame, frame: DataFrame, homes: DataFrame, t: Threshold,
     """The pairs (a, b) of sets that link, after comparing all members."""
     pairs = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set")))
-    found = members_of(asked, frame, homes, scratch)
+    found = members_of(asked, frame, homes, t.shingle, scratch)
     left = pairs.join(found.select(F.col("set").alias("b"), F.col("members").alias("y")), "b")
     both = left.join(found.select(F.col("set").alias("a"), F.col("members").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -473,12 +475,14 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
 BUCKET_BYTES = 6 << 20
 
 
-def linked_components(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_components(
+    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR)
+) -> DataFrame:
     """Per document: key, n_shingles and component_id (smallest key that links reach, itself included)."""
-    t = Threshold()
+    t = Threshold(*similarity, shingle)
     scratch = Scratch(frame.sparkSession)
     source = identified(frame, key, text)
-    made = scratch.keep(sets_of(source), "sets")
+    made = scratch.keep(sets_of(source, t.shingle), "sets")
     docs = made.select("doc_id", "set", "n")
     homes = made.where("n > 0").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "triples", "few"))
@@ -491,7 +495,7 @@ def linked_components(frame: DataFrame, key: str = "doc_id", text: str = "text")
     small = stars.where(t.sql_overlap(F.col("n"), F.col("pn")) <= F.col("c"))
     small = scratch.keep(small.select(F.col("p").alias("u"), F.col("set").alias("v")).distinct(), "small")
     clusters = clusters_of(homes.where(F.col("n") > border), scratch)
-    members = members_of(clusters, source, homes, scratch)
+    members = members_of(clusters, source, homes, t.shingle, scratch)
     edges = small.unionAll(cluster_links(clusters, members, t, scratch))
     listed = scratch.keep(_listed_rows(source, t, border, max(1, -(-size // BUCKET_BYTES))), "listed")
     more = checked(_list_pairs(listed, homes, clusters, t, scratch), source, homes, t, scratch)

@@ -206,6 +206,33 @@ def test_pipeline_equals_its_plain_version(spark, data):
     assert got == sorted(want) and 0 < len(got) < len(start)
 
 
+def test_near_duplicates_of_the_pipeline(spark, data):
+    """Five words and 0.8 by brute force, on the table and on pairs between both contracts."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    for k, n in enumerate((12, 30, 60, 100, 200, 400)):
+        base = [f"w{k}x{i}" for i in range(n)]
+        for j, cut in enumerate(range(max(1, n // 16), n // 3, max(1, n // 20))):
+            docs += [(10**6 + 1000 * k + 2 * j + s, f"p{k}{j} " * 3 + " ".join(f"j{j}{w}" for w in base[: n - s * cut])) for s in (0, 1)]
+    sets = {}
+    for key, text in docs:
+        w = cases.WORD.findall((text or "").translate(cases.A_TO_Z))
+        sets[key] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    up = {k: k for k in sets}
+    order = sorted(sets)
+    by_shingle = {}
+    for k in order:
+        for x in sets[k]:
+            by_shingle.setdefault(x, []).append(k)
+    for a, b in {(a, b) for own in by_shingle.values() for a in own for b in own if a < b}:
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            low, high = sorted((up[a], up[b]))
+            up = {k: low if r == high else r for k, r in up.items()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, data).collect()}
+    assert got == {k for k in order if up[k] == k}
+    assert got != {r.doc_id for r in ngram_join.one_of_each(frame).collect()}
+
+
 def test_stages_keep_the_columns(spark, data, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for frame in (docs, docs.limit(0)):
