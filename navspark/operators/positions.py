@@ -157,10 +157,10 @@ def lazy_account_view(
     orders: DataFrame,
     instruments: DataFrame,
     prices: DataFrame,
-    accounts: Sequence[str] | DataFrame,
+    accounts: Sequence[str] | DataFrame | None,
     group_columns: Sequence[str],
 ) -> DataFrame:
-    """Filter accounts first, then join, value and group."""
+    """Filter accounts first, then join, value and group; None takes all rows given."""
     valued = snapshot(holdings, orders, instruments, prices, accounts)
     return valued.groupBy(*group_columns).agg(
         F.sum("marketValueUSD").alias("marketValueUSD"), F.count("*").alias("recordCount")

@@ -180,7 +180,7 @@ def lazy_account_view(f: Feeds) -> DataFrame:
     return positions.lazy_account_view(
         f.holdings.join(chosen, "accountId", "left_semi"),
         f.orders.join(chosen, "accountId", "left_semi"),
-        f.instruments, f.prices, (), ("accountId", "currency"),
+        f.instruments, f.prices, None, ("accountId", "currency"),
     )
 
 

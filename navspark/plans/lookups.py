@@ -71,10 +71,18 @@ def totals_of_choices(f: Feeds) -> DataFrame:
 
 
 @query(
-    with_(O.BASE, O.STATE)
+    with_(
+        O.BASE,
+        """
+changed AS MATERIALIZED (SELECT orderId, accountId, orderStatus, filledQuantity, ts, seq FROM order_event),
+last AS MATERIALIZED (
+  SELECT orderId, max_by({a: accountId, s: orderStatus, f: filledQuantity}, (ts, seq)) AS row,
+         bool_or(seq % 97 = 0) AS asked
+  FROM changed GROUP BY orderId)""",
+    )
     + f"""
-SELECT orderId, accountId, orderStatus, {m('filledQuantity')} FROM order_now
-WHERE orderId IN (SELECT orderId FROM order_event WHERE seq % 97 = 0)"""
+SELECT orderId, row.a AS accountId, row.s AS orderStatus, {m('row.f', 'filledQuantity')}
+FROM last WHERE asked"""
 )
 def orders_by_id(f: Feeds) -> DataFrame:
     """The current state of the orders of a table of ids."""
