@@ -62,3 +62,25 @@ reach AS (
 least AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
 FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+#: Maximal runs of letters, digits and all characters outside ASCII.
+TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH term AS MATERIALIZED (SELECT doc_id, unnest({TERMS.format(text=_LOWER)}) AS t FROM documents),
+size AS (SELECT doc_id, count(*) AS n FROM term GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+asked AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest({TERMS.format(text=_LOWER)}) AS t FROM benchmark) GROUP BY 1, 2),
+posting AS MATERIALIZED (
+  SELECT doc_id, t, count(*) AS tf FROM term WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2),
+held AS (SELECT t, count(*) AS df FROM posting GROUP BY t),
+gain AS MATERIALIZED (
+  SELECT doc_id, t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT
+         * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))) AS g
+  FROM posting JOIN held USING (t) JOIN size USING (doc_id), total),
+scored AS (
+  SELECT item_id, doc_id, sum(times * g)::BIGINT AS score FROM asked JOIN gain USING (t) GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
