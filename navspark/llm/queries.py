@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, html_text, lexical_search, ngram_join, oracles, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
+from navspark.llm import decontaminate, histogram_shards, html_text, lexical_search, ngram_join, oracles, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_lexical_search", oracles.LEXICAL_SEARCH)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return histogram_shards.digests(documents(spark, folder))
