@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import decontaminate, histogram_shards, html_text, lexical_search, ngram_join, oracles, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, toxicity_knn, window_dedup
+from navspark.llm import decontaminate, histogram_shards, html_text, lexical_search, ngram_join, oracles, pii, quality_fm, rare_digest, sentencepiece_codec, suffix_dedup, token_alignment, toxicity_knn, window_dedup
 from navspark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,10 +23,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 @query("op7_sentencepiece")
@@ -88,3 +88,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_sharding")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return histogram_shards.digests(documents(spark, folder))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    read = token_alignment.read_file
+    return token_alignment.digests(documents(spark, folder), read(tokenizer_path("byte_bpe_50k.json")), read(tokenizer_path()))
