@@ -18,7 +18,7 @@ from navspark.functions.predicates import (
 from navspark.functions.valuation import raw_value, summed_value
 from navspark.operators import skew
 from navspark.operators.positions import INSTRUMENT_COLUMNS
-from navspark.operators.replay import heavy_instruments, known_ticks, position_versions
+from navspark.operators.replay import BY_INSTRUMENT, known_ticks, position_loads, position_versions
 from navspark.plans.request import ViewRequest, field_column
 from navspark.schemas import QUANTITY, RAW_MONEY
 
@@ -179,7 +179,8 @@ def cumulative_from_versions(
     request.validate()
     holdings = holdings.filter(in_accounts(request.accounts))
     orders = orders.filter(in_accounts(request.accounts))
-    live = position_versions(holdings, orders, tie_breakers)
+    load = position_loads(holdings, orders)
+    live = position_versions(holdings, orders, tie_breakers, load=load)
     ticks = known_ticks(prices, instruments).filter(has_valid_price())
 
     # Instrument data is constant within an era: the ticks between two of its versions.
@@ -220,7 +221,7 @@ def cumulative_from_versions(
     points = ticks.select(*era, "tickTime", "price", F.lit(1).cast("bigint").alias("ticks"))
     found = skew.later_sums(
         points, probes, era, "tickTime", ["price", "ticks"],
-        heavy=heavy_instruments(holdings, orders, rows_per_task),
+        heavy=skew.heavy_of(load, BY_INSTRUMENT, rows_per_task),
     )
     sums = found.groupBy(*names).agg(
         *[F.sum(summed_value(F.col("price"), F.col(nav))).cast(RAW_MONEY).alias(nav) for nav in NAVS],

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from navspark.functions.valuation import value_positions
 from navspark.operators import skew
-from navspark.operators.latest import latest_by_key, latest_unified, versions
+from navspark.operators.latest import latest_by_key, latest_unified
 from navspark.operators.positions import (
+    HOLDING_COLUMNS,
     INSTRUMENT_COLUMNS,
+    ORDER_COLUMNS,
     UNIFIED_COLUMNS,
-    positions,
     price_columns,
 )
 
@@ -49,12 +50,16 @@ def known_ticks(
     )
 
 
-def heavy_instruments(
-    holdings: DataFrame, orders: DataFrame, rows: int = skew.ROWS_PER_TASK
-) -> DataFrame:
-    """Instruments with many position versions, with the shares they need."""
-    both = holdings.select("instrumentId").unionByName(orders.select("instrumentId"))
-    return skew.heavy_keys(both, ["instrumentId"], rows)
+BY_INSTRUMENT, BY_KEY = 0, 1
+
+
+def position_loads(holdings: DataFrame, orders: DataFrame) -> DataFrame:
+    """Position versions by instrument, and by the key of a holding or an order, in one pass."""
+    kind = F.lit("HOLDING").alias("recordType")
+    held = holdings.select("instrumentId", kind, F.col("instrumentId").alias("_k1"), F.col("accountId").alias("_k2"))
+    kind = F.lit("ORDER").alias("recordType")
+    ordered = orders.select("instrumentId", kind, F.col("orderId").alias("_k1"), F.lit("").alias("_k2"))
+    return skew.loads(held.unionByName(ordered), ["instrumentId"], ["recordType", "_k1", "_k2"])
 
 
 def position_versions(
@@ -62,12 +67,38 @@ def position_versions(
     orders: DataFrame,
     tie_breakers: Sequence[str] = ("sequence",),
     arrival: str = "timestamp",
+    load: DataFrame | None = None,
+    rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
-    """Every version of every holding and order with its interval of validity."""
-    return positions(
-        versions(holdings, "holding", tie_breakers, arrival),
-        versions(orders, "order", tie_breakers, arrival),
-        ["validFrom", "validTo"],
+    """Every version of every holding and order with its interval of validity.
+
+    Both feeds go through one window. A version that cannot be valued ends the one before it.
+    """
+    extra = list(dict.fromkeys([arrival, *tie_breakers]))
+    if load is None:
+        load = position_loads(holdings, orders)
+    held = holdings.select(
+        F.lit("HOLDING").alias("recordType"), *HOLDING_COLUMNS,
+        *[c for c in extra if c not in HOLDING_COLUMNS],
+        F.col("instrumentId").alias("_k1"), F.col("accountId").alias("_k2"),
+    )
+    ordered = orders.select(
+        F.lit("ORDER").alias("recordType"), *ORDER_COLUMNS,
+        *[c for c in extra if c not in ORDER_COLUMNS],
+        F.col("orderId").alias("_k1"), F.lit("").alias("_k2"),
+    )
+    every = held.unionByName(ordered, allowMissingColumns=True)
+    following = skew.neighbour(
+        every, ["recordType", "_k1", "_k2"], [arrival, *tie_breakers], [arrival], "_next", True,
+        rows_per_task=rows_per_task, heavy=skew.heavy_of(load, BY_KEY, rows_per_task),
+    )
+    valued = F.when(F.col("recordType") == "HOLDING", F.col("position").isNotNull()).otherwise(
+        F.col("orderQuantity").isNotNull() & F.col("orderStatus").isNotNull()
+    )
+    live = following.filter(valued)
+    kept = [c for c in every.columns if c not in {"_k1", "_k2", *extra} or c == "timestamp"]
+    return live.select(
+        *kept, F.col(arrival).alias("validFrom"), F.col(f"_next.{arrival}").alias("validTo")
     )
 
 
@@ -88,20 +119,18 @@ def replay(
     instrument is laid out as a grid of position shares and tick shares. ``arrival`` names the
     time at which a row became known.
     """
-    live = position_versions(holdings, orders, tie_breakers, arrival)
+    load = position_loads(holdings, orders)
+    live = position_versions(holdings, orders, tie_breakers, arrival, load)
     ticks = known_ticks(prices, instruments, arrival)
     joined = skew.spread_join(
         live, ticks, ["instrumentId"], ["accountId", "orderId", "validFrom"], ["tickSequence"],
         _within("r.tickTime", "l.validFrom", "l.validTo"),
-        heavy_left=heavy_instruments(holdings, orders, position_rows),
+        heavy_left=skew.heavy_of(load, BY_INSTRUMENT, position_rows),
         heavy_right=skew.heavy_keys(prices, ["instrumentId"], tick_rows),
     )
     return value_positions(joined, mode).select(*UNIFIED_COLUMNS, "tickTime", "tickSequence")
 
 
-END_OF_TIME = "9999-12-31 00:00:00"
-
-
 def latest_valued(
     holdings: DataFrame,
     orders: DataFrame,
@@ -113,16 +142,18 @@ def latest_valued(
     """The last valued row per unified key of the replayed log, without building the log.
 
     A version was valued last by the last tick before it was replaced; one lookup by time finds
-    that tick, so the work is linear in positions and ticks.
+    that tick, so the work is linear in positions and ticks. Versions that still hold ask for the
+    instrument's last tick, one row per instrument, and are spread however many there are.
     """
-    live = position_versions(holdings, orders, tie_breakers)
+    load = position_loads(holdings, orders)
+    live = position_versions(holdings, orders, tie_breakers, load=load)
     ticks = latest_by_key(
         known_ticks(prices, instruments), ["instrumentId", "tickTime"], ["tickSequence"]
     )
-    until = F.coalesce("validTo", F.lit(END_OF_TIME).cast("timestamp_ntz"))
     priced = skew.as_of(
-        live.withColumn("_until", until), ticks, ["instrumentId"], "_until", "tickTime",
+        live, ticks, ["instrumentId"], "validTo", "tickTime",
         [name for name in ticks.columns if name != "instrumentId"], inclusive=False,
+        spread=skew.heavy_of(load, BY_INSTRUMENT),
     ).filter(F.col("tickTime") >= F.col("validFrom"))
     valued = value_positions(priced, mode).select(*UNIFIED_COLUMNS, "tickTime", "tickSequence")
     return latest_unified(valued, ("tickTime", "tickSequence"))

@@ -29,10 +29,51 @@ def heavy_keys(
     return df.groupBy(*keys).agg(shares).filter("shares > 1")
 
 
+LOAD = "_load"
+
+
+def _load_mark(level: int, keys: Sequence[str]) -> Column:
+    return F.xxhash64(F.lit(level), *keys)
+
+
+def loads(df: DataFrame, *levels: Sequence[str]) -> DataFrame:
+    """Rows by key for several keys at once, from one pass over the rows.
+
+    A key is shown by a hash of the level's number and its columns: nothing that a reader of
+    one level knows can be pushed below the sums, so all readers share one exchange. Two keys of
+    one hash count together, which at worst spreads a key without need.
+    """
+    marks = F.explode(F.array(*[_load_mark(i, level) for i, level in enumerate(levels)]))
+    return df.select(marks.alias(LOAD)).groupBy(LOAD).agg(F.count("*").alias("rows"))
+
+
+def heavy_of(load: DataFrame, level: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """As ``heavy_keys``, of a level of rows already counted."""
+    shares = F.ceil(F.col("rows") / F.lit(rows_per_task)).cast("int").alias("shares")
+    return load.select(F.col(LOAD).alias(f"{LOAD}{level}"), shares).filter("shares > 1")
+
+
+def _marked(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, list[str], bool]:
+    """The rows with what heavy keys are found by, its columns, and whether those were added."""
+    mark = next((name for name in heavy.columns if name.startswith(LOAD)), None)
+    if mark is None:
+        return df, list(keys), False
+    return df.withColumn(mark, _load_mark(int(mark.removeprefix(LOAD)), keys)), [mark], True
+
+
 def with_splits(df: DataFrame, keys: Sequence[str], heavy: DataFrame, name: str) -> DataFrame:
     """Add the number of tasks a row's key is spread over; 1 for all but heavy keys."""
-    lookup = heavy.select(*keys, F.col("shares").alias(name))
-    return df.join(lookup, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    df, on, added = _marked(df, keys, heavy)
+    lookup = heavy.withColumnRenamed("shares", name)
+    found = df.join(lookup, on, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    return found.drop(*on) if added else found
+
+
+def of_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
+    """The rows of heavy keys."""
+    df, on, added = _marked(df, keys, heavy)
+    found = df.join(heavy.drop("shares"), on, "left_semi")
+    return found.drop(*on) if added else found
 
 
 def _share(columns: Sequence[str], splits: str) -> Column:
@@ -96,6 +137,7 @@ def neighbour(
     forward: bool,
     chunk_seconds: int = 3600,
     rows_per_task: int = ROWS_PER_TASK,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: a struct of ``columns`` from the next (or previous) row of the key.
 
@@ -103,39 +145,46 @@ def neighbour(
     chunk with many rows into parts by time, or by the second order column if all its rows have
     one time. Parts are sorted apart; the row at the edge of one takes its neighbour from the
     nearest part that has rows, found on a table of one row per part of the heavy keys.
+
+    There is at most one heavy key for every ``rows_per_task`` rows, which bounds the table that
+    is broadcast. Where it is empty Spark drops the branches behind it while it runs, and what
+    is left is one window over the input.
     """
     shift = F.lead if forward else F.lag
     value = F.struct(*columns)
     cell = [*keys, "_chunk"]
-    df = with_splits(df, keys, heavy_keys(df, keys, rows_per_task), "_splits")
+    heavy = F.broadcast(heavy_keys(df, keys, rows_per_task) if heavy is None else heavy)
+    few = of_heavy(df, keys, heavy).withColumn("_chunk", _time_chunk(order[0], chunk_seconds))
+    df = with_splits(df, keys, heavy, "_splits")
     chunk = F.when(F.col("_splits") > 1, _time_chunk(order[0], chunk_seconds))
     df = df.withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
-    heavy = df.filter(F.col("_splits") > 1)
 
     places = {"time": F.unix_micros(F.col(order[0]).cast("timestamp"))}
     if len(order) > 1 and isinstance(df.schema[order[1]].dataType, NumericType):
         places["tie"] = F.col(order[1]).cast("double")
-    sizes = heavy.groupBy(*cell).agg(
+    sizes = few.groupBy(*cell).agg(
         F.ceil(F.count("*") / F.lit(rows_per_task)).alias("_parts"),
         *[F.min(place).alias(f"_{n}_low") for n, place in places.items()],
         *[F.max(place).alias(f"_{n}_high") for n, place in places.items()],
     )
+    sizes = F.broadcast(sizes.filter("_parts > 1"))
+
     def within(n: str) -> Column:
         width = F.col(f"_{n}_high") - F.col(f"_{n}_low")
         return F.when(width > 0, (places[n] - F.col(f"_{n}_low")) / width)
 
     at = F.coalesce(*[within(n) for n in places], F.lit(0.0))
     part = F.least(F.floor(at * F.col("_parts")), F.col("_parts") - 1)
-    df = df.join(sizes.filter("_parts > 1"), cell, "left").withColumn(
-        "_part", F.coalesce(part, F.lit(0))
-    )
-    cell = [*cell, "_part"]
-    step = Window.partitionBy(*cell).orderBy(*order)
-    inside = df.withColumn(name, shift(value, 1).over(step))
+
+    def parted(rows: DataFrame) -> DataFrame:
+        return rows.join(sizes, cell, "left").withColumn("_part", F.coalesce(part, F.lit(0)))
+
+    step = Window.partitionBy(*cell, "_part").orderBy(*order)
+    inside = parted(df).withColumn(name, shift(value, 1).over(step))
     pick = F.min_by if forward else F.max_by
     edges = (
-        df.filter(F.col("_splits") > 1)
-        .groupBy(*cell)
+        parted(few)
+        .groupBy(*cell, "_part")
         .agg(pick(value, F.struct(*order)).alias("_edge"))
         .withColumn(
             "_edge",
@@ -144,7 +193,7 @@ def neighbour(
     )
     helpers = [c for c in inside.columns if c.startswith(("_time_", "_tie_"))]
     return (
-        inside.join(edges, cell, "left")
+        inside.join(edges, [*cell, "_part"], "left")
         .withColumn(name, F.coalesce(F.col(name), F.col("_edge")))
         .drop("_edge", "_chunk", "_part", "_parts", "_splits", *helpers)
     )
@@ -226,47 +275,67 @@ def as_of(
     columns: Sequence[str],
     chunk_seconds: int = 86_400,
     inclusive: bool = True,
+    spread: DataFrame | None = None,
 ) -> DataFrame:
     """Each probe with ``columns`` of the key's last version at or before its time.
 
-    Without ``inclusive`` a version at the probe's own time comes too late. Probes without one are dropped; a key has one version per instant. Probes and versions of a
-    key and time chunk are ordered together, and a chunk starts with what the chunks before it
-    ended with, so no pair of a probe and a version is ever built and a busy key is spread over
-    its chunks. Work is linear in both sides.
+    Without ``inclusive`` a version at the probe's own time comes too late. A probe without a
+    time asks for the key's last version. Probes without a version are dropped; a key has one
+    version per instant.
+
+    Work is linear in both sides and no pair of a probe and a version is ever built. A probe
+    after the last version's chunk, or without a time, takes the key's last version from a table
+    of one row per key, whatever their number. The others are ordered together with the versions
+    of their time chunk, and a chunk starts with what the chunks before it ended with. With
+    ``spread`` (keys with ``shares``) the probes of a chunk are dealt over shares that each get a
+    copy of its versions.
     """
     value = F.struct(*columns)
     cell = [*keys, "_chunk"]
-    marked = versions.select(
-        *keys, F.col(since).alias("_at"), value.alias("_value"),
-    ).withColumn("_chunk", _time_chunk("_at", chunk_seconds))
-    asked = probes.withColumn("_at", F.col(at)).withColumn(
+    marked = versions.select(*keys, F.col(since).alias("_at"), value.alias("_value")).withColumn(
         "_chunk", _time_chunk("_at", chunk_seconds)
     )
     ends = marked.groupBy(*cell).agg(F.max_by("_value", "_at").alias("_end"))
-    wanted = asked.select(*cell).distinct()
-    order = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
+    last = marked.groupBy(*keys).agg(
+        F.max("_chunk").alias("_until"), F.max_by("_value", "_at").alias("_last")
     )
+    # What each chunk starts with, also those without versions, up to the key's last one.
+    earlier = Window.partitionBy(*keys).orderBy("_chunk")
     starts = (
-        wanted.withColumn("_asked", F.lit(True))
-        .join(ends, cell, "full")
-        .withColumn("_start", F.last("_end", ignorenulls=True).over(order))
-        .filter("_asked")
-        .select(*cell, "_start")
+        ends.withColumn("_next", F.lead("_chunk").over(earlier))
+        .filter(F.col("_next").isNotNull())
+        .select(*keys, F.explode(F.sequence(F.col("_chunk") + 1, F.col("_next"))).alias("_chunk"),
+                F.col("_end").alias("_start"))
+    )
+    asked = (
+        probes.withColumn("_at", F.col(at))
+        .join(last, list(keys))
+        .withColumn("_chunk", _time_chunk("_at", chunk_seconds))
+        .withColumn("_settled", F.col("_chunk").isNull() | (F.col("_chunk") > F.col("_until")))
+        # Settled probes need no order; they lie anywhere.
+        .withColumn("_chunk", F.when(~F.col("_settled"), F.col("_chunk")))
+        .withColumn("_value", F.when(F.col("_settled"), F.col("_last")))
+        .drop("_until", "_last")
     )
+    any_share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in probes.columns]), F.lit(4096)).cast("int")
+    if spread is None:
+        share = F.lit(0)
+        marked = marked.withColumn("_share", share)
+    else:
+        asked = with_splits(asked, keys, spread, "_n")
+        marked = with_splits(marked, keys, spread, "_n").withColumn("_share", _copies("_n")).drop("_n")
+        share = F.pmod(any_share, F.col("_n"))
+    asked = asked.withColumn("_share", F.when(F.col("_settled"), any_share).otherwise(share)).drop("_n")
     both = asked.withColumn("_probe", F.lit(1)).unionByName(
         marked.withColumn("_probe", F.lit(0)), allowMissingColumns=True
     )
     first = F.col("_probe") if inclusive else -F.col("_probe")
-    here = Window.partitionBy(*cell).orderBy(F.col("_at"), first).rowsBetween(
+    here = Window.partitionBy(*cell, "_share").orderBy(F.col("_at"), first).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    found = (
-        both.withColumn("_value", F.last("_value", ignorenulls=True).over(here))
-        .filter("_probe = 1")
-        .join(starts, cell, "left")
-        .withColumn("_value", F.coalesce("_value", "_start"))
-        .filter(F.col("_value").isNotNull())
-    )
+    found = both.withColumn("_here", F.last(F.when(F.col("_probe") == 0, F.col("_value")), ignorenulls=True).over(here))
+    found = found.filter("_probe = 1").join(starts, cell, "left").withColumn(
+        "_value", F.coalesce(F.when(F.col("_settled"), F.col("_value")), F.col("_here"), F.col("_start"))
+    ).filter(F.col("_value").isNotNull())
     kept = [c for c in probes.columns if c not in columns]
     return found.select(*kept, *[F.col(f"_value.{c}").alias(c) for c in columns])

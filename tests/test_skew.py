@@ -53,20 +53,50 @@ def test_neighbour_in_one_instant(spark):
     )
 
 
+@pytest.mark.parametrize("spread", [None, 3])
 @pytest.mark.parametrize("chunk", [600, 10**9])
-def test_as_of_equals_brute_force(lopsided, chunk):
+def test_as_of_equals_brute_force(lopsided, chunk, spread):
     states = lopsided.filter("n % 5 = 0").dropDuplicates(["key", "time"])
     states = states.select("key", F.col("time").alias("since"), F.col("n").alias("v"))
     probes = lopsided.select("key", "time", "n")
-    found = skew.as_of(probes, states, ["key"], "time", "since", ["since", "v"], chunk)
+    # Every tenth probe asks for the last version.
+    open_ = F.when(F.col("n") % 10 != 0, F.col("time")).alias("time")
+    probes = probes.select("key", open_, "n")
+    shares = None
+    if spread:
+        shares = skew.heavy_keys(probes, ["key"], 50)
+    found = skew.as_of(probes, states, ["key"], "time", "since", ["since", "v"], chunk, spread=shares)
     known = states.collect()
     want = []
     for r in probes.collect():
-        past = [s for s in known if s.key == r.key and s.since <= r.time]
+        past = [s for s in known if s.key == r.key and (r.time is None or s.since <= r.time)]
         if past:
             last = max(past, key=lambda s: s.since)
             want.append((r.key, r.time, r.n, last.since, last.v))
-    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, want)))
+
+
+def test_a_million_open_probes_of_one_key_are_spread(spark):
+    """Probes that ask for the last version don't meet in one task."""
+    probes = spark.range(1_000_000).selectExpr("'hot' AS key", "id AS n", "CAST(NULL AS TIMESTAMP_NTZ) AS time")
+    states = spark.sql("SELECT 'hot' AS key, TIMESTAMP_NTZ '2024-01-01' AS since, 7 AS v")
+    found = skew.as_of(probes, states, ["key"], "time", "since", ["since", "v"])
+    sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) > 2
+
+
+def test_loads_come_from_one_exchange(spark):
+    rows = spark.range(1000).selectExpr("CAST(id % 3 AS STRING) AS a", "IF(id % 7 = 0, NULL, CAST(id % 5 AS STRING)) AS b", "'x' AS c")
+    load = skew.loads(rows, ["a"], ["c", "b"])
+    assert rows_of(load.groupBy().sum("rows")) == [(2000,)]
+    one, two = skew.heavy_of(load, 0, 300), skew.heavy_of(load, 1, 150)
+    frame = skew.with_splits(skew.with_splits(rows, ["a"], one, "x"), ["c", "b"], two, "y")
+    assert frame.columns == ["a", "b", "c", "x", "y"]
+    assert rows_of(frame.groupBy("x").count()) == [(2, 1000)]
+    assert rows_of(frame.groupBy("y").count()) == [(1, 143), (2, 857)]
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Generate explode") == 1 and "ReusedExchange" in final
 
 
 @pytest.mark.parametrize(("left_rows", "right_rows"), [(50, 20), (50, 10**6), (10**6, 20)])
