@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from navspark.operators.latest import STATE_KEYS, live_rows
+from navspark.operators.latest import STATE_KEYS
 from navspark.operators.replay import replay
+from navspark.schemas import LIVE_HOURS
 from navspark.sources.decode import ARRIVED_AT, read_dataset
-from navspark.streaming.tables import LatestTable, listen
+from navspark.streaming.tables import BUCKETS, LatestTable, PlacedTable, listen, remove
 
 STATE = ("holding", "order", "instrument")
 
@@ -29,45 +30,78 @@ STATE = ("holding", "order", "instrument")
 class Revaluation:
     """Tables, valued rows and progress of one stream, below ``folder``.
 
+    The tables lie in buckets by instrument, all the same ones, so a micro-batch reads the buckets
+    of the instruments that ticked in it and adds to those that its positions are in; its cost
+    follows its size and not that of the state. Its messages are parsed once, into files.
+
     With ``expire`` a row of a table counts only until its time-to-live has passed, measured from
-    the newest record of the micro-batch.
+    the newest record of the micro-batch, and leaves the table when its bucket is folded.
     """
 
-    def __init__(self, folder: str, mode: str = "raw", expire: bool = False, fold_every: int = 20):
+    def __init__(
+        self,
+        folder: str,
+        mode: str = "raw",
+        expire: bool = False,
+        fold_every: int = 20,
+        buckets: int = BUCKETS,
+    ):
         self.folder = folder
         self.mode = mode
         self.expire = expire
-        self.tables = {
-            name: LatestTable(
-                f"{folder}/state/{name}", STATE_KEYS[name], [ARRIVED_AT, "sequence"], fold_every
+
+        def kept(name: str, table: type, *keys: object, **options: object):
+            lives = (ARRIVED_AT, LIVE_HOURS[name]) if expire else None
+            return table(
+                f"{folder}/state/{name}", *keys, [ARRIVED_AT, "sequence"], fold_every,
+                buckets=buckets, lives=lives, **options,
             )
-            for name in STATE
+
+        place = ["instrumentId"]
+        self.tables = {
+            "holding": kept("holding", LatestTable, STATE_KEYS["holding"], place=place),
+            "order": kept("order", PlacedTable, "orderId", "instrumentId"),
+            "instrument": kept("instrument", LatestTable, STATE_KEYS["instrument"], place=place),
         }
 
-    def _known(self, name: str, news: DataFrame, newest: DataFrame, batch_id: int) -> DataFrame:
-        """What the table held before the batch, and the batch's own messages."""
-        if batch_id == 0:
-            return news
-        before = self.tables[name].before(news, batch_id)
-        if self.expire:
-            before = live_rows(before, name, newest.scalar(), ARRIVED_AT)
-        return before.unionByName(news)
+    def _parsed(self, batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+        """The good records of each dataset, parsed once for all that follows."""
+        spark, read = batch.sparkSession, {}
+        for name in (*STATE, "price"):
+            path = f"{self.folder}/news/batch={batch_id}/{name}"
+            read_dataset(batch, name, arrival=True).write.mode("overwrite").parquet(path)
+            read[name] = spark.read.parquet(path)
+        remove(spark, f"{self.folder}/news/batch={batch_id - 1}")
+        return read
 
     def advance(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``: value the ticks of a micro-batch of topic records."""
-        news = {name: read_dataset(batch, name, arrival=True) for name in (*STATE, "price")}
-        newest = batch.agg(F.max("timestamp").cast("timestamp_ntz").alias("newest"))
-        known = [self._known(name, news[name], newest, batch_id) for name in STATE]
-        valued = replay(*known, news["price"], self.mode, arrival=ARRIVED_AT)
-        (
-            valued.withColumn("batch", F.lit(batch_id).cast("bigint"))
-            .write.partitionBy("batch")
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .parquet(f"{self.folder}/valued")
-        )
+        news = self._parsed(batch, batch_id)
+        newest = None
+        if self.expire:
+            newest = F.lit(batch.agg(F.max("timestamp").cast("timestamp_ntz")).first()[0])
+        prices = news["price"]
+        buckets = self.tables["instrument"].buckets_of(prices)
+        if buckets or batch_id == 0:
+            ticked = prices.select("instrumentId").distinct()
+            known = []
+            for name in STATE:
+                rows = news[name]
+                if batch_id:
+                    before = self.tables[name].before(rows, batch_id, buckets, newest)
+                    before = before.join(ticked, "instrumentId", "left_semi")
+                    rows = before.unionByName(rows)
+                known.append(rows)
+            valued = replay(*known, prices, self.mode, arrival=ARRIVED_AT)
+            (
+                valued.withColumn("batch", F.lit(batch_id).cast("bigint"))
+                .write.partitionBy("batch")
+                .mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .parquet(f"{self.folder}/valued")
+            )
         for name in STATE:
-            self.tables[name].upsert(news[name], batch_id)
+            self.tables[name].upsert(news[name], batch_id, newest)
 
     def start(self, log: DataFrame, every: str | None = None) -> StreamingQuery:
         """Run on a stream of topic records; without ``every`` to the end of what is there."""
@@ -75,4 +109,4 @@ class Revaluation:
 
     def valued(self, spark: SparkSession) -> DataFrame:
         """All valued rows so far, one per tick and live position."""
-        return spark.read.parquet(f"{self.folder}/valued").drop("batch")
+        return spark.read.option("basePath", f"{self.folder}/valued").parquet(f"{self.folder}/valued").drop("batch")

@@ -97,7 +97,7 @@ MANY_CUTS = tuple(f"2024-01-15 12:{minute:02d}:00" for minute in (2, 11, 15, 21,
 def streamed(spark, log, cuts, **options):
     """Valued rows of a log that a stream reads slice by slice."""
     folder = shared_folder(spark)
-    stream = revalue.Revaluation(folder, **options)
+    stream = revalue.Revaluation(folder, buckets=4, **options)
     streams.run_in_slices(
         log, folder, lambda: stream.start(topics.file_topics(spark, f"{folder}/log")), cuts
     )
@@ -156,15 +156,102 @@ def test_expired_state_is_not_valued(spark):
     assert streamed(spark, to_log(logs), cut, expire=True).count() == 1
 
 
-def test_old_generations_go(spark, tmp_path):
+def batches_of(folder):
+    """By bucket the batches that left files."""
+    found = {}
+    for path in folder.glob("bucket=*/batch=*"):
+        found.setdefault(int(path.parent.name[7:]), set()).add(int(path.name[6:]))
+    found.pop(-1)
+    return found
+
+
+def test_old_files_go(spark, tmp_path):
     table = tables.LatestTable(f"{tmp_path}/t", ["k"], ["n"], fold_every=2)
     for number in range(9):
         table.upsert(spark.createDataFrame([("a", number)], "k STRING, n INT"), number)
-    left = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("generation")}
-    assert left == {"generation=-1", "generation=3", "generation=4"}
+    assert list(batches_of(tmp_path / "t").values()) == [{6, 7, 8}]
     assert rows_of(table.current(spark)) == [("a", 8)]
 
 
+def test_a_batch_reads_and_folds_only_its_buckets(spark, tmp_path):
+    """One of 2,000 instruments ticks."""
+    table = tables.LatestTable(
+        f"{tmp_path}/t", ["k", "account"], ["n"], fold_every=2, place=["k"], buckets=50
+    )
+    many = spark.range(6000).selectExpr(
+        "concat('I', id % 2000) AS k", "id AS account", "0 AS n", "id AS v"
+    )
+    table.upsert(many, 0)
+    whole = batches_of(tmp_path / "t")
+    assert len(whole) == 50
+    one = spark.sql("SELECT 'I7' AS k, CAST(7 AS BIGINT) AS account, 1 AS n, CAST(-1 AS BIGINT) AS v")
+    [mine] = table.buckets_of(one)
+    before = table.before(one, 1, [mine])
+    assert {f"bucket={mine}"} == {p.split("/")[-3] for p in before.inputFiles()} - {"bucket=-1"}
+    assert rows_of(before.filter("k = 'I7'").select("account")) == [(2007,), (4007,), (7,)]
+    for number in (1, 2, 3, 4):
+        table.upsert(one.withColumn("n", F.lit(number)), number)
+    after = batches_of(tmp_path / "t")
+    assert after.pop(mine) == {2, 3, 4}
+    assert after == {bucket: {0} for bucket in whole if bucket != mine}
+    folded = spark.read.parquet(f"{tmp_path}/t/bucket={mine}/batch=4")
+    held = rows_of(many.withColumn("b", table.bucket()).filter(F.col("b") == mine).select("k", "account"))
+    assert rows_of(folded.select("k", "account")) == held
+    assert table.current(spark).count() == 6000
+    assert rows_of(table.current(spark).filter("v < 0").select("k", "n")) == [("I7", 4)]
+
+
+def test_expired_rows_leave_the_table(spark, tmp_path):
+    """Over many batches the table holds what lives, in its files too."""
+    table = tables.LatestTable(
+        f"{tmp_path}/t", ["k"], ["at"], fold_every=2, buckets=4, lives=("at", 3)
+    )
+    for number in range(12):
+        rows = spark.sql(f"SELECT 'k{number}' AS k, {number} AS n, TIMESTAMP_NTZ '2024-01-01 {number:02d}:00:00' AS at")
+        as_of = F.lit(f"2024-01-01 {number:02d}:00:00").cast("timestamp_ntz")
+        table.upsert(rows, number, as_of)
+    live = {"k9", "k10", "k11"}
+    assert {r.k for r in table.current(spark, as_of=as_of).collect()} == live
+    stored = spark.read.parquet(f"{tmp_path}/t").filter("batch >= 10").select("k").distinct()
+    assert {r.k for r in stored.collect()} <= live | {"k8"}
+    assert spark.read.parquet(f"{tmp_path}/t").count() < 12
+
+
+def test_a_key_that_changes_its_place(spark):
+    """Rows of an order that moves between instruments; each batch may be run twice."""
+    table = tables.PlacedTable(shared_folder(spark), "k", "p", ["n"], fold_every=2, buckets=8)
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "k STRING, p STRING, n INT")
+
+    steps = [batch(("a", "A", 1), ("b", "B", 1)), batch(("a", "B", 2)), batch(("c", "A", 3)),
+             batch(("a", "C", 4), ("a", "A", 5)), batch(("b", "C", 6))]
+    want = [{("a", "A", 1), ("b", "B", 1)}, {("a", "B", 2), ("b", "B", 1)},
+            {("a", "B", 2), ("b", "B", 1), ("c", "A", 3)},
+            {("a", "A", 5), ("b", "B", 1), ("c", "A", 3)},
+            {("a", "A", 5), ("b", "C", 6), ("c", "A", 3)}]
+    for number, rows in enumerate(steps):
+        table.upsert(rows, number)
+        table.upsert(rows, number)
+        assert {tuple(r) for r in table.current(spark).collect()} == want[number]
+        by_place = table.before(rows, number + 1, table.buckets_of(batch(("x", "A", 0))))
+        assert {tuple(r) for r in by_place.filter("p = 'A'").collect()} == {r for r in want[number] if r[1] == "A"}
+
+
+def test_an_order_that_moves_to_another_instrument(spark):
+    """The stream values it where the replay does, wherever micro-batches are cut."""
+    logs = feeds(
+        spark, [], [order(1, 5), order(22, 6, instrument="MSFT"), order(35, 7)],
+        [instrument(0), instrument(0, "MSFT")],
+        [price(m, 10 + m, name) for m in (10, 20, 30, 40) for name in ("AAPL", "MSFT")],
+    )
+    kept = ["instrumentId", "orderQuantity", "price", "tickTime"]
+    expected = rows_of(replay(*logs).select(*kept))
+    assert len(expected) == 4
+    cuts = ("2024-01-15 12:25:00", "2024-01-15 12:38:00")
+    assert rows_of(streamed(spark, to_log(logs), cuts, fold_every=2).select(*kept)) == expected
+
+
 def test_table_survives_a_repeated_batch(spark):
     table = tables.LatestTable(shared_folder(spark), ["k"], ["n"], fold_every=2)
 
@@ -181,7 +268,9 @@ def test_table_survives_a_repeated_batch(spark):
 
 def test_live_view_and_deliveries(spark):
     folder = shared_folder(spark)
-    table = tables.LatestTable(f"{folder}/t", ["unifiedKey"], ["tickTime", "tickSequence"])
+    table = tables.PlacedTable(
+        f"{folder}/t", "unifiedKey", "instrumentId", ["tickTime", "tickSequence"]
+    )
     view = tables.LiveView(table, f"{folder}/v", ViewRequest(None, ("accountName",)))
     log = replay(*sample(spark)).withColumn("unifiedKey", streams.K.unified_key())
     first = view.advance(log.filter("tickSequence <= 10"), 0)
