@@ -14,6 +14,10 @@ replaces what it wrote.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +31,12 @@ from navspark.streaming.tables import BUCKETS, LatestTable, PlacedTable, listen,
 STATE = ("holding", "order", "instrument")
 
 
+def at_once(step: Callable[[str], Any], names: Sequence[str]) -> dict[str, Any]:
+    """Independent Spark jobs of a few datasets side by side."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(step, names), strict=True))
+
+
 class Revaluation:
     """Tables, valued rows and progress of one stream, below ``folder``.
 
@@ -66,11 +76,14 @@ class Revaluation:
 
     def _parsed(self, batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
         """The good records of each dataset, parsed once for all that follows."""
-        spark, read = batch.sparkSession, {}
-        for name in (*STATE, "price"):
+        spark = batch.sparkSession
+
+        def parsed(name: str) -> DataFrame:
             path = f"{self.folder}/news/batch={batch_id}/{name}"
             read_dataset(batch, name, arrival=True).write.mode("overwrite").parquet(path)
-            read[name] = spark.read.parquet(path)
+            return spark.read.parquet(path)
+
+        read = at_once(parsed, (*STATE, "price"))
         remove(spark, f"{self.folder}/news/batch={batch_id - 1}")
         return read
 
@@ -100,8 +113,7 @@ class Revaluation:
                 .option("partitionOverwriteMode", "dynamic")
                 .parquet(f"{self.folder}/valued")
             )
-        for name in STATE:
-            self.tables[name].upsert(news[name], batch_id, newest)
+        at_once(lambda name: self.tables[name].upsert(news[name], batch_id, newest), STATE)
 
     def start(self, log: DataFrame, every: str | None = None) -> StreamingQuery:
         """Run on a stream of topic records; without ``every`` to the end of what is there."""
