@@ -86,8 +86,12 @@ class Threshold:
         return F.least(n.cast("long"), n - F.ceil((n + low) * self.a / (self.a + self.b) - 1e-9) + 1 + F.floor(EXTRA[0] * n / EXTRA[1]))
 
     def sql_spare(self, n: Column) -> Column:
-        """Lists that a set of n can leave out: no more than any partner has besides the needed."""
-        return F.floor(n * (EXTRA[0] * self.a) / (EXTRA[1] * self.b) + 1e-9)
+        """Lists that a set of n can leave out: all that it has in common with any partner but one.
+
+        With a partner of m members a link shares at least prefix(n) - n + overlap(n, m) lists, least
+        for the smallest m, and prefix(m) - m + overlap(n, m): 1 + EXTRA * n, but for what rounding takes.
+        """
+        return F.floor(EXTRA[0] * F.greatest(n - 2, F.lit(0)) / EXTRA[1])
 
     def border(self, counts: dict[int, int]) -> int:
         """The cheapest border; counts: sets by size."""
@@ -156,8 +160,8 @@ def _map(frame: DataFrame, make, ddl: str) -> DataFrame:
     return frame.mapInArrow(run, ddl)
 
 
-def sets_of(frame: DataFrame, shingle: int) -> DataFrame:
-    """Of every document: doc_id, set, n, the set's triples, and its members if they are few."""
+def sets_of(frame: DataFrame, shingle: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Of every document: doc_id, carried columns, set, n, the set's triples, and its members if they are few."""
 
     def make(part):
         values, bounds = shingle_sets(part.column(1), shingle)
@@ -168,10 +172,11 @@ def sets_of(frame: DataFrame, shingle: int) -> DataFrame:
         lists = lambda flat, own: pa.ListArray.from_arrays(
             pa.array(np.searchsorted(own, np.arange(len(size) + 1)), pa.int32()), pa.array(flat.view(np.int64))
         )
-        return part.column(0), set_ids(values, bounds), size, lists(sig, owner), lists(values[few], row[few])
+        more = [part.column(2 + i) for i in range(len(carried))]
+        return part.column(0), *more, set_ids(values, bounds), size, lists(sig, owner), lists(values[few], row[few])
 
-    kind = frame.schema["doc_id"].dataType.simpleString()
-    return _map(frame, make, f"doc_id {kind}, set long, n long, triples array<long>, few array<long>")
+    own = "".join(f"{c} {frame.schema[c].dataType.simpleString()}, " for c in ("doc_id", *carried))
+    return _map(frame, make, f"{own}set long, n long, triples array<long>, few array<long>")
 
 
 def _triples(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,9 +318,16 @@ def without(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def one_of_each(
     frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR)
 ) -> DataFrame:
-    """The rows whose key is the smallest of its component, with their own columns; null keys stay."""
-    found = linked_components(frame, key, text, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
-    return without(frame, Scratch(frame.sparkSession).keep(found.distinct(), "copies"), key)
+    """The rows whose key is the smallest of its component, with their own columns; null keys stay.
+
+    A row is known by its key and its text. Of rows that share both, or a key and a component, all stay
+    or all go; rows that share a key only are judged each by itself.
+    """
+    mark, whole = "__row", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = frame.withColumn(mark, F.when(F.col(f"`{key}`").isNotNull(), F.xxhash64(F.col(f"`{key}`"), whole)))
+    found = linked_components(rows, key, text, shingle, similarity, carried=(mark,))
+    found = found.where("doc_id <> component_id").select(mark)
+    return without(rows, Scratch(frame.sparkSession).keep(found.distinct(), "copies"), mark).drop(mark)
 
 
 def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
@@ -456,13 +468,10 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     place = F.row_number().over(own.orderBy(F.col("k").desc_nulls_last(), "sig"))
     rows = rows.withColumn("spared", F.col("k").isNotNull() & (place <= t.sql_spare(F.col("n"))))
     rows = rows.withColumn("left_out", F.sum(F.col("spared").cast("long")).over(own))
-    rows = rows.where(~F.col("spared")).drop("k", "spared")
-    names = ("set", "n", "cluster", "left_out")
-    left = rows.select("sig", *(F.col(c).alias(f"{c}1") for c in names))
-    right = rows.select("sig", *(F.col(c).alias(f"{c}2") for c in names))
+    rows = scratch.keep(rows.where(~F.col("spared")).drop("k", "spared"), "scanned")
+    pairs = _scanned(rows, t).groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2")
+    counts = pairs.agg(F.sum("shared").alias("shared"))
     need = t.sql_overlap(F.col("n1"), F.col("n2"))
-    pairs = left.join(right, "sig").where((F.col("cluster1") < F.col("cluster2")) & (need <= F.least("n1", "n2")))
-    counts = pairs.groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2").agg(F.count("*").alias("shared"))
     listed_in_both = F.least(
         t.sql_prefix(F.col("n1")) - F.col("n1") + need, t.sql_prefix(F.col("n2")) - F.col("n2") + need
     )
@@ -471,19 +480,87 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     return counts.where(enough).select(F.col("set1").alias("a"), F.col("set2").alias("b"))
 
 
+#: Entries of a list in one piece, entries in a bucket of lists, and pairs counted at a time.
+PIECE, LISTED, LOT = 2000, 200_000, 1 << 20
+
+
+def _scanned(rows: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of sets of different clusters on one list, with the lists of a bucket that they share.
+
+    Lists are dealt to buckets and scanned there: entries lie in order of size, and each meets only
+    those after it that are small enough to link with it. Equal pairs of a bucket are counted before they
+    leave it. A list longer than a piece is cut into pieces, and every two pieces meet in some bucket.
+    """
+    pieces = F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces")
+    long = rows.groupBy("sig").agg(pieces).where("pieces > 1")
+    rows = rows.join(long, "sig", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), "pieces").cast("int"))
+    to = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
+    rows = rows.select("sig", "set", "n", "cluster", "left_out", "own", to)
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    buckets = max(1, -(-rows.count() // LISTED))
+    rows = rows.select(
+        F.pmod(F.xxhash64("sig", i, j), F.lit(buckets)).alias("bucket"), F.xxhash64("sig", i, j).alias("list"),
+        (i == j).alias("one"), "own", "set", "n", "cluster", "left_out",
+    )
+    kinds = "set1 long, set2 long, n1 long, n2 long, left_out1 long, left_out2 long, shared long"
+    return rows.groupBy("bucket").applyInArrow(lambda table: scan_lists(table, t.a, t.b), kinds)
+
+
+def scan_lists(table: pa.Table, a: int, b: int) -> pa.Table:
+    """The pairs of a bucket's lists, each once with the number of lists."""
+    names = ("list", "one", "own", "set", "n", "cluster", "left_out")
+    lists, one, own, ids, n, cluster, left_out = (table[c].to_numpy() for c in names)
+    order = np.lexsort((n, lists))
+    lists, one, own, ids, n, cluster = (x[order] for x in (lists, one, own, ids, n, cluster))
+    known, index = np.unique(ids, return_inverse=True)
+    size, out = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
+    size[index], out[index] = n, left_out[order]
+    # Of each entry the last one of its list that it can link with.
+    start = np.append(True, lists[1:] != lists[:-1])[: len(lists)]
+    where = np.cumsum(start) - 1
+    wide = int(n.max()) + 1 if len(n) else 1
+    key = where * wide + n
+    reach = np.searchsorted(key, where * wide + np.minimum(b * n // a, wide - 1), "right")
+    count = reach - np.arange(len(n)) - 1
+    ends = np.cumsum(count)
+    keys, sums, at = [], [], 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOT, "right")))
+        lot = count[at:to]
+        x = np.repeat(np.arange(at, to), lot)
+        y = np.arange(int(lot.sum())) - np.repeat(np.cumsum(lot) - lot, lot) + x + 1
+        meet = (cluster[x] != cluster[y]) & (one[x] | (own[x] != own[y]))
+        x, y = x[meet], y[meet]
+        swap = cluster[x] > cluster[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        part, times = np.unique(index[x] * len(known) + index[y], return_counts=True)
+        keys.append(part)
+        sums.append(times)
+        at = to
+    pair, back = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_inverse=True)
+    shared = np.zeros(len(pair), np.int64)
+    np.add.at(shared, back, np.concatenate(sums) if sums else np.empty(0, np.int64))
+    x, y = pair // max(len(known), 1), pair % max(len(known), 1)
+    columns = [known[x], known[y], size[x], size[y], out[x], out[y], shared]
+    return pa.table([pa.array(c) for c in columns], names=["set1", "set2", "n1", "n2", "left_out1", "left_out2", "shared"])
+
+
 #: Bytes of text for each bucket of list entries.
 BUCKET_BYTES = 6 << 20
 
 
 def linked_components(
-    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR)
-) -> DataFrame:
-    """Per document: key, n_shingles and component_id (smallest key that links reach, itself included)."""
+    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+    similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR), carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per document: key, n_shingles, component_id (smallest key that links reach, itself included), carried columns."""
     t = Threshold(*similarity, shingle)
     scratch = Scratch(frame.sparkSession)
     source = identified(frame, key, text)
-    made = scratch.keep(sets_of(source, t.shingle), "sets")
-    docs = made.select("doc_id", "set", "n")
+    whole = identified(frame, key, text, *carried) if carried else source
+    made = scratch.keep(sets_of(whole, t.shingle, carried), "sets")
+    docs = made.select("doc_id", *carried, "set", "n")
     homes = made.where("n > 0").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "triples", "few"))
     )
@@ -506,5 +583,5 @@ def linked_components(
     by_set = place.join(least, "component").select("set", "component_id")
     found = docs.join(by_set, "set", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *carried)
 

@@ -177,12 +177,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def identified(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the key and the text, under the names doc_id and text; a null text is empty."""
+def identified(frame: DataFrame, key: str = "doc_id", text: str = "text", *carried: str) -> DataFrame:
+    """Only the key and the text, under the names doc_id and text, and carried columns; a null text is empty."""
     ship(frame.sparkSession)
     return frame.select(
         F.col(f"`{key}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+        *carried,
     )
 
 

@@ -132,6 +132,43 @@ def test_jaccard_at_the_threshold(spark):
         ngram_join.HEAVY = heavy
 
 
+def test_lists_in_pieces(spark, monkeypatch):
+    """Dissimilar texts that share a passage, similar ones of different clusters, lists longer than a piece."""
+    monkeypatch.setattr(ngram_join, "PIECE", 5)
+    monkeypatch.setattr(ngram_join, "LISTED", 300)
+    monkeypatch.setattr(ngram_join, "LOT", 50)
+    monkeypatch.setattr(ngram_join, "HEAVY", 10)
+    monkeypatch.setattr(ngram_join, "VOTES", 9)  # no clusters: all links must show on lists
+    rng, passage = random.Random(8), cases.words(40, 11)
+    texts = [f"{cases.words(25, i)} {passage} {cases.words(rng.randint(5, 60), 1000 + i)}" for i in range(60)]
+    for i in range(0, 60, 4):
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [(k, cases.shingles(t)) for k, t in enumerate(texts)]
+    root = cases.components(sets)
+    assert len(set(root.values())) < len(texts)
+    assert rows(ngram_join.linked_components(frame)) == sorted((k, len(s), root[k]) for k, s in sets)
+
+
+def test_spared_lists_leave_one_in_common():
+    """For all sizes that can link, a link has more lists in common than either side leaves out."""
+    for t in (ngram_join.Threshold(), ngram_join.Threshold(8, 10, 5)):
+        for n in range(1, 700):
+            for m in t.sizes(n):
+                common = min(int(t.prefix(n)) - n, int(t.prefix(m)) - m) + t.overlap(n, m)
+                assert common > ngram_join.EXTRA[0] * max(n - 2, m - 2, 0) // ngram_join.EXTRA[1]
+
+
+def test_one_of_each_knows_rows_by_key_and_text(spark):
+    a, b = cases.words(80, 21), cases.words(80, 22)
+    frame = spark.createDataFrame([(1, a), (5, a), (5, b), (9, cases.words(80, 23)), (None, a), (7, None), (8, "")], "doc_id long, text string")
+    kept = ngram_join.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (5, b), (9, cases.words(80, 23)), (None, a), (7, None), (8, "")], key=str)
+
+
 def test_border_follows_the_cost():
     t = ngram_join.Threshold()
     assert t.border({500: 1000}) == 0
