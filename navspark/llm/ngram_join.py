@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from navspark.llm.components import Scratch, components
-from navspark.llm.text import LOWER, identified, mixed, rolling, ship, steps, texts_of, word_hashes, words_of
+from navspark.llm.text import LOWER, frugal, give_back, identified, mixed, rolling, ship, steps, texts_of, word_hashes, words_of
 
 SHINGLE = 4
 #: Similarity as a fraction.
@@ -157,7 +157,7 @@ def _map(frame: DataFrame, make, ddl: str) -> DataFrame:
             for part in steps(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(part)], names=names)
 
-    return frame.mapInArrow(run, ddl)
+    return frame.mapInArrow(frugal(run), ddl)
 
 
 def sets_of(frame: DataFrame, shingle: int, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -216,7 +216,7 @@ def _small_rows(sets: DataFrame, t: Threshold, border: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "set", "n", "c"])
 
     small = sets.where(F.col("n") <= border).select("set", "n", "few")
-    return small.mapInArrow(run, "sig long, set long, n long, c long")
+    return small.mapInArrow(frugal(run), "sig long, set long, n long, c long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def _listed_rows(frame: DataFrame, t: Threshold, border: int, buckets: int) -> D
         return pa.table([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(2)], names=["sig", "set"])
 
     sent = _map(frame, make, entry)
-    return sent.groupBy("bucket").applyInArrow(compare, "sig long, set long")
+    return sent.groupBy("bucket").applyInArrow(_frugally(compare), "sig long, set long")
 
 
 def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
@@ -309,7 +309,7 @@ def without(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
     bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("__bit")
     ddl = T.StructType([*frame.schema.fields, T.StructField("__maybe", T.BooleanType())])
-    rows = frame.select(*[F.col(f"`{c}`") for c in names], bit).mapInArrow(tested, ddl)
+    rows = frame.select(*[F.col(f"`{c}`") for c in names], bit).mapInArrow(frugal(tested), ddl)
     sure = rows.where(~F.col("__maybe")).drop("__maybe")
     maybe = rows.where(F.col("__maybe")).drop("__maybe")
     return sure.unionAll(maybe.join(ids.select(column), column, "left_anti").select(*names))
@@ -348,7 +348,7 @@ def members_of(sets: DataFrame, frame: DataFrame, homes: DataFrame, shingle: int
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, lists], names=["doc_id", "set", "members"])
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    found = frame.select("doc_id", "text", where).mapInArrow(members, f"doc_id {kind}, set long, members array<long>")
+    found = frame.select("doc_id", "text", where).mapInArrow(frugal(members), f"doc_id {kind}, set long, members array<long>")
     # Rows that share a key are told apart by their set.
     own = found.join(chosen, ["doc_id", "set"], "left_semi")
     return scratch.keep(own.select("set", "members").dropDuplicates(["set"]), "members")
@@ -414,7 +414,19 @@ def compare_cell(table: pa.Table, a: int, b: int) -> pa.Table:
 
 
 def _compared(cells: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
-    return cells.groupBy(*keys).applyInArrow(lambda table: compare_cell(table, t.a, t.b), "u long, v long")
+    return cells.groupBy(*keys).applyInArrow(_frugally(lambda table: compare_cell(table, t.a, t.b)), "u long, v long")
+
+
+def _frugally(make):
+    """`make` for one group; what a large group took goes back before the next one."""
+
+    def made(table: pa.Table) -> pa.Table:
+        out, large = make(table), table.nbytes > 1 << 20
+        if large:
+            give_back()
+        return out
+
+    return made
 
 
 def cluster_links(clusters: DataFrame, members: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
@@ -504,7 +516,7 @@ def _scanned(rows: DataFrame, t: Threshold) -> DataFrame:
         (i == j).alias("one"), "own", "set", "n", "cluster", "left_out",
     )
     kinds = "set1 long, set2 long, n1 long, n2 long, left_out1 long, left_out2 long, shared long"
-    return rows.groupBy("bucket").applyInArrow(lambda table: scan_lists(table, t.a, t.b), kinds)
+    return rows.groupBy("bucket").applyInArrow(_frugally(lambda table: scan_lists(table, t.a, t.b)), kinds)
 
 
 def scan_lists(table: pa.Table, a: int, b: int) -> pa.Table:

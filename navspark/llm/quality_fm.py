@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.llm.labelled import training_rows
-from navspark.llm.text import LOWER, append, held_out, identified, rolling, texts_of, word_hashes, words_of
+from navspark.llm.text import LOWER, append, frugal, held_out, identified, rolling, steps, texts_of, word_hashes, words_of
 
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 6000
@@ -166,15 +166,16 @@ def fit(spark: SparkSession, folder: str, label: str = "quality", rows: int = FI
 
     def prepare(batches):
         for batch in batches:
-            buckets, first, table = inputs(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets.astype(np.int16), pa.int16()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), lists, pa.array(table.tolist(), pa.list_(pa.float64()))],
-                names=["doc_id", "label", "buckets", "statistics"],
-            )
+            for part in steps(batch, "text"):
+                buckets, first, table = inputs(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets.astype(np.int16), pa.int16()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), lists, pa.array(table.tolist(), pa.list_(pa.float64()))],
+                    names=["doc_id", "label", "buckets", "statistics"],
+                )
 
     sample = training_rows(spark, folder, label, rows).mapInArrow(
-        prepare, "doc_id long, label int, buckets array<short>, statistics array<double>"
+        frugal(prepare), "doc_id long, label int, buckets array<short>, statistics array<double>"
     )
     found = sample.toArrow().sort_by("doc_id")
     parts = [

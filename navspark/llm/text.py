@@ -6,6 +6,7 @@ found on UTF-8 bytes; no character is ever cut.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -129,6 +130,28 @@ def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator
         at = to
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold but don't use to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for a task's batches; a worker that waits for its next task holds no memory of the last one."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -170,7 +193,7 @@ def append(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = frame.select(*[F.col(f"`{c}`") for c in frame.columns])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,14 +57,14 @@ def sha(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, size: int = 4) -> frozenset:
     w = WORD.findall((text or "").translate(A_TO_Z))
-    if len(w) >= 4:
-        return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3))
+    if len(w) >= size:
+        return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
     return frozenset([tuple(w)]) if w else frozenset()
 
 
-def components(sets: list[tuple]) -> dict:
+def components(sets: list[tuple], numerator: int = 85, denominator: int = 100) -> dict:
     """Smallest key that links reach, for (key, set) pairs."""
     up = {k: k for k, _ in sets}
 
@@ -75,7 +75,7 @@ def components(sets: list[tuple]) -> dict:
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and denominator * len(x & y) >= numerator * len(x | y):
                 low, high = sorted((root(a), root(b)))
                 up[high] = low
     return {k: root(k) for k in up}

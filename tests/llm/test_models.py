@@ -191,7 +191,7 @@ def test_pipeline_equals_its_plain_version(spark, data):
     start = docs.collect()
     scores = machine.scores(pa.array([r.text for r in start]))
     rows = [r for r, s in zip(start, scores) if s >= quality_fm.ACCEPT]
-    root = cases.components([(r.doc_id, cases.shingles(r.text)) for r in rows])
+    root = cases.components([(r.doc_id, cases.shingles(r.text, 5)) for r in rows], 8, 10)
     rows = [r for r in rows if root[r.doc_id] == r.doc_id]
     index = decontaminate.shards(spark.read.parquet(f"{data}/benchmark.parquet"))[0]
     leaks = {f[0] for f in index.verified(*decontaminate.hashed([r.text for r in rows]))}
