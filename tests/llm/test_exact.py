@@ -394,16 +394,37 @@ def test_html(spark):
         (6, "", "", "c"),
         (7, "http://d.org/", "<p>plain & <i>un</i>closed <div class=ad>x<article>in <article>side", "c"),
         (8, "http://e.org/", "<nav>" + "deep " * 20000, "c"),
+        *((k, f"http://f.org/y/{k}", shared.format("copied"), "c") for k in (20, 21, 22)),
+        (23, "http://f.org/y/9", shared.format("unlike"), "c"),
+        (24, "http://g.org/z", shared.format("lone copy"), "c"),
+        (24, "http://g.org/z", shared.format("lone copy"), "c"),
     ]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(frame).collect()}
     assert got[1][0] == "Head line One boldword <x> &am Two lines"
     assert [got[i][0] for i in (2, 3, 4, 5, 6, 8)] == ["only one", "only two", "Same menu alone Same end", "", "", ""]
     assert got[7][0] == "in side"
+    assert [got[i][0] for i in (20, 21, 22, 23)] == ["copied", "copied", "copied", "unlike"]
+    assert got[24][0] == "Same menu lone copy Same end"
     assert all(n == len(t) for t, n in got.values())
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def test_html_of_any_shape_is_read_in_linear_time():
+    import time
+
+    for unit in ("<a ", '<a ">"', "<a '", "<title>", "<!--", "<script>", "<", "<p class='"):
+        start = time.process_time()
+        html_text.lines_of(unit * 200_000)
+        assert time.process_time() - start < 10, unit
+
+
+def test_alignment_of_many_lines():
+    a = [str(i) for i in range(6000)]
+    assert sorted(html_text.common(a, a[::2] + ["new"] * 3000)) == list(range(0, 6000, 2))
+    assert html_text.common(a, a) == set(range(6000)) and html_text.common(a, []) == set()
+
+
 def test_pages_of_the_tables(spark, data):
     import html
     import re
