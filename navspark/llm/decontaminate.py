@@ -25,7 +25,7 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,6 +47,8 @@ GRAM = 3
 QUESTION, ANSWER = 0.5, 0.5
 #: Bytes of item text in one broadcast index.
 SHARD_BYTES = 8 << 20
+#: Postings that are scored at a time.
+LOT = 1 << 20
 
 _WORD = LOWER.copy()
 _WORD[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -83,6 +85,11 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[owner], owner
 
 
+def _cells(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a table that are summed up, and each key's place in them: all if they are few, else those that occur."""
+    return (np.arange(most), key) if most <= LOT else np.unique(key, return_inverse=True)
+
+
 @dataclass
 class Index:
     terms: np.ndarray
@@ -124,20 +131,37 @@ class Index:
         passage, term = passage[left], term[left]
         if not len(passage):
             return none
-        blocks = len(self.block_threshold)
-        seen, compact = np.unique(passage, return_inverse=True)
+        found = [self._lot(passage[x:y], term[x:y]) for x, y in self._lots(passage, term)]
+        passage, item, score = (np.concatenate(x) for x in zip(*found))
+        row = np.searchsorted(before, passage, "right") - 1
+        return row, first[row] + (passage - before[row]) * STRIDE, item, score
+
+    def _lots(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of whole passages whose terms have at most LOT postings together, or one passage."""
+        sizes = np.cumsum(self.pair_first[self.term_first[term + 1]] - self.pair_first[self.term_first[term]])
+        starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        ends = np.append(starts[1:], len(passage))
+        at = 0
+        while at < len(starts):
+            before = sizes[starts[at] - 1] if starts[at] else 0
+            to = max(at + 1, int(np.searchsorted(sizes[ends - 1], before + LOT, "right")))
+            yield int(starts[at]), int(ends[to - 1])
+            at = to
+
+    def _lot(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, item and score above the item's threshold; tables hold what occurs, not all there could be."""
+        blocks, items = len(self.block_threshold), len(self.item_id)
+        seen, place = np.unique(passage, return_inverse=True)
         pair, of = _spread(self.term_first[term], np.diff(self.term_first)[term])
-        cell = compact[of] * blocks + self.pair_block[pair]
-        bound = np.bincount(cell, self.pair_max[pair], len(seen) * blocks).reshape(-1, blocks)
-        use = (bound >= self.block_threshold).ravel()[cell]
-        pair, cell = pair[use], cell[use]
+        cell, back = _cells(place[of] * blocks + self.pair_block[pair], len(seen) * blocks)
+        bound = np.bincount(back, self.pair_max[pair], len(cell))
+        use = (bound >= self.block_threshold[cell % blocks])[back]
+        pair, back = pair[use], back[use]
         post, owner = _spread(self.pair_first[pair], np.diff(self.pair_first)[pair])
-        items = len(self.item_id)
-        score = np.bincount((cell // blocks)[owner] * items + self.item[post], self.impact[post], len(seen) * items)
-        found = np.flatnonzero(score >= np.tile(self.threshold, len(seen)))
-        passage, item = seen[found // items], found % items
-        row = np.searchsorted(before, passage, "right") - 1
-        return row, first[row] + (passage - before[row]) * STRIDE, item, score[found]
+        key, back = _cells((cell // blocks)[back][owner] * items + self.item[post], len(seen) * items)
+        score = np.bincount(back, self.impact[post], len(key))
+        hit = score >= self.threshold[key % items]
+        return seen[key[hit] // items], key[hit] % items, score[hit]
 
     def verified(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
         """Row, item, score, question and answer overlap, first word of the best passage of each match."""
@@ -291,7 +315,7 @@ def shards(items: DataFrame) -> Shards:
     return Shards(spark, path)
 
 
-FIELDS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+FIELDS = "doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
 def matches(frame: DataFrame, indexes: Sequence[Index], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +344,7 @@ def _matches(source: DataFrame, index: Index) -> DataFrame:
                     names=[f.split()[0] for f in FIELDS.split(", ")],
                 )
 
-    return source.mapInArrow(search, FIELDS)
+    return source.mapInArrow(search, FIELDS.format(kind=source.schema["doc_id"].dataType.simpleString()))
 
 
 def find(spark: SparkSession, folder: str) -> DataFrame:

@@ -249,3 +249,27 @@ def test_null_keys(spark, data):
         ("one", ngram_join.one_of_each),
     ):
         assert operate(frame).count() == 3, name
+
+
+def test_scores_in_small_lots_and_sparse_tables(data, monkeypatch):
+    """However postings are dealt to lots, and whether a table is laid out whole, the same matches come out."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{data}/benchmark.parquet")
+    index = decontaminate.build(list(zip(table["item_id"].to_pylist(), table["text"].to_pylist())))
+    texts = [t or "" for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist()]
+    words = decontaminate.hashed(texts)
+    want = [x.tolist() for x in index.retrieve(*words)]
+    for lot in (1, 500):
+        monkeypatch.setattr(decontaminate, "LOT", lot)
+        assert [x.tolist() if i < 3 else x.round(9).tolist() for i, x in enumerate(index.retrieve(*words))] == [
+            *want[:3], [round(s, 9) for s in want[3]]
+        ]
+    assert len(want[0]) > 0
+
+
+def test_decontamination_follows_the_key(spark):
+    passage = "what is the capital of the far country of borduria and who built it. it is called szohod"
+    frame = spark.createDataFrame([("a", passage), (None, passage), ("b", "nothing")], "doc_id string, text string")
+    index = decontaminate.build([(1, passage)])
+    assert sorted(str(r.doc_id) for r in decontaminate.matches(frame, [index]).collect()) == ["None", "a"]
