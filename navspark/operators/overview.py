@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.keys import join_key
@@ -173,61 +173,117 @@ def cumulative_from_versions(
 
     A version that is live on [from, to) adds its quantity times the prices that tick in that
     interval, which is S(from) - S(to) with S the sum of the prices from a time on. So each
-    version becomes a plus and a minus entry that look up S, and the work grows with positions
-    plus ticks instead of their product. Raw valuation only: the typed one rounds every product.
+    version becomes a plus and a minus entry. The ticks of an instrument fall into eras, runs with
+    equal grouping data of the instrument. An entry looks up S within the era it lies in; what it
+    adds to the eras after that is carried on by the sum of its group's entries so far, one row per
+    group and era that still holds something. So work grows with versions, ticks, eras and what
+    the result is made of, and no version ever meets an era. Raw valuation only: the typed one
+    rounds every product.
     """
     request.validate()
     holdings = holdings.filter(in_accounts(request.accounts))
     orders = orders.filter(in_accounts(request.accounts))
     load = position_loads(holdings, orders)
     live = position_versions(holdings, orders, tie_breakers, load=load)
-    ticks = known_ticks(prices, instruments).filter(has_valid_price())
-
-    # Instrument data is constant within an era: the ticks between two of its versions.
-    era = ["instrumentId", "knownSince"]
-    eras = ticks.groupBy(*era).agg(
-        F.min("tickTime").alias("firstTick"),
-        F.max("tickTime").alias("lastTick"),
-        *[F.first(name).alias(name) for name in INSTRUMENT_COLUMNS],
-    )
-    open_ended = F.col("validTo").isNull() | (F.col("validTo") > F.col("firstTick"))
-    cut = live.join(eras, "instrumentId").filter(
-        (F.col("validFrom") <= F.col("lastTick")) & open_ended
-    )
-    last_entry = F.when(F.col("validTo") <= F.col("lastTick"), F.col("validTo"))
-    entries = F.filter(
-        F.array(
-            F.struct(
-                F.greatest("validFrom", "firstTick").alias("tickTime"), F.lit(1).alias("sign")
-            ),
-            F.struct(last_entry.alias("tickTime"), F.lit(-1).alias("sign")),
-        ),
-        lambda entry: entry.tickTime.isNotNull(),
-    )
+    described = [name for name in request.fields if name in INSTRUMENT_COLUMNS]
+    ticks, eras = _eras(known_ticks(prices, instruments).filter(has_valid_price()), described)
+
     zero = F.lit(0).cast(QUANTITY)
     held = F.coalesce("position", zero)
     filled = F.when(is_order(), F.coalesce("filledQuantity", zero)).otherwise(zero)
     ordered = F.coalesce("orderQuantity", zero)
-    groups = _group_columns(request)
-    signed = cut.select(
-        *era, *groups, F.inline(entries), held.alias("sodNavUSD"),
-        (held + filled).alias("currentNavUSD"), (held + ordered).alias("expectedNavUSD"),
+    own = [name for name in _group_names(request) if name not in described]
+    borders = F.filter(
+        F.array(
+            F.struct(F.col("validFrom").alias("tickTime"), F.lit(1).alias("sign")),
+            F.struct(F.col("validTo").alias("tickTime"), F.lit(-1).alias("sign")),
+        ),
+        lambda entry: entry.tickTime.isNotNull(),
     )
-    names = [name for name in signed.columns if name not in {*era, "tickTime", "sign", *NAVS}]
-    probes = signed.groupBy(*era, *names, "tickTime").agg(
-        *[F.sum(F.col(nav) * F.col("sign")).alias(nav) for nav in NAVS],
-        F.sum("sign").alias("recordCount"),
+    signed = live.select(
+        "instrumentId", *[field_column(name).alias(name) for name in own], F.inline(borders),
+        held.alias("sodNavUSD"), (held + filled).alias("currentNavUSD"),
+        (held + ordered).alias("expectedNavUSD"),
     )
-    points = ticks.select(*era, "tickTime", "price", F.lit(1).cast("bigint").alias("ticks"))
-    found = skew.later_sums(
-        points, probes, era, "tickTime", ["price", "ticks"],
-        heavy=skew.heavy_of(load, BY_INSTRUMENT, rows_per_task),
+    measures = [*NAVS, "recordCount"]
+    # Before an instrument's first tick nothing ticks: such entries count from there on.
+    first = eras.groupBy("instrumentId").agg(
+        F.min("firstTick").alias("_start_of_ticks"), F.max("era").alias("_final")
+    )
+    entries = (
+        signed.groupBy("instrumentId", *own, "tickTime")
+        .agg(
+            *[F.sum(F.col(nav) * F.col("sign")).alias(nav) for nav in NAVS],
+            F.sum("sign").alias("recordCount"),
+        )
+        .join(first, "instrumentId")
+        .withColumn("tickTime", F.greatest("tickTime", "_start_of_ticks"))
+        .drop("_start_of_ticks")
     )
-    sums = found.groupBy(*names).agg(
+    heavy = skew.heavy_of(load, BY_INSTRUMENT, rows_per_task)
+    placed = skew.as_of(
+        entries, eras.select("instrumentId", "firstTick", "era"), ["instrumentId"], "tickTime",
+        "firstTick", ["era"], spread=heavy,
+    )
+
+    within = skew.later_sums(
+        ticks.select("instrumentId", "era", "tickTime", "price", F.lit(1).cast("bigint").alias("ticks")),
+        placed, ["instrumentId", "era"], "tickTime", ["price", "ticks"], heavy=heavy,
+    )
+    by_era = placed.groupBy("instrumentId", *own, "era", "_final").agg(
+        *[F.sum(name).alias(name) for name in measures]
+    )
+    group = Window.partitionBy("instrumentId", *own).orderBy("era")
+    so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    something = F.lit(False)
+    for name in measures:
+        something = something | (F.col(name) != 0)
+    carried = (
+        by_era.withColumns({name: F.sum(name).over(so_far) for name in measures})
+        .withColumn("_next", F.coalesce(F.lead("era").over(group), F.col("_final")))
+        .filter(something & (F.col("_next") > F.col("era")))
+        .withColumn("era", F.explode(F.sequence(F.col("era") + 1, F.col("_next"))))
+        .join(eras.select("instrumentId", "era", "price", "ticks"), ["instrumentId", "era"])
+    )
+    kept = ["instrumentId", "era", *own, *measures, "price", "ticks"]
+    found = within.select(*kept).unionByName(carried.select(*kept))
+    if described:
+        found = found.join(eras.select("instrumentId", "era", *described), ["instrumentId", "era"])
+    sums = found.groupBy(*own, *described).agg(
         *[F.sum(summed_value(F.col("price"), F.col(nav))).cast(RAW_MONEY).alias(nav) for nav in NAVS],
         F.sum(F.col("ticks") * F.col("recordCount")).alias("recordCount"),
     )
-    return _finish(sums, request, accounts)
+    # A group whose versions met no tick has no row.
+    return _finish(sums.filter("recordCount > 0"), request, accounts)
+
+
+def _group_names(request: ViewRequest) -> list[str]:
+    """The columns of ``_group_columns``."""
+    names = [name for name in request.fields if name != "accountName"]
+    if "accountName" in request.fields and "accountId" not in names:
+        names.append("accountId")
+    return names
+
+
+def _eras(ticks: DataFrame, described: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Ticks with the era they fall in, and the eras: first tick, sums, grouping data."""
+    known = ticks.groupBy("instrumentId", "knownSince").agg(
+        F.min("tickTime").alias("firstTick"), F.sum("price").alias("price"),
+        F.count("*").alias("ticks"), *[F.first(name).alias(name) for name in described],
+    )
+    order = Window.partitionBy("instrumentId").orderBy("knownSince")
+    opens = F.lag("knownSince").over(order).isNull()
+    for name in described:
+        opens = opens | ~F.col(name).eqNullSafe(F.lag(name).over(order))
+    numbered = known.withColumn("_opens", opens.cast("int")).withColumn(
+        "era", F.sum("_opens").over(order)
+    )
+    eras = numbered.groupBy("instrumentId", "era").agg(
+        F.min("firstTick").alias("firstTick"), F.sum("price").alias("price"),
+        F.sum("ticks").alias("ticks"), *[F.first(name).alias(name) for name in described],
+    )
+    places = numbered.select("instrumentId", "knownSince", "era")
+    return ticks.join(places, ["instrumentId", "knownSince"]), eras
 
 
 def account_nav(valued: DataFrame, abs_orders: bool = False) -> DataFrame:

@@ -175,3 +175,37 @@ def test_history_of_a_heavy_order(spark, data):
 def test_latest_reduces_before_the_exchange(lopsided):
     plan = latest_by_key(lopsided, ["key"], ["time", "n"])._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
+@pytest.mark.parametrize("fields", [("sector",), ("instrumentName", "accountName")])
+def test_cumulative_over_a_thousand_eras(spark, fields):
+    """One instrument renamed before each of its ticks; sector changes once."""
+    from datetime import timedelta
+
+    from tests.feeds import NOON, feeds, holding, instrument, order, price
+
+    dice = random.Random(3)
+    versions_, ticks, held, ordered = [], [], [], []
+    for i in range(1000):
+        row = instrument(0, sector="A" if i < 400 else "B")
+        row["instrumentName"], row["timestamp"], row["sequence"] = f"N{i}", NOON + timedelta(seconds=10 * i), i
+        versions_.append(row)
+        tick = price(0, i % 7 + 1)
+        tick["timestamp"] = tick["date"] = NOON + timedelta(seconds=10 * i + 5)
+        tick["sequence"] = 5000 + i
+        ticks.append(tick)
+    for k in range(40):
+        at = NOON + timedelta(seconds=dice.randrange(-500, 10_000))
+        row = holding(0, dice.randint(1, 9), account=f"A{k % 5}", sequence=10_000 + k)
+        held.append({**row, "timestamp": at})
+        row = order(0, dice.randint(1, 9), dice.randint(0, 5), order_id=f"O{k % 11}")
+        ordered.append({**row, "timestamp": at + timedelta(seconds=1), "sequence": 20_000 + k})
+    logs = feeds(spark, held, ordered, versions_, ticks)
+    request = ViewRequest(None, fields)
+    names = ["rowKey", "sodNavUSD", "currentNavUSD", "expectedNavUSD", "recordCount"]
+    fast = overview.cumulative_from_versions(*logs, request, rows_per_task=20).select(*names)
+    whole = overview.cumulative_overview(replay(*logs), request).select(*names)
+    found = rows_of(fast)
+    assert found == rows_of(whole) and len(found) > (1 if fields == ("sector",) else 1000)
+    plan = fast._jdf.queryExecution().optimizedPlan().toString()
+    assert "validFrom#" not in "".join(line for line in plan.splitlines() if "Join " in line and "knownSince" in line)
