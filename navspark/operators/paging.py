@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,3 +65,52 @@ def page_after(df: DataFrame, key: str, after: str | None, size: int = 50) -> Da
     """The page behind a key, for deep paging: its cost does not grow with the depth."""
     rows = df if after is None else df.filter(F.col(key) > F.lit(after))
     return rows.orderBy(key).limit(size)
+
+
+def _order(by: Sequence[tuple[str, bool]], tie_breaker: str) -> list[tuple[str, bool]]:
+    return [*by, (tie_breaker, True)]
+
+
+def end_key(
+    page_rows: DataFrame, by: Sequence[tuple[str, bool]], tie_breaker: str
+) -> dict[str, Column]:
+    """Where a page ends: the sort values of its last row, each as a scalar of the plan."""
+    backwards = [
+        F.col(name).desc_nulls_first() if ascending else F.col(name).asc_nulls_first()
+        for name, ascending in _order(by, tie_breaker)
+    ]
+    last = page_rows.orderBy(*backwards).limit(1)
+    return {name: last.select(name).scalar() for name, _ in _order(by, tie_breaker)}
+
+
+def behind(
+    by: Sequence[tuple[str, bool]], tie_breaker: str, end: Mapping[str, object]
+) -> Column:
+    """Rows behind an end key in the order of ``sorted_rows``, whose nulls come last.
+
+    ``end`` has a value (a constant or a column) for each sort column and the tie-breaker.
+    """
+    found, equal = F.lit(False), F.lit(True)
+    for name, ascending in _order(by, tie_breaker):
+        column, value = F.col(name), end[name]
+        value = value if isinstance(value, Column) else F.lit(value)
+        later = (column > value) if ascending else (column < value)
+        later = F.coalesce(later, column.isNull() & value.isNotNull())
+        found = found | (equal & later)
+        equal = equal & column.eqNullSafe(value)
+    return found
+
+
+def seek(
+    df: DataFrame,
+    by: Sequence[tuple[str, bool]],
+    tie_breaker: str,
+    end: Mapping[str, object] | None = None,
+    size: int = 50,
+) -> DataFrame:
+    """The page behind an end key, in any order; without one the first.
+
+    However deep the page lies, each task keeps ``size`` rows and no row is skipped by counting.
+    """
+    rows = df if end is None else df.filter(behind(by, tie_breaker, end))
+    return sorted_rows(rows, by, tie_breaker).limit(size)

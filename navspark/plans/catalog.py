@@ -29,6 +29,7 @@ from navspark.sources import bridge, decode, publish
 BY_ACCOUNT_SECTOR = ViewRequest(None, ("accountName", "sector"))
 BY_SECTOR = ViewRequest(None, ("sector",))
 EARLIER, LATER = "2024-01-20 00:00:00", "2024-01-28 00:00:00"
+BETWEEN = ("2024-01-22 12:00:00", "2024-01-25 00:00:00")
 LATEST = "2024-01-30 18:00:00"
 
 
@@ -1020,6 +1021,30 @@ def view_diff(f: Feeds) -> DataFrame:
     return changes.diff(*_two_views(f))
 
 
+@query(
+    TWO_VIEWS
+    + f"""
+SELECT rowKey, changeType, {m('old_sod', 'old_sodNavUSD')}, {m('new_sod', 'new_sodNavUSD')},
+       old_recordCount, new_recordCount FROM changed"""
+)
+def composed_changes(f: Feeds) -> DataFrame:
+    """The changes of three steps, sent as one: the same as the change from the first to the last view."""
+    request = ViewRequest(None, ("accountId", "currency"))
+    views = [
+        overview.account_overview(f.until(moment).snapshot(), request)
+        for moment in (EARLIER, *BETWEEN, LATER)
+    ]
+    steps = [
+        changes.diff(old, new).withColumn("sequence", F.lit(i))
+        for i, (old, new) in enumerate(zip(views, views[1:], strict=False))
+    ]
+    whole = steps[0].unionByName(steps[1]).unionByName(steps[2])
+    return changes.compose(whole).select(
+        "rowKey", "changeType", "old_sodNavUSD", "new_sodNavUSD", "old_recordCount",
+        "new_recordCount",
+    )
+
+
 def _field(name: str, old: str, new: str, kind: str) -> str:
     return f"""
 SELECT rowKey, '{name}' AS field, '{kind}' AS fieldType, {m(f'{new} - {old}', 'delta')},
@@ -1133,6 +1158,20 @@ def view_page(f: Feeds) -> DataFrame:
     return paging.page(rows, [("expectedNavUSD", False)], "rowKey", number=1, size=25)
 
 
+@query(
+    with_(O.BASE, O.STATE)
+    + f"""
+SELECT * FROM ({O.overview("snap", {"accountName": O.NAME, "sector": "sector"})})
+ORDER BY sector ASC NULLS LAST, expectedNavUSD DESC NULLS LAST, rowKey LIMIT 25 OFFSET 25"""
+)
+def view_page_by_key(f: Feeds) -> DataFrame:
+    """The second page, found by where the first one ends."""
+    by = [("sector", True), ("expectedNavUSD", False)]
+    rows = account_overview(f)
+    first = paging.seek(rows, by, "rowKey", None, 25)
+    return paging.seek(rows, by, "rowKey", paging.end_key(first, by, "rowKey"), 25)
+
+
 @query(
     with_(O.BASE, O.STATE)
     + f"""
@@ -1230,3 +1269,24 @@ def unified_sink_round_trip(f: Feeds) -> DataFrame:
         F.lit(0).cast("bigint").alias("offset"),
     )
     return decode.read_dataset(records, "unified").select(*positions.UNIFIED_COLUMNS)
+
+
+@query(
+    with_(O.BASE)
+    + f"""
+SELECT orderId, {m('orderQuantity')}, orderStatus, {ts('ts', 'timestamp')} FROM order_event"""
+)
+def repaired_orders(f: Feeds) -> DataFrame:
+    """Damaged order messages go to the dead-letter topic, are repaired there, and come back once."""
+    third = F.col("offset") % 3
+    text = F.col("value").cast("string")
+    status = F.regexp_replace(text, '"orderStatus":"', '"orderStatus":"X_')
+    time = F.regexp_replace(text, '"timestamp":"', '"timestamp":"about ')
+    damaged = F.when(third == 0, status).when(third == 1, time).otherwise(text)
+    log = publish.as_log(f.orders, "order").withColumn("value", damaged.cast("binary"))
+    letters = decode.opened(decode.dead_letters(log, "order"))
+    mended = F.regexp_replace(F.regexp_replace(text, '"X_', '"'), '"about ', '"')
+    repaired = letters.withColumn("value", mended.cast("binary"))
+    sent_twice = repaired.unionByName(repaired.withColumn("sent", F.col("sent") + 1))
+    orders = decode.read_dataset(decode.restored(log, sent_twice), "order")
+    return orders.select("orderId", "orderQuantity", "orderStatus", "timestamp")

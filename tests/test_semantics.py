@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -14,6 +15,7 @@ from navspark.operators.latest import latest, latest_price_only, latest_unified,
 from navspark.operators.replay import replay
 from navspark.plans.feeds import Feeds
 from navspark.plans.request import Exposure, ViewRequest
+from navspark.sources import decode
 from tests.conftest import rows_of
 from tests.feeds import feeds, frame, holding, instrument, order, price
 
@@ -332,3 +334,59 @@ def test_revaluation_of_ticked_instruments_only(spark):
     rows = positions.revalue_changed(current, positions.quotes(logs[2], logs[3]), ticked)
     assert rows.select(K.unified_key()).first()[0] == "HOLDING#2024-01-15#MSFT#ACC001"
     assert rows.count() == 1
+
+
+@pytest.mark.parametrize("by", [[("v", True)], [("v", False), ("w", True)], [("w", False), ("v", True)]])
+def test_pages_by_key_join_to_the_full_sort(spark, by):
+    """With nulls and ties in all sort columns, in any direction; no plan counts rows to skip."""
+    rows = [(f"k{i:02d}", None if i % 7 == 0 else i % 4, None if i % 5 == 0 else i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "k STRING, v INT, w INT")
+    whole = [r.k for r in paging.sorted_rows(df, by, "k").collect()]
+    seen, end = [], None
+    while True:
+        page = paging.seek(df, by, "k", end, 7)
+        assert "Offset" not in page._jdf.queryExecution().optimizedPlan().toString()
+        found = page.collect()
+        if not found:
+            break
+        seen += [r.k for r in found]
+        end = {name: found[-1][name] for name in ("k", "v", "w")}
+    assert seen == whole
+    first = paging.seek(df, by, "k", None, 7)
+    assert [r.k for r in paging.seek(df, by, "k", paging.end_key(first, by, "k"), 7).collect()] == whole[7:14]
+
+
+def test_composed_changes_equal_the_change_of_all(spark):
+    """Random views; whatever happens to a row between, folding the composed log gives the last view."""
+    dice = random.Random(11)
+    columns = "rowKey STRING, sodNavUSD INT, currentNavUSD INT, expectedNavUSD INT, recordCount INT"
+    views = []
+    for _ in range(6):
+        rows = [(f"r{i}", *(dice.choice((1, 2, None)) for _ in range(4))) for i in range(30) if dice.random() < 0.6]
+        views.append(spark.createDataFrame(rows, columns))
+    steps = [
+        changes.diff(a, b).withColumn("sequence", F.lit(i)).withColumn("window", F.lit(i // 3))
+        for i, (a, b) in enumerate(zip(views, views[1:]))
+    ]
+    whole = steps[0]
+    for step in steps[1:]:
+        whole = whole.unionByName(step)
+    assert rows_of(changes.compose(whole)) == rows_of(changes.diff(views[0], views[-1]))
+    parts = changes.compose(whole, within=["window"])
+    for number, (a, b) in enumerate(((0, 3), (3, 5))):
+        own = parts.filter(F.col("window") == number).drop("window")
+        assert rows_of(own) == rows_of(changes.diff(views[a], views[b]))
+
+
+def test_dead_letters_keep_bytes_and_origin(spark):
+    values = [b'{"instrumentId":"A","price":1}', b"", None, b'{"price":"\xe9"}', b"\xff\x00nonsense"]
+    rows = [(b"k", v, "base.price", i % 2, i) for i, v in enumerate(values)]
+    log = spark.createDataFrame(rows, "key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT")
+    log = log.withColumn("timestamp", F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    letters = decode.dead_letters(log, "price")
+    assert {r.topic for r in letters.collect()} == {"dlt.base-data"} and letters.columns == log.columns
+    back = {(r.partition, r.offset): r.value and bytes(r.value) for r in decode.opened(letters).collect()}
+    assert back == {(i % 2, i): v for i, v in enumerate(values) if i}
+    fixed = decode.opened(letters).withColumn("value", F.lit(b'{"instrumentId":"B","price":2}'))
+    good = decode.read_dataset(decode.restored(log, fixed.unionByName(fixed)), "price")
+    assert sorted((r.sequence, r.instrumentId) for r in good.collect()) == [(0, "A"), (1, "B"), (2, "B"), (3, "B"), (4, "B")]
