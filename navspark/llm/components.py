@@ -11,15 +11,27 @@ from navspark.session import shared_folder
 
 
 class Scratch:
-    """A folder of its own below the shared one, for tables that cut a plan in two."""
+    """A folder of its own below the shared one, for tables that cut a plan in two.
+
+    A table stays until `drop`, which a caller may use once everything that reads it is written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, shared_folder(spark)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        kept = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[id(kept)] = kept, path
+        return kept
+
+    def drop(self, kept: DataFrame) -> None:
+        """Deletes a table of `keep` that nothing reads any more."""
+        _, path = self.paths.pop(id(kept))
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,7 +53,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionAll(least.select("u", F.col("m").alias("v")))
-        edges = scratch.keep(small.where("u <> v").distinct(), "edges")
+        before, edges = edges, scratch.keep(small.where("u <> v").distinct(), "edges")
+        scratch.drop(before)
         after = _state(edges)
         if after == state:
             break

@@ -44,7 +44,7 @@ SHINGLE = 4
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 85, 100
 #: Sets on one list from which it counts as heavy, and the share of members listed besides the needed.
-HEAVY = 256
+HEAVY = 16
 EXTRA = (3, 20)
 #: The border lies at most here; the cost of a listed member in terms of an enumerated subset.
 LARGEST_SMALL, LIST_COST = 24, 6
@@ -383,7 +383,10 @@ def clusters_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     found = components(edges, scratch).select(F.col("node").alias("set"), F.col("component").alias("cluster"))
     ranked = found.join(degree, "set")
     hubs = ranked.groupBy("cluster").agg(F.max(F.struct("degree", "set")).alias("top"), F.count("*").alias("k"))
-    return scratch.keep(found.join(hubs.select("cluster", F.col("top.set").alias("hub"), "k"), "cluster"), "clusters")
+    made = scratch.keep(found.join(hubs.select("cluster", F.col("top.set").alias("hub"), "k"), "cluster"), "clusters")
+    scratch.drop(shared)
+    scratch.drop(edges)
+    return made
 
 
 def compare_cell(table: pa.Table, a: int, b: int) -> pa.Table:
@@ -473,6 +476,8 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     several = rows.groupBy("sig").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi")
     # Sets of different clusters only meet on lists that hold several clusters.
     rows = scratch.keep(rows.join(several.select("sig"), "sig", "left_semi").distinct(), "across-lists")
+    scratch.drop(listed)
+    entries = rows.count()
     heavy = rows.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY)
     rows = rows.join(heavy, "sig", "left")
     # The longest lists first, in the same order for every set.
@@ -480,8 +485,8 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     place = F.row_number().over(own.orderBy(F.col("k").desc_nulls_last(), "sig"))
     rows = rows.withColumn("spared", F.col("k").isNotNull() & (place <= t.sql_spare(F.col("n"))))
     rows = rows.withColumn("left_out", F.sum(F.col("spared").cast("long")).over(own))
-    rows = scratch.keep(rows.where(~F.col("spared")).drop("k", "spared"), "scanned")
-    pairs = _scanned(rows, t).groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2")
+    rows = rows.where(~F.col("spared")).drop("spared")
+    pairs = _scanned(rows, t, entries).groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2")
     counts = pairs.agg(F.sum("shared").alias("shared"))
     need = t.sql_overlap(F.col("n1"), F.col("n2"))
     listed_in_both = F.least(
@@ -496,21 +501,20 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
 PIECE, LISTED, LOT = 2000, 200_000, 1 << 20
 
 
-def _scanned(rows: DataFrame, t: Threshold) -> DataFrame:
+def _scanned(rows: DataFrame, t: Threshold, entries: int) -> DataFrame:
     """Pairs of sets of different clusters on one list, with the lists of a bucket that they share.
 
     Lists are dealt to buckets and scanned there: entries lie in order of size, and each meets only
     those after it that are small enough to link with it. Equal pairs of a bucket are counted before they
-    leave it. A list longer than a piece is cut into pieces, and every two pieces meet in some bucket.
+    leave it. A list longer than a piece is cut into pieces, and every two pieces meet in some bucket. `k`
+    is the length of a heavy list.
     """
-    pieces = F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces")
-    long = rows.groupBy("sig").agg(pieces).where("pieces > 1")
-    rows = rows.join(long, "sig", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    rows = rows.withColumn("pieces", F.ceil(F.coalesce("k", F.lit(1)) / F.lit(PIECE)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), "pieces").cast("int"))
     to = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
     rows = rows.select("sig", "set", "n", "cluster", "left_out", "own", to)
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    buckets = max(1, -(-rows.count() // LISTED))
+    buckets = max(1, -(-entries // LISTED))
     rows = rows.select(
         F.pmod(F.xxhash64("sig", i, j), F.lit(buckets)).alias("bucket"), F.xxhash64("sig", i, j).alias("list"),
         (i == j).alias("one"), "own", "set", "n", "cluster", "left_out",
@@ -587,6 +591,7 @@ def linked_components(
     members = members_of(clusters, source, homes, t.shingle, scratch)
     edges = small.unionAll(cluster_links(clusters, members, t, scratch))
     listed = scratch.keep(_listed_rows(source, t, border, max(1, -(-size // BUCKET_BYTES))), "listed")
+    scratch.drop(members)
     more = checked(_list_pairs(listed, homes, clusters, t, scratch), source, homes, t, scratch)
     final = components(edges.unionAll(more), scratch)
     place = homes.join(final.withColumnRenamed("node", "set"), "set", "left")
