@@ -18,6 +18,9 @@ items are found each.
 Items are indexed in shards of a bounded size, in Spark tasks; document frequencies, number and mean
 length are those of all items, so matches don't depend on the shards. A shard at a time comes to the
 driver to be broadcast; beyond one shard the documents are scanned once for each.
+
+Repeated rows are found each, under any key, a null one too; an empty table gives no rows. A very long
+text is a step of its own. In `clean` all other columns stay as they are.
 """
 
 from __future__ import annotations

@@ -23,6 +23,10 @@ checked on the whole sets. Members come from the texts of the sets in question,
 filter of fixed size.
 
 Null, empty and wordless texts have the empty set, link to nothing and are their own component.
+
+Repeated rows share a set; rows of one key with unlike texts each have their own, and their key counts for
+the least of each. Ties between sets are broken by their hash, which changes no component. A very long text is
+a step of its own. An empty table gives no rows; other columns aren't read, but for those carried.
 """
 
 from __future__ import annotations

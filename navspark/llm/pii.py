@@ -9,6 +9,10 @@ back. A found span is added if it overlaps no base span of its kind.
 
 Spans are code points of the source, the end exclusive. Null and empty texts have none. Runs of
 digits of any length are handled without converting them to numbers.
+
+Each row is read by itself, repeated ones and those with a null key too; an empty table gives no rows.
+Of matches that tie for a start the longest counts, as the patterns are greedy. Other columns stay as
+they are in `redact` and aren't read in `find`.
 """
 
 from __future__ import annotations

@@ -7,6 +7,10 @@ all pairs comes in linear time from the identity  2 * sum_{i<j} <v_i, v_j> x_i x
 |sum v_i x_i|^2 - sum |v_i x_i|^2.  It is fitted on a bounded sample of labelled rows and applied to
 every whole text, slice by slice. An empty text has no words and zero statistics and gets the score
 that the bias and those give. Null texts count as empty.
+
+Each row is scored by itself, repeated ones and those with a null key too; an empty table gives no rows.
+A document labelled twice counts once, without any labels the score is a half. A very long text is a slice
+of its own. A column with the name of the score is replaced.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ instead; the empty text has the empty fingerprint.
 The likeness of two fingerprints takes each filter of the one with fewer filters to its best match in
 the other: common bits beyond those expected by chance, as a share of the largest possible number
 beyond chance. Two empty fingerprints are alike (1), an empty one and another aren't (0).
+
+Rows are compared in the order of their keys; rows of one key lie in the order of their texts. A very long
+text is a step of its own, an empty table gives no rows, and other columns aren't read.
 """
 
 from __future__ import annotations

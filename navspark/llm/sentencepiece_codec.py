@@ -12,6 +12,10 @@ words are cut there too, which bounds the work on very long words.
 
 Null and empty texts have no ids and decode to the empty text. The decoded text is the text, except
 that U+2581 comes back as a space, as with the library.
+
+Each row is encoded by itself, repeated ones and those with a null key too. A very long text is a step of
+its own. Of pairs of one rank the leftmost merges first. An empty table gives no rows; a column with
+the name of a result is replaced.
 """
 
 from __future__ import annotations

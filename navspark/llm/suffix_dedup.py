@@ -15,6 +15,10 @@ as one block and sorts the suffixes that start a 200-byte string:
 Neighbours in that order with a common prefix of 200 bytes are repeated strings.
 
 Null and empty texts have no bytes; texts below 200 bytes lose nothing.
+
+A row that is there twice, under one key or two, loses in both what the copies share. Equal strings tie
+and count as repeated. A very long text is a step of its own. A null key is a key like any other, an empty
+table gives no rows, other columns aren't read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,10 @@ nearest. Ties go to the earlier example.
 
 Votes weigh 1/(distance + SOFT) and are pulled to the base rate by PULL votes. A text without any
 kept term (also an empty or null one) gets the base rate of the examples that have none either.
+
+Each row is scored by itself, repeated ones and those with a null key too; an empty table gives no rows,
+and without labels every text gets one score. A very long text is a slice of its own. A column with the
+name of a result is replaced.
 """
 
 from __future__ import annotations

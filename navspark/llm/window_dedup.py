@@ -3,6 +3,10 @@
 Words are kept as they are. A word goes if a window that covers it occurs elsewhere too, in the same
 document or another; all windows are judged on the input. Repeated windows that touch or overlap
 make one removal interval. Texts with fewer words than a window lose nothing; null texts are empty.
+
+A row that is there twice repeats all its windows, under one key or two, and loses them in both; each
+row is judged by itself, so no tie arises. A very long text is a step of its own. A null key is a key
+like any other, an empty table gives no rows, other columns aren't read.
 """
 
 from __future__ import annotations
