@@ -12,9 +12,9 @@ from navspark.plans.request import ViewRequest
 from navspark.schemas import TOPICS
 from navspark.session import shared_folder
 from navspark.sources import decode, publish, topics
-from navspark.streaming import revalue, tables
+from navspark.streaming import revalue, tables, ticks
 from tests.conftest import rows_of
-from tests.feeds import feeds, holding, instrument, order, price
+from tests.feeds import at, feeds, holding, instrument, order, price
 
 KEPT = ["recordType", "instrumentId", "accountId", "orderId", "holdingId", "position",
         "orderQuantity", "filledQuantity", "sector", "subSectors", "price", "marketValueUSD",
@@ -307,3 +307,33 @@ def test_streamed_aggregate_equals_batch(spark):
     assert rows_of(table.current(spark)) == rows_of(
         overview.cumulative_overview(log, request).select(*names)
     )
+
+
+def test_ticks_by_day(spark, tmp_path):
+    """Late ticks go to their day, a repeated batch changes nothing, a day opens one folder."""
+    table = ticks.TickTable(f"{tmp_path}/t")
+    day = 24 * 60
+    series = [price(0, 1), price(5, 2), price(day, 3), price(day + 1, 4), price(2 * day, 5), price(9, 6)]
+    batches = [feeds(spark, prices=part)[3] for part in (series[:3], series[3:])]
+    for number, batch in enumerate(batches):
+        table.append(batch, number)
+        table.append(batch, number)
+    assert table.ticks(spark).count() == 6
+    first = at(0).date()
+    one = table.ticks(spark, [first])
+    assert {p.split("day=")[1][:10] for p in one.inputFiles()} == {"2024-01-15"}
+    assert sorted(float(r.price) for r in one.collect()) == [1, 2, 6]
+    assert [(float(r.closePrice), r.ticks) for r in table.closes(spark, [first]).collect()] == [(6, 3)]
+
+
+def test_prices_from_the_tail(spark):
+    """Old ticks value nothing, positions and instruments from before count."""
+    logs = sample(spark)
+    log = topics.from_tail(to_log(logs), ("price",), "2024-01-15 12:25:00")
+    found = streamed(spark, log, ("2024-01-15 12:15:00",)).select(*KEPT)
+    whole = replay(*logs).withColumn(
+        "filledQuantity",
+        F.when(F.col("recordType") == "ORDER", F.coalesce("filledQuantity", F.lit(0))),
+    )
+    late = whole.filter("tickTime >= TIMESTAMP_NTZ '2024-01-15 12:25:00'")
+    assert rows_of(found) == rows_of(late.select(*KEPT)) and found.count() > 0
