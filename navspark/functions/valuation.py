@@ -25,10 +25,17 @@ def raw_value(price: Column, quantity: Column) -> Column:
 
 
 def summed_value(price_sum: Column, quantity_sum: Column) -> Column:
-    """Product of two sums: exact while both have the digits of single values, else to 6 places."""
-    exact = price_sum.try_cast("DECIMAL(19,6)") * quantity_sum.try_cast(QUANTITY)
-    wide = price_sum.cast("DECIMAL(28,6)") * quantity_sum.cast("DECIMAL(28,4)")
-    return F.coalesce(exact.cast(RAW_MONEY), wide.cast(RAW_MONEY))
+    """Product of two sums, exact at every size that the amount itself can have.
+
+    A product of two wide decimals would lose places, so the price is split at its point: both
+    partial products keep all of theirs, and one digit is left free for their sum.
+    """
+    price, quantity = price_sum.cast("DECIMAL(28,6)"), quantity_sum.cast("DECIMAL(28,4)")
+    whole = F.floor(price).cast("DECIMAL(22,0)")
+    part = (price - whole).cast("DECIMAL(7,6)")
+    return (
+        (whole * quantity).cast("DECIMAL(37,10)") + (part * quantity).cast("DECIMAL(37,10)")
+    ).cast(RAW_MONEY)
 
 
 def raw_filled_value(price: Column, filled: Column) -> Column:

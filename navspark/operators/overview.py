@@ -15,7 +15,7 @@ from navspark.functions.predicates import (
     is_holding,
     is_order,
 )
-from navspark.functions.valuation import raw_value, summed_value
+from navspark.functions.valuation import summed_value
 from navspark.operators import skew
 from navspark.operators.positions import INSTRUMENT_COLUMNS
 from navspark.operators.replay import BY_INSTRUMENT, known_ticks, position_loads, position_versions

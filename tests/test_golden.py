@@ -178,3 +178,22 @@ def test_request_rules():
     )
     assert len(GROUP_FIELDS) == 10
     assert [e.column for e in ALL_EXPOSURES] == ["sodNavUSD", "currentNavUSD", "expectedNavUSD"]
+
+
+def test_value_of_large_sums_is_exact(spark):
+    """Sums far beyond single prices and quantities keep all ten places."""
+    from decimal import Decimal, localcontext
+
+    from navspark.functions.valuation import summed_value
+
+    cases = [
+        ("1.500000", "2.2500"), ("123456789012.345679", "98765432.1234"), ("-0.000001", "0.0001"),
+        ("9999999999999.999999", "-12345678.9876"), ("-123456789012.345679", "98765432.1234"),
+        ("0.999999", "9999999999999999.9999"), ("1000000000000000.000001", "100000000.0001"), ("0", "5"),
+    ]
+    rows = [(Decimal(p), Decimal(q)) for p, q in cases]
+    df = spark.createDataFrame(rows, "p DECIMAL(38,6), q DECIMAL(38,4)")
+    found = [r[0] for r in df.select(summed_value(F.col("p"), F.col("q"))).collect()]
+    with localcontext() as c:
+        c.prec = 60
+        assert found == [p * q for p, q in rows]
