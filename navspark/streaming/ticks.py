@@ -13,6 +13,10 @@ from navspark.operators.latest import daily_close
 from navspark.streaming.tables import listen
 
 
+#: The folder that readers find while no tick has come.
+NO_DAY = "1970-01-01"
+
+
 class TickTable:
     """Ticks as Parquet below a shared folder, a folder for each day of the price.
 
@@ -26,7 +30,7 @@ class TickTable:
     def append(self, ticks: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``."""
         if batch_id == 0:
-            ticks.limit(0).write.mode("overwrite").parquet(f"{self.path}/day=1970-01-01/batch=-1")
+            ticks.limit(0).write.mode("overwrite").parquet(f"{self.path}/day={NO_DAY}/batch=-1")
         (
             ticks.withColumn("day", F.to_date("date"))
             .hint("rebalance", "day")
@@ -41,9 +45,12 @@ class TickTable:
         return listen(ticks, self.append, checkpoint, "append", every)
 
     def ticks(self, spark: SparkSession, days: Sequence[date] | None = None) -> DataFrame:
-        """All ticks, or those of some days, with ``day``."""
-        rows = spark.read.parquet(self.path).filter("batch >= 0").drop("batch")
-        return rows if days is None else rows.filter(F.col("day").isin(list(days)))
+        """All ticks, or those of some days, with ``day``; only folders of these days are listed."""
+        path = self.path
+        if days is not None:
+            path += "/day={" + ",".join([NO_DAY, *(str(day) for day in days)]) + "}"
+        rows = spark.read.option("basePath", self.path).parquet(path)
+        return rows.filter("batch >= 0").drop("batch")
 
     def closes(self, spark: SparkSession, days: Sequence[date] | None = None) -> DataFrame:
         """Last tick of each instrument and day."""
