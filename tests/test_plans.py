@@ -52,3 +52,12 @@ def test_building_a_query_runs_no_job(name, spark, data):
     before = set(tracker.getJobIdsForGroup())
     QUERIES[name](spark, data)
     assert set(tracker.getJobIdsForGroup()) == before
+
+
+@pytest.mark.parametrize("name", ["unified_mv_replay", "latest_unified_mv", "account_overview_cumulative"])
+def test_positions_are_read_twice(name, spark, data):
+    """Once to count them by key and once to work on them: two scans of each of two feeds."""
+    df = QUERIES[name](spark, data)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert sum("lineitem.parquet" in line for line in final.splitlines()) <= 4
