@@ -18,7 +18,9 @@ of small hashes with a central set form clusters. A cluster is cut into slices;
 and the cluster's central one, are compared; the sets that are then not in the cluster's largest
 component are compared with all others of the cluster, slice by slice. So a cluster needs no pair
 of sets that are connected already, and its members travel a few times instead of once for each
-pair. Lists then only pair sets of different clusters; a pair that shares enough listed members is
+pair. Lists then only pair sets of different clusters, and only if their bit maps agree: a set's map has
+a bit for each class of its members, set if their number is odd, so two sets differ in at least as
+many members as their maps in bits, and no link is lost. A pair that shares enough listed members is
 checked on the whole sets. Members come from the texts of the sets in question, found through a bit
 filter of fixed size.
 
@@ -56,6 +58,8 @@ TRIPLE, TRIPLES = 3, 8
 #: Equal triples that put a set into the cluster of a central one, and sets in a slice of a cluster.
 VOTES, SLICE = 2, 400
 FILTER_BITS = 1 << 26
+#: Bits in the map of a set: as many as members, to the next power of two, within these.
+LEAST_BITS, MOST_BITS = 64, 1024
 
 
 class Threshold:
@@ -165,7 +169,7 @@ def _map(frame: DataFrame, make, ddl: str) -> DataFrame:
 
 
 def sets_of(frame: DataFrame, shingle: int, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Of every document: doc_id, carried columns, set, n, the set's triples, and its members if they are few."""
+    """Of every document: doc_id, carried columns, set, n, the set's triples, its members if they are few, and its bit map."""
 
     def make(part):
         values, bounds = shingle_sets(part.column(1), shingle)
@@ -177,10 +181,10 @@ def sets_of(frame: DataFrame, shingle: int, carried: tuple[str, ...] = ()) -> Da
             pa.array(np.searchsorted(own, np.arange(len(size) + 1)), pa.int32()), pa.array(flat.view(np.int64))
         )
         more = [part.column(2 + i) for i in range(len(carried))]
-        return part.column(0), *more, set_ids(values, bounds), size, lists(sig, owner), lists(values[few], row[few])
+        return part.column(0), *more, set_ids(values, bounds), size, lists(sig, owner), lists(values[few], row[few]), bit_maps(values, row, size)
 
     own = "".join(f"{c} {frame.schema[c].dataType.simpleString()}, " for c in ("doc_id", *carried))
-    return _map(frame, make, f"{own}set long, n long, triples array<long>, few array<long>")
+    return _map(frame, make, f"{own}set long, n long, triples array<long>, few array<long>, bits binary")
 
 
 def _triples(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +202,50 @@ def _triples(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sig, group[opens] // TRIPLES
 
 
+def bit_maps(values: np.ndarray, row: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each set a bit for each class of members, set if their number is odd."""
+    width = np.int64(1) << np.ceil(np.log2(np.clip(size, LEAST_BITS, MOST_BITS))).astype(np.int64)
+    first = np.append(0, np.cumsum(width))
+    place = (mixed(values ^ np.uint64(0x9FB21C651E98DF25)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(first[row] + place, minlength=first[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    ends = (first // 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+class _BitMaps:
+    """The maps of a bucket's sets, in every width that two of them are compared in."""
+
+    def __init__(self, bits: pa.Array):
+        data = bits.to_pylist()
+        flat = np.frombuffer(b"".join(data), np.uint64)
+        self.words = np.array([len(d) // 8 for d in data], np.int64)
+        first = np.cumsum(self.words) - self.words
+        self.maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(self.words).tolist():
+            place, folded, n = np.zeros(len(data), np.int64), [], 0
+            for words in np.unique(self.words[self.words >= width]).tolist():
+                # A member's class in fewer bits is its class modulo their number.
+                own = np.flatnonzero(self.words == words)
+                maps = flat[first[own][:, None] + np.arange(words)].reshape(len(own), words // width, width)
+                folded.append(np.bitwise_xor.reduce(maps, axis=1))
+                place[own] = np.arange(n, n + len(own))
+                n += len(own)
+            self.maps[width] = place, np.concatenate(folded)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Members in which each pair of sets differs at least."""
+        out = np.zeros(len(x), np.int64)
+        width = np.minimum(self.words[x], self.words[y])
+        for w in np.unique(width).tolist():
+            place, maps = self.maps[w]
+            own, lot = np.flatnonzero(width == w), max(1, (1 << 20) // w)
+            for at in range(0, len(own), lot):
+                some = own[at : at + lot]
+                out[some] = np.bitwise_count(maps[place[x[some]]] ^ maps[place[y[some]]]).sum(axis=1)
+        return out
+
+
 def _small_rows(sets: DataFrame, t: Threshold, border: int) -> DataFrame:
     """sig, set, n, c: the needed subsets of the sets up to the border, from their members in `few`."""
     picks = {
@@ -490,7 +538,7 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
     rows = rows.withColumn("spared", F.col("k").isNotNull() & (place <= t.sql_spare(F.col("n"))))
     rows = rows.withColumn("left_out", F.sum(F.col("spared").cast("long")).over(own))
     rows = rows.where(~F.col("spared")).drop("spared")
-    pairs = _scanned(rows, t, entries).groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2")
+    pairs = _scanned(rows, homes.select("set", "bits"), t, entries).groupBy("set1", "set2", "n1", "n2", "left_out1", "left_out2")
     counts = pairs.agg(F.sum("shared").alias("shared"))
     need = t.sql_overlap(F.col("n1"), F.col("n2"))
     listed_in_both = F.least(
@@ -502,16 +550,17 @@ def _list_pairs(listed: DataFrame, homes: DataFrame, clusters: DataFrame, t: Thr
 
 
 #: Entries of a list in one piece, entries in a bucket of lists, and pairs counted at a time.
-PIECE, LISTED, LOT = 2000, 200_000, 1 << 20
+PIECE, LISTED, LOT = 2000, 400_000, 1 << 20
 
 
-def _scanned(rows: DataFrame, t: Threshold, entries: int) -> DataFrame:
+def _scanned(rows: DataFrame, maps: DataFrame, t: Threshold, entries: int) -> DataFrame:
     """Pairs of sets of different clusters on one list, with the lists of a bucket that they share.
 
     Lists are dealt to buckets and scanned there: entries lie in order of size, and each meets only
-    those after it that are small enough to link with it. Equal pairs of a bucket are counted before they
+    those after it that are small enough to link with it. Pairs whose bit maps (`maps`: set, bits) differ in
+    too many places can't link and stay there; equal pairs of a bucket are counted before they
     leave it. A list longer than a piece is cut into pieces, and every two pieces meet in some bucket. `k`
-    is the length of a heavy list.
+    is the length of a heavy list. A set travels to a bucket once, with all its entries there.
     """
     rows = rows.withColumn("pieces", F.ceil(F.coalesce("k", F.lit(1)) / F.lit(PIECE)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), "pieces").cast("int"))
@@ -519,23 +568,26 @@ def _scanned(rows: DataFrame, t: Threshold, entries: int) -> DataFrame:
     rows = rows.select("sig", "set", "n", "cluster", "left_out", "own", to)
     i, j = F.least("own", "other"), F.greatest("own", "other")
     buckets = max(1, -(-entries // LISTED))
+    entry = F.struct(F.xxhash64("sig", i, j).alias("list"), (i == j).alias("one"), "own")
     rows = rows.select(
-        F.pmod(F.xxhash64("sig", i, j), F.lit(buckets)).alias("bucket"), F.xxhash64("sig", i, j).alias("list"),
-        (i == j).alias("one"), "own", "set", "n", "cluster", "left_out",
-    )
+        F.pmod(F.xxhash64("sig", i, j), F.lit(buckets)).alias("bucket"), "set", "n", "cluster", "left_out", entry.alias("entry")
+    )
+    rows = rows.groupBy("bucket", "set", "n", "cluster", "left_out").agg(F.collect_list("entry").alias("entries"))
     kinds = "set1 long, set2 long, n1 long, n2 long, left_out1 long, left_out2 long, shared long"
-    return rows.groupBy("bucket").applyInArrow(_frugally(lambda table: scan_lists(table, t.a, t.b)), kinds)
+    sent = rows.join(maps, "set").select("bucket", "set", "n", "cluster", "left_out", "entries", "bits")
+    return sent.groupBy("bucket").applyInArrow(_frugally(lambda table: scan_lists(table, t.a, t.b)), kinds)
 
 
 def scan_lists(table: pa.Table, a: int, b: int) -> pa.Table:
-    """The pairs of a bucket's lists, each once with the number of lists."""
-    names = ("list", "one", "own", "set", "n", "cluster", "left_out")
-    lists, one, own, ids, n, cluster, left_out = (table[c].to_numpy() for c in names)
-    order = np.lexsort((n, lists))
-    lists, one, own, ids, n, cluster = (x[order] for x in (lists, one, own, ids, n, cluster))
-    known, index = np.unique(ids, return_inverse=True)
-    size, out = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
-    size[index], out[index] = n, left_out[order]
+    """The pairs of a bucket's lists that can link, each once with the number of lists."""
+    known, size, group, out = (table[c].to_numpy() for c in ("set", "n", "cluster", "left_out"))
+    packed, maps = table["entries"].combine_chunks(), _BitMaps(table["bits"])
+    flat = packed.flatten()
+    lists, one, own = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("list", "one", "own"))
+    index = np.repeat(np.arange(len(known)), np.asarray(pc.list_value_length(packed), np.int64))
+    order = np.lexsort((size[index], lists))
+    lists, one, own, index = (x[order] for x in (lists, one, own, index))
+    n, cluster = size[index], group[index]
     # Of each entry the last one of its list that it can link with.
     start = np.append(True, lists[1:] != lists[:-1])[: len(lists)]
     where = np.cumsum(start) - 1
@@ -555,8 +607,12 @@ def scan_lists(table: pa.Table, a: int, b: int) -> pa.Table:
         swap = cluster[x] > cluster[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         part, times = np.unique(index[x] * len(known) + index[y], return_counts=True)
-        keys.append(part)
-        sums.append(times)
+        x, y = part // len(known), part % len(known)
+        both = size[x] + size[y]
+        # The sets differ in as many members as they have, but for those that they share twice.
+        can = both - maps.apart(x, y) >= 2 * -(-a * both // (a + b))
+        keys.append(part[can])
+        sums.append(times[can])
         at = to
     pair, back = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_inverse=True)
     shared = np.zeros(len(pair), np.int64)
@@ -582,7 +638,7 @@ def linked_components(
     made = scratch.keep(sets_of(whole, t.shingle, carried), "sets")
     docs = made.select("doc_id", *carried, "set", "n")
     homes = made.where("n > 0").groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "triples", "few"))
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "triples", "few", "bits"))
     )
     homes = scratch.keep(homes, "homes")
     counts = homes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").agg(F.count("*").alias("k")).collect()

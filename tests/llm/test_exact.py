@@ -152,6 +152,45 @@ def test_lists_in_pieces(spark, monkeypatch):
     assert rows(ngram_join.linked_components(frame)) == sorted((k, len(s), root[k]) for k, s in sets)
 
 
+def test_lists_make_no_pairs_of_sets_that_cannot_link(spark, monkeypatch):
+    """Many texts a little too unlike each other to link: their pairs stay in the task that scans their lists."""
+    monkeypatch.setattr(ngram_join, "VOTES", 9)
+    scanned, made = ngram_join._scanned, []
+
+    def counted(*given):
+        found = scanned(*given)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_scanned", counted)
+    rng, texts = random.Random(3), []
+    for i in range(100):
+        w = cases.words(300, 31).split()
+        for k in rng.sample(range(300), 9):
+            w[k] = f"other{i}"
+        texts.append(" ".join(w))
+    texts.append(texts[0].replace("other0", "another0", 1))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [(k, cases.shingles(t)) for k, t in enumerate(texts)]
+    root = cases.components(sets)
+    assert rows(ngram_join.linked_components(frame)) == sorted((k, len(s), root[k]) for k, s in sets)
+    linked = sum(100 * len(x & y) >= 85 * len(x | y) for i, (_, x) in enumerate(sets) for _, y in sets[:i])
+    assert linked > 0 and made[0] < 500
+
+
+def test_bit_maps_differ_in_no_more_places_than_their_sets():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[: 2 * n], n, replace=False)) for n in (0, 1, 3, 60, 64, 65, 100, 128, 129, 300, 1000, 1030, 2500, 3000)]
+    size = np.array([len(s) for s in sets])
+    maps = ngram_join._BitMaps(ngram_join.bit_maps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size))
+    x, y = (v.ravel() for v in np.indices((len(sets), len(sets))))
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    found = maps.apart(x, y)
+    assert (found <= real).all() and (found % 2 == real % 2).all() and (found[x == y] == 0).all()
+    assert found[(size[x] == 60) & (size[y] == 100)] > 0
+
+
 def test_spared_lists_leave_one_in_common():
     """For all sizes that can link, a link has more lists in common than either side leaves out."""
     for t in (ngram_join.Threshold(), ngram_join.Threshold(8, 10, 5)):
