@@ -152,7 +152,8 @@ def test_lists_in_pieces(spark, monkeypatch):
     assert rows(ngram_join.linked_components(frame)) == sorted((k, len(s), root[k]) for k, s in sets)
 
 
-def test_lists_make_no_pairs_of_sets_that_cannot_link(spark, monkeypatch):
+@pytest.mark.parametrize("shingle, a, b", [(4, 85, 100), (5, 8, 10)])  # of op2, and of the pipeline
+def test_lists_make_no_pairs_of_sets_that_cannot_link(spark, monkeypatch, shingle, a, b):
     """Many texts a little too unlike each other to link: their pairs stay in the task that scans their lists."""
     monkeypatch.setattr(ngram_join, "VOTES", 9)
     scanned, made = ngram_join._scanned, []
@@ -171,10 +172,10 @@ def test_lists_make_no_pairs_of_sets_that_cannot_link(spark, monkeypatch):
         texts.append(" ".join(w))
     texts.append(texts[0].replace("other0", "another0", 1))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [(k, cases.shingles(t)) for k, t in enumerate(texts)]
-    root = cases.components(sets)
-    assert rows(ngram_join.linked_components(frame)) == sorted((k, len(s), root[k]) for k, s in sets)
-    linked = sum(100 * len(x & y) >= 85 * len(x | y) for i, (_, x) in enumerate(sets) for _, y in sets[:i])
+    sets = [(k, cases.shingles(t, shingle)) for k, t in enumerate(texts)]
+    root = cases.components(sets, a, b)
+    assert rows(ngram_join.linked_components(frame, shingle=shingle, similarity=(a, b))) == sorted((k, len(s), root[k]) for k, s in sets)
+    linked = sum(b * len(x & y) >= a * len(x | y) for i, (_, x) in enumerate(sets) for _, y in sets[:i])
     assert linked > 0 and made[0] < 500
 
 
