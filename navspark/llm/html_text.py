@@ -4,10 +4,14 @@ A page is read into lines, one for each block of text. Lines in menus, headers,
 notices, adverts, forms, scripts, styles and reader comments are dropped by their markup. Pages of a
 host are ordered by URL path and each is paired with the neighbour whose path has the longer common
 beginning (of equal ones the earlier); pages of equal lines are copies, and the neighbour of
-all of them is the next page before or after that is none. The lines of the two are aligned by their
-longest common subsequence, and lines that both share are deleted. A line inside a declared article is the page's
-own and stays even if shared: two articles may quote the same passage, and copies of an article are
-articles; where a page declares an article, only its lines are the main text.
+all of them is the next page before or after that is none. On every page the lines of the two are aligned by
+their longest common subsequence; lines that both share are the host's, the others the page's own. Where a page
+declares no article, its own lines are the main text. Where it declares some, the differences tell which:
+an article or main element with a line of the page's own is the main text, one of shared lines only (teasers,
+news boxes, breadcrumbs) is not. Two checks follow. An element so chosen stays whole: two articles may quote the same
+passage. And the longest declared element stays even if the nearest page has all of its lines, as that page may be
+the longer version of an article; without a nearest page all declared elements stay. An element inside an article
+is a part of it.
 
 Null and empty pages, and pages without a line left, have the empty text. A null URL counts as one
 empty host and path. Repeated rows and copies of a page each get the same text. Reading a page takes time
@@ -106,18 +110,19 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         at = page.find("<", after if after >= 0 else at + 1)
 
 
-def lines_of(page: str) -> list[tuple[bool, str]]:
-    """Text of each block in page order, with whether it lies in a declared article."""
-    out: list[tuple[bool, str]] = []
+def lines_of(page: str) -> list[tuple[int, str]]:
+    """Text of each block in page order, with the number of the declared article or main element it lies in, or 0."""
+    out: list[tuple[int, str]] = []
     text: list[str] = []
-    articles, skipped, depth, at = 0, "", 0, 0
+    opened: list[tuple[int, bool]] = []  # the element's number, and whether it is in an article
+    declared, skipped, depth, at = 0, "", 0, 0
     unclosed: set[str] = set()
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((articles > 0, line))
+            out.append((opened[-1][0] if opened else 0, line))
 
     for start, stop, name, closing, attributes in tags_of(page):
         if start < at:
@@ -146,9 +151,15 @@ def lines_of(page: str) -> list[tuple[bool, str]]:
         if name not in INLINE:
             flush()
         if name in CONTENT:
-            articles = max(0, articles + (-1 if closing else 1))
+            if closing:
+                del opened[-1:]
+            elif opened and opened[-1][1]:
+                opened.append(opened[-1])
+            else:
+                declared += 1
+                opened.append((declared, name == "article"))
             continue
-        own = name in OUTSIDE or name == "header" and not articles
+        own = name in OUTSIDE or name == "header" and not opened
         if not closing and name not in VOID and name not in ("body", "html") and (own or attributes and _marked(attributes)):
             flush()
             skipped, depth = name, 1
@@ -203,12 +214,18 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[bool, str]], other: list[tuple[bool, str]] | None) -> str:
-    """The article's lines, or without an article those that the other page doesn't share."""
-    if any(inside for inside, _ in lines):
-        return " ".join(line for inside, line in lines if inside)
+def main_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
+    """The lines that the other page doesn't share; of declared articles, those that hold such a line, whole."""
     shared = common([t for _, t in lines], [t for _, t in other]) if other else set()
-    return " ".join(line for i, (_, line) in enumerate(lines) if i not in shared)
+    own = [(element, line) for i, (element, line) in enumerate(lines) if i not in shared]
+    length: dict[int, int] = {}
+    for element, line in lines:
+        if element:
+            length[element] = length.get(element, 0) + len(line)
+    if not length:
+        return " ".join(line for _, line in own)
+    chosen = {element for element, _ in own} | {max(length, key=length.__getitem__)}
+    return " ".join(line for element, line in lines if element and element in chosen)
 
 
 def _alike(a: str, b: str) -> int:

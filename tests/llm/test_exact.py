@@ -450,6 +450,24 @@ def test_html(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def test_differences_tell_which_declared_element_is_the_article(spark):
+    """A teaser and a path that all pages share go; quoted passages, shorter versions and lone pages stay whole."""
+    shape = "<body><main><p>Home<p>News</p><article><h1>{}</h1><p>{}</article><article class=card><p>Latest story</article></main>"
+    same = "One passage that several articles of the host quote."
+    pages = [(k, f"http://a.org/x/{k}", shape.format(f"Head {k}", f"{same} <p>Text of {k}.")) for k in range(4)]
+    pages += [(9, "http://b.org/", shape.format("Alone", same))]
+    long = "A first paragraph. <p>A second one that is much longer than the teaser."
+    pages += [(10, "http://c.org/1", shape.format("Version", long)), (11, "http://c.org/2", shape.format("Version", long + "<p>More."))]
+    inner = "<article><p>Outer {0}<article><p>Quoted</article></article>"
+    pages += [(k, f"http://d.org/{k}", inner.format(k)) for k in (20, 21)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert [got[k] for k in range(4)] == [f"Head {k} {same} Text of {k}." for k in range(4)]
+    assert got[9] == f"Home News Alone {same} Latest story"
+    assert got[10] == "Version " + long.replace("<p>", "") and got[11] == "Version " + long.replace("<p>", "") + " More."
+    assert [got[k] for k in (20, 21)] == ["Outer 20 Quoted", "Outer 21 Quoted"]
+
+
 def test_html_of_any_shape_is_read_in_linear_time():
     import time
 
