@@ -18,7 +18,7 @@ from navspark.functions.predicates import (
 from navspark.functions.valuation import summed_value
 from navspark.operators import skew
 from navspark.operators.positions import INSTRUMENT_COLUMNS
-from navspark.operators.replay import BY_INSTRUMENT, known_ticks, position_loads, position_versions
+from navspark.operators.replay import BY_INSTRUMENT, known_ticks, position_versions, ticked_positions
 from navspark.plans.request import ViewRequest, field_column
 from navspark.schemas import QUANTITY, RAW_MONEY
 
@@ -183,7 +183,7 @@ def cumulative_from_versions(
     request.validate()
     holdings = holdings.filter(in_accounts(request.accounts))
     orders = orders.filter(in_accounts(request.accounts))
-    load = position_loads(holdings, orders)
+    holdings, orders, load = ticked_positions(holdings, orders, prices)
     live = position_versions(holdings, orders, tie_breakers, load=load)
     described = [name for name in request.fields if name in INSTRUMENT_COLUMNS]
     ticks, eras = _eras(known_ticks(prices, instruments).filter(has_valid_price()), described)

@@ -53,13 +53,40 @@ def known_ticks(
 BY_INSTRUMENT, BY_KEY = 0, 1
 
 
-def position_loads(holdings: DataFrame, orders: DataFrame) -> DataFrame:
-    """Position versions by instrument, and by the key of a holding or an order, in one pass."""
+def position_loads(
+    holdings: DataFrame, orders: DataFrame, ticks: DataFrame | None = None
+) -> DataFrame:
+    """Position versions by instrument, and by the key of a holding or an order, in one pass.
+
+    With ``ticks``, a filter of instruments, the pass also notes the orders with a version of one.
+    """
     kind = F.lit("HOLDING").alias("recordType")
     held = holdings.select("instrumentId", kind, F.col("instrumentId").alias("_k1"), F.col("accountId").alias("_k2"))
     kind = F.lit("ORDER").alias("recordType")
     ordered = orders.select("instrumentId", kind, F.col("orderId").alias("_k1"), F.lit("").alias("_k2"))
-    return skew.loads(held.unionByName(ordered), ["instrumentId"], ["recordType", "_k1", "_k2"])
+    levels = ["instrumentId"], ["recordType", "_k1", "_k2"]
+    if ticks is None:
+        return skew.loads(held.unionByName(ordered), *levels)
+    ordered = ordered.withColumn("_ticks", skew.possible(["instrumentId"], ticks))
+    every = held.withColumn("_ticks", F.lit(False)).unionByName(ordered)
+    return skew.loads(every, *levels, flagged=F.col("_ticks"), by=["_k1"])
+
+
+def ticked_positions(
+    holdings: DataFrame, orders: DataFrame, prices: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Holdings and orders that some tick can value, and their loads.
+
+    Positions of instruments without any tick give no row, so they are left out before the first
+    exchange. An order can move to another instrument, and a version there ends the one before: if
+    one version of an order stays, all do. Both filters have a fixed size and let some rows through
+    that later joins drop.
+    """
+    ticks = skew.seen(prices, ["instrumentId"])
+    holdings = holdings.filter(skew.possible(["instrumentId"], ticks))
+    load = position_loads(holdings, orders, ticks)
+    kept = skew.possible(["orderId"], skew.noted(load, 2), skew.FILTER_BITS)
+    return holdings, orders.filter(kept), load
 
 
 def position_versions(
@@ -119,7 +146,7 @@ def replay(
     instrument is laid out as a grid of position shares and tick shares. ``arrival`` names the
     time at which a row became known.
     """
-    load = position_loads(holdings, orders)
+    holdings, orders, load = ticked_positions(holdings, orders, prices)
     live = position_versions(holdings, orders, tie_breakers, arrival, load)
     ticks = known_ticks(prices, instruments, arrival)
     joined = skew.spread_join(
@@ -145,7 +172,7 @@ def latest_valued(
     that tick, so the work is linear in positions and ticks. Versions that still hold ask for the
     instrument's last tick, one row per instrument, and are spread however many there are.
     """
-    load = position_loads(holdings, orders)
+    holdings, orders, load = ticked_positions(holdings, orders, prices)
     live = position_versions(holdings, orders, tie_breakers, load=load)
     ticks = latest_by_key(
         known_ticks(prices, instruments), ["instrumentId", "tickTime"], ["tickSequence"]

@@ -31,26 +31,98 @@ def heavy_keys(
 
 LOAD = "_load"
 
+#: Counts of a level are kept by so many buckets of a hash, whatever the number of its keys.
+BUCKETS = 1 << 16
+#: Bits of a filter, 8 MB: beyond some ten million keys it lets more rows through, which costs time
+#: and disk only.
+FILTER_BITS = 1 << 26
+
 
 def _load_mark(level: int, keys: Sequence[str]) -> Column:
-    return F.xxhash64(F.lit(level), *keys)
+    return F.pmod(F.xxhash64(F.lit(level), *keys), F.lit(BUCKETS)) + F.lit(level * BUCKETS)
 
 
-def loads(df: DataFrame, *levels: Sequence[str]) -> DataFrame:
+def loads(
+    df: DataFrame,
+    *levels: Sequence[str],
+    flagged: Column | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Rows by key for several keys at once, from one pass over the rows.
 
-    A key is shown by a hash of the level's number and its columns: nothing that a reader of
-    one level knows can be pushed below the sums, so all readers share one exchange. Two keys of
-    one hash count together, which at worst spreads a key without need.
+    A key is shown by the level's number and a bucket of its hash: each task sends a row per bucket
+    and not one per key, and nothing that a reader of one level knows can be pushed below the sums,
+    so all readers share one exchange. Two keys of one bucket count together, which at worst spreads
+    a key without need.
+
+    With ``flagged`` the same pass also notes the ``by`` keys of the flagged rows; ``noted`` reads them.
     """
-    marks = F.explode(F.array(*[_load_mark(i, level) for i, level in enumerate(levels)]))
-    return df.select(marks.alias(LOAD)).groupBy(LOAD).agg(F.count("*").alias("rows"))
+    none = F.lit(None).cast("bigint")
+    marks = [F.struct(_load_mark(i, level).alias(LOAD), none.alias("bit")) for i, level in enumerate(levels)]
+    if flagged is not None:
+        word, bit = _bit(by, FILTER_BITS)
+        word = F.when(flagged, word + F.lit(len(levels) * BUCKETS))
+        marks.append(F.struct(word.alias(LOAD), bit.alias("bit")))
+    marked = df.select(F.explode(F.array(*marks)).alias("_mark")).select(f"_mark.{LOAD}", "_mark.bit")
+    sums = marked.filter(F.col(LOAD).isNotNull()).groupBy(LOAD)
+    return sums.agg(F.count("*").alias("rows"), F.bit_or("bit").alias("bits"))
 
 
 def heavy_of(load: DataFrame, level: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """As ``heavy_keys``, of a level of rows already counted."""
     shares = F.ceil(F.col("rows") / F.lit(rows_per_task)).cast("int").alias("shares")
-    return load.select(F.col(LOAD).alias(f"{LOAD}{level}"), shares).filter("shares > 1")
+    counted = load.filter(F.col("bits").isNull())
+    return counted.select(F.col(LOAD).alias(f"{LOAD}{level}"), shares).filter("shares > 1")
+
+
+WORD = "_word"
+#: Words of a filter lie in chunks of 1024.
+CHUNK = 10
+
+
+def _bit(keys: Sequence[str], bits: int) -> tuple[Column, Column]:
+    """Where a filter notes a key: the number of a word, and a bit of it."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    here = place.bitwiseAND(F.lit(63)).cast("int")
+    return F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), here)
+
+
+def _whole(words: DataFrame, bits: int) -> DataFrame:
+    """Words by number as one row: chunks of words, those without any bit included."""
+    none = words.sparkSession.range(bits // 64).select(
+        F.col("id").alias(WORD), F.lit(0).cast("bigint").alias("bits")
+    )
+    every = words.select(WORD, "bits").unionAll(none).groupBy(WORD).agg(F.bit_or("bits").alias("bits"))
+    chunk = F.shiftright(WORD, CHUNK).alias("_chunk")
+    listed = F.sort_array(F.collect_list(F.struct(WORD, "bits")))
+    chunks = every.groupBy(chunk).agg(F.transform(listed, lambda word: word.bits).alias("bits"))
+    listed = F.sort_array(F.collect_list(F.struct("_chunk", "bits")))
+    return chunks.agg(F.transform(listed, lambda one: one.bits).alias("bits"))
+
+
+def seen(df: DataFrame, keys: Sequence[str], bits: int = 1 << 23) -> DataFrame:
+    """A filter of the keys that a table has: one row of ``bits`` bits, however large the table."""
+    word, bit = _bit(keys, bits)
+    return _whole(df.groupBy(word.alias(WORD)).agg(F.bit_or(bit).alias("bits")), bits)
+
+
+def noted(load: DataFrame, levels: int) -> DataFrame:
+    """The filter of the keys that ``loads`` noted."""
+    words = load.filter(F.col("bits").isNotNull() & (F.col("rows") > 0))
+    return _whole(words.select((F.col(LOAD) - F.lit(levels * BUCKETS)).alias(WORD), "bits"), FILTER_BITS)
+
+
+def possible(keys: Sequence[str], filter_: DataFrame, bits: int = 1 << 23) -> Column:
+    """Whether a filter may have seen a key: true of all that it has, and of few others.
+
+    Made of the row's own columns and a subquery, so it goes down to where the rows are read.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    word = F.get(
+        F.get(filter_.scalar(), F.shiftright(place, 6 + CHUNK).cast("int")),
+        F.shiftright(place, 6).bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int"),
+    )
+    return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def _marked(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, list[str], bool]:
@@ -65,6 +137,8 @@ def with_splits(df: DataFrame, keys: Sequence[str], heavy: DataFrame, name: str)
     """Add the number of tasks a row's key is spread over; 1 for all but heavy keys."""
     df, on, added = _marked(df, keys, heavy)
     lookup = heavy.withColumnRenamed("shares", name)
+    if added:
+        lookup = F.broadcast(lookup)  # at most ``BUCKETS`` rows
     found = df.join(lookup, on, "left").withColumn(name, F.coalesce(name, F.lit(1)))
     return found.drop(*on) if added else found
 
@@ -153,8 +227,11 @@ def neighbour(
     shift = F.lead if forward else F.lag
     value = F.struct(*columns)
     cell = [*keys, "_chunk"]
-    heavy = F.broadcast(heavy_keys(df, keys, rows_per_task) if heavy is None else heavy)
-    few = of_heavy(df, keys, heavy).withColumn("_chunk", _time_chunk(order[0], chunk_seconds))
+    heavy_rows = heavy_keys(df, keys, rows_per_task) if heavy is None else heavy
+    heavy = F.broadcast(heavy_rows)
+    # Without heavy keys no row leaves its scan here.
+    some = heavy_rows.agg(F.count("*").alias("n")).scalar() > 0
+    few = of_heavy(df.filter(some), keys, heavy).withColumn("_chunk", _time_chunk(order[0], chunk_seconds))
     df = with_splits(df, keys, heavy, "_splits")
     chunk = F.when(F.col("_splits") > 1, _time_chunk(order[0], chunk_seconds))
     df = df.withColumn("_chunk", F.coalesce(chunk, F.lit(0)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from navspark.operators import overview, skew
 from navspark.operators.latest import latest_by_key, versions
 from navspark.operators.lifecycle import order_history
-from navspark.operators.replay import replay
+from navspark.operators.replay import replay, ticked_positions
 from navspark.plans.feeds import Feeds
 from navspark.plans.request import ViewRequest
 from tests.conftest import rows_of
@@ -209,3 +209,54 @@ def test_cumulative_over_a_thousand_eras(spark, fields):
     assert found == rows_of(whole) and len(found) > (1 if fields == ("sector",) else 1000)
     plan = fast._jdf.queryExecution().optimizedPlan().toString()
     assert "validFrom#" not in "".join(line for line in plan.splitlines() if "Join " in line and "knownSince" in line)
+
+
+def test_loads_send_buckets_and_not_keys(spark):
+    """300,000 keys of one row each; a heavy one among them is still found."""
+    many = spark.range(300_000).selectExpr("CAST(id AS STRING) AS a").unionAll(
+        spark.range(5000).selectExpr("'hot' AS a")
+    )
+    load = skew.loads(many, ["a"])
+    assert load.count() <= skew.BUCKETS
+    heavy = skew.heavy_of(load, 0, 2000)
+    splits = skew.with_splits(many, ["a"], heavy, "n").groupBy("n").agg(F.count("*"), F.max("a"))
+    assert [r for r in rows_of(splits) if r[0] > 1] == [(3, 5000 + splits_beside(many, load), "hot")]
+
+
+def splits_beside(many, load):
+    """Other keys of the hot key's bucket."""
+    marked = many.withColumn("m", skew._load_mark(0, ["a"]))
+    hot = marked.filter("a = 'hot'").first().m
+    return marked.filter(F.col("m") == hot).filter("a <> 'hot'").count()
+
+
+def test_a_filter_has_all_its_keys_and_few_others(spark):
+    keys = spark.range(20_000).selectExpr("IF(id = 7, NULL, CAST(id * 3 AS STRING)) AS k")
+    filter_ = skew.seen(keys, ["k"])
+    rows = spark.range(60_000).selectExpr("CAST(id AS STRING) AS k").unionAll(spark.sql("SELECT CAST(NULL AS STRING)"))
+    found = rows.filter(skew.possible(["k"], filter_))
+    assert keys.join(found, keys.k.eqNullSafe(found.k), "left_anti").count() == 0
+    assert 20_000 <= found.count() < 20_500
+    assert rows.filter(skew.possible(["k"], skew.seen(keys.limit(0), ["k"]))).count() == 0
+
+
+def test_positions_without_a_tick_stay_in_their_scan(spark, data):
+    """Rows of instruments that never tick meet no exchange, but an order's versions stay together."""
+    from tests.feeds import feeds, holding, instrument, order, price
+
+    f = Feeds(spark, data)
+    for kept in ticked_positions(f.holdings, f.orders, f.prices)[:2]:
+        plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        scan = next(line for line in plan if "Filter" in line and "l_linestatus" in line)
+        assert "getbit" in scan
+    logs = feeds(
+        spark, [holding(0, 10), holding(0, 4, instrument="IBM")],
+        [order(1, 5), order(15, 6, instrument="IBM"), order(25, 7), order(3, 2, order_id="O2", instrument="IBM")],
+        [instrument(0), instrument(0, "IBM")], [price(m, 10 + m) for m in (10, 20, 30)],
+    )
+    found = replay(*logs).select("recordType", "orderQuantity", "tickSequence")
+    assert [(r[0], r[1] and int(r[1]), r[2]) for r in rows_of(found)] == [
+        ("HOLDING", None, 10), ("HOLDING", None, 20), ("HOLDING", None, 30), ("ORDER", 5, 10), ("ORDER", 7, 30)
+    ]
+    held, ordered, _ = ticked_positions(*logs[:2], logs[3])
+    assert held.count() == 1 and {r.orderId for r in ordered.collect()} == {"O1"} and ordered.count() == 3
