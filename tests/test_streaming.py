@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +339,34 @@ def test_prices_from_the_tail(spark):
     )
     late = whole.filter("tickTime >= TIMESTAMP_NTZ '2024-01-15 12:25:00'")
     assert rows_of(found) == rows_of(late.select(*KEPT)) and found.count() > 0
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files that lie on disk."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = blocks.getAllFiles()
+    names = {files.apply(i).getName() for i in range(files.size())}
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_a_stream_leaves_tables_and_results_only(spark):
+    """One slice of the log at a time; it, parsed messages and shuffle files are gone at the end."""
+    folder, slices = shared_folder(spark), []
+    stream = revalue.Revaluation(folder, buckets=4, fold_every=2)
+    path = Path(folder.removeprefix("file:"))
+
+    def start():
+        log = spark.read.parquet(f"{folder}/log")
+        slices.append(sorted(row.timestamp for row in log.select("timestamp").collect()))
+        assert not (path / "whole").exists()
+        return stream.start(topics.file_topics(spark, f"{folder}/log"))
+
+    log = to_log(sample(spark))
+    before = shuffle_files(spark)
+    streams.run_in_slices(log, folder, start, ("2024-01-15 12:15:00", "2024-01-15 12:24:00"))
+    assert len(slices) == 3 and sum(map(len, slices)) == 14
+    assert all(one[-1] < two[0] for one, two in zip(slices, slices[1:], strict=False))
+    assert {p.name for p in path.iterdir()} == {"checkpoint", "news", "state", "valued"}
+    assert not list((path / "news").iterdir())
+    assert shuffle_files(spark) <= before
+    assert stream.valued(spark).count() == 13
